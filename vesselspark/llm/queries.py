@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vesselspark.llm import packing, quality
 from vesselspark.llm.common import load
 from vesselspark.llm.simhash import simhash_components
 
 
+def remainder(by: int) -> Column:
+    """The fold a document lies in: crc32 of its id as text, modulo ``by``."""
+    return F.crc32(F.col("doc_id").cast("string")) % by
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    model = quality.train(docs, load(spark, sf_dir, "labels").where(remainder(5) != 0))
+    scored = quality.score_documents(docs, model).withColumnRenamed("id", "doc_id")
+    predicted = F.when(F.col("score") >= 0.3, 1).otherwise(0).cast("int")
+    return scored.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(load(spark, sf_dir, "documents"))
     return found.select(
@@ -16,5 +30,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_simhash": op2_simhash}
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return packing.pack(load(spark, sf_dir, "documents"), *paths)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op4_packing)}
 ORACLE_SQL: dict[str, str] = {}
