@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vesselspark.llm import packing, quality
+from vesselspark.llm import langid, packing, quality
 from vesselspark.llm.common import load
 from vesselspark.llm.simhash import simhash_components
 
@@ -37,5 +37,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), *paths)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op4_packing)}
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = load(spark, sf_dir, "documents")
+    model = langid.train(docs.where(remainder(4) != 2), public_tokenizers.path("piece_bpe_32k.model"))
+    found = langid.identify(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op4_packing, op5_language)}
 ORACLE_SQL: dict[str, str] = {}
