@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vesselspark.llm import langid, packing, pii, quality, urlrules
+from vesselspark.llm import langid, packing, pii, quality, urlrules, vector_dedup
 from vesselspark.llm.common import load
 from vesselspark.llm.simhash import simhash_components
 
@@ -78,5 +78,9 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_pii, op4_packing, op5_language, op7_url_rules)}
+def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.vector_components(load(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_pii, op4_packing, op5_language, op7_url_rules, op10_vector_dedup)}
 ORACLE_SQL: dict[str, str] = {"op7_url_rules": OP7_SQL}
