@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vesselspark.llm import langid, packing, pii, quality, urlrules, vector_dedup
+from vesselspark.llm import ann, langid, packing, pii, quality, urlrules, vector_dedup
 from vesselspark.llm.common import load
 from vesselspark.llm.simhash import simhash_components
 
@@ -53,6 +53,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(load(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
@@ -82,5 +86,5 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.vector_components(load(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_pii, op4_packing, op5_language, op7_url_rules, op10_vector_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_pii, op4_packing, op5_language, op6_neighbours, op7_url_rules, op10_vector_dedup)}
 ORACLE_SQL: dict[str, str] = {"op7_url_rules": OP7_SQL}
