@@ -1,12 +1,74 @@
-"""A corpus cleaning pipeline over ``documents``; see STAGES."""
+"""A corpus cleaning pipeline over ``documents``: language ID, near-dedup, substring dedup, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and reread as the next one's docs. All but
+the last return the columns of documents. Rows that share a doc_id are one document and stay or go together.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vesselspark.llm import langid, packing, pii, simhash, substrings
+from vesselspark.llm.common import load, write_table
+
+#: A document whose likeliest language has less than this share of the probability has none.
+LEAST_SURE = 0.5
+
+
+def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known: those without a letter, and those without a clear language, go."""
+    model = langid.train(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    found = langid.annotate(docs, model, names=("__lang", "__sure"))
+    return found.where((F.col("__lang") != "und") & (F.col("__sure") >= LEAST_SURE)).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    found = simhash.simhash_components(docs)
+    kept = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__kept")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of passages that occur more than once go; a document without such a passage keeps its text as it is."""
+    found = substrings.remove_repeats(docs)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    return _as_documents(docs, found.withColumn("text", text))
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data are replaced by their kind in brackets."""
+    found = pii.annotate(docs, pii.train(docs), prefix="__")
+    return _as_documents(docs, found.withColumn("text", F.coalesce("__redacted", "text")))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return packing.pack(docs, *paths)
+
+
+def _as_documents(docs: DataFrame, changed: DataFrame) -> DataFrame:
+    """The columns of ``docs``, with n_chars, if there is one, of the new text."""
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return changed.select(*docs.columns)
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", keep_known_language),
+    ("near_dedup", drop_near_copies),
+    ("substring_dedup", drop_repeated_passages),
+    ("personal_data", redact),
+    ("packing", pack),
+]
+#: SQL expresses none of the stages but the second; each is tested against a plain version instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = load(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = write_table(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +47,21 @@ def drop_table(df: DataFrame) -> None:
     for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+
+
+def map_texts(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[str | None]], list[list]]], fields: list[tuple[str, str, pa.DataType]], rows: int = 512) -> DataFrame:
+    """``df`` with columns made from whole texts, without a shuffle. ``make`` is called once per task and returns what
+    turns a list of texts into the lists of the new columns; ``fields`` are their names, Spark types and Arrow types."""
+    names = [*df.columns, *(name for name, _, _ in fields)]
+    kinds = [kind for _, _, kind in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                block = batch.slice(at, rows)
+                made = work(block.column(len(block.columns) - 1).to_pylist())
+                yield pa.RecordBatch.from_arrays([*block.columns[:-1], *(pa.array(c, k) for c, k in zip(made, kinds))], names)
+
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"`{name}` {kind}" for name, kind, _ in fields]
+    return df.select("*", F.col(text_col).alias("__text")).mapInArrow(run, ", ".join(schema))

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vesselspark.llm.common import map_texts
+
 START = "▁"
 SLOT_BITS = 18
 MAYBE_BITS = 22
@@ -256,19 +258,16 @@ class Scorer:
         return langs, sure
 
 
+def annotate(docs: DataFrame, model: LanguageModel, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the language of every row's whole text and its share of the probability."""
+    fixed = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary and the languages
+    fields = [(names[0], "string", pa.string()), (names[1], "double", pa.float64())]
+    return map_texts(docs, text_col, lambda: Scorer(fixed.value).predict, fields)
+
+
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, lang_pred, score)`` of every row's whole text: the likeliest learned language and its share of the
     probability. Texts that are null or have no letter are ``und`` with score 0, as is all if nothing was learned.
     Ties go to the first language by name; null and repeated ids keep their rows; other columns are not read."""
-    fixed = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary and the languages
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(fixed.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                block = batch.slice(at, 512)
-                langs, sure = scorer.predict(block.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([block.column(0), pa.array(langs), pa.array(sure)], ["id", "lang_pred", "score"])
-
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return base.mapInArrow(run, "id long, lang_pred string, score double")
+    return annotate(base, model).drop("text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vesselspark.llm import ann, langid, packing, pii, quality, substrings, urlrules, vector_dedup
+from vesselspark.llm import ann, langid, packing, pieces, pii, quality, substrings, urlrules, vector_dedup
 from vesselspark.llm.common import load
 from vesselspark.llm.simhash import simhash_components
 
@@ -87,9 +87,16 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = pieces.round_trip(load(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select(F.col("id").alias("doc_id"), "n_ids", "ids_crc32", "score", "exact")
+
+
 def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.vector_components(load(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_pii, op4_packing, op5_language, op6_neighbours, op7_url_rules, op8_substrings, op10_vector_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_pii, op4_packing, op5_language, op6_neighbours, op7_url_rules, op8_substrings, op9_pieces, op10_vector_dedup)}
 ORACLE_SQL: dict[str, str] = {"op7_url_rules": OP7_SQL}
