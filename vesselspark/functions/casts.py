@@ -39,7 +39,7 @@ def text_or_null(value) -> Column:
 
 def split_list(value) -> Column:
     """A comma list as its trimmed, non-empty items."""
-    items = F.transform(F.split(F.coalesce(col(value), F.lit("")), ","), F.trim)
+    items = F.transform(F.split(F.coalesce(col(value), F.lit("")), ","), lambda x: F.trim(x))
     return F.filter(items, lambda x: x != "")
 
 
