@@ -7,6 +7,7 @@ import math
 import duckdb
 import pytest
 
+from vesselspark.plans import more_queries  # noqa: F401  registers its queries
 from vesselspark.plans.queries import QUERIES, SQL
 
 D = "/root/testdata/sf0.01"
