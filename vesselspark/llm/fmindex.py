@@ -70,24 +70,37 @@ class FMIndex:
 
 def repeated_windows(index: FMIndex, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, window: int) -> list[tuple[int, int, int]]:
     """For texts of the index, each ``symbols[start : start + length]``, the maximal stretches of windows that occur
-    twice or more: (text, first window, windows). From each end the search goes back as long as a second occurrence
-    remains, which is the matching statistic of that end; all texts move in step."""
+    twice or more: (text, first window, windows).
+
+    From an end the search goes back as long as a second occurrence remains, which is the matching statistic of that end.
+    Where it stops at a word, probes look for a short stretch from that word on, of two words and twice as many each
+    time, that occurs once: no window that has the stretch is repeated, so the next end lies within it. All texts move
+    in step."""
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     text = np.flatnonzero(lengths >= window)
-    end = lengths[text].copy()
-    at, low, high = end.copy(), np.zeros(len(text), np.int64), np.full(len(text), index.n)
+    end = lengths[text].copy()  # of the search, or while probing of the one to come
+    tip, at, stop = end.copy(), end.copy(), np.full(len(text), -1)  # the stretch being matched is [at, tip); -1: no probe
+    low, high = np.zeros(len(text), np.int64), np.full(len(text), index.n)
     while len(text):
         new_low, new_high = index.extend(symbols[starts[text] + at - 1], low, high)
         more = new_high - new_low >= 2
         at, low, high = at - more, np.where(more, new_low, low), np.where(more, new_high, high)
-        over = ~more | (at == 0) | (end - at >= DEPTH)
-        if over.any():
-            hit = over & (end - at >= window)
-            found.append((text[hit], at[hit], end[hit] - window - at[hit] + 1))
-            following = np.where(end - at >= window, at + window - 1, end - 1)
-            end = np.where(over, following, end)
-            at = np.where(over, end, at)
-            low, high = np.where(over, 0, low), np.where(over, index.n, high)
-            alive = end >= window
-            text, end, at, low, high = text[alive], end[alive], at[alive], low[alive], high[alive]
+        probing = stop >= 0
+        over = ~more | np.where(probing, at == stop, (at == 0) | (tip - at >= DEPTH))
+        if not over.any():
+            continue
+        main, probe = over & ~probing, over & probing
+        hit = main & (tip - at >= window)
+        found.append((text[hit], at[hit], tip[hit] - window - at[hit] + 1))
+        once = probe & ~more
+        size = np.where(main, 2, 2 * (tip - stop))
+        stop = np.where(main & ~more, at - 1, stop)
+        end = np.where(hit, at + window - 1, np.where(main, end - 1, np.where(once, np.minimum(end, tip - 1), end)))
+        # on with a probe, as long as it is shorter than what is known to occur once
+        ahead = (main & ~more | probe & ~once) & (stop + size <= end)
+        stop = np.where(over & ~ahead, -1, stop)
+        tip = np.where(ahead, stop + size, np.where(over, end, tip))
+        at, low, high = np.where(over, tip, at), np.where(over, 0, low), np.where(over, index.n, high)
+        alive = end >= window
+        text, end, tip, at, stop, low, high = (x[alive] for x in (text, end, tip, at, stop, low, high))
     return [tuple(map(int, row)) for part in found for row in zip(*part)]
