@@ -15,6 +15,8 @@ from vesselspark.llm.common import load, write_table
 
 #: A document whose likeliest language has less than this share of the probability has none.
 LEAST_SURE = 0.5
+#: Workers live through all stages, so packing remembers fewer words here than alone.
+CACHED_WORDS = 300_000
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +48,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return packing.pack(docs, *paths)
+    return packing.pack(docs, *paths, cached_words=CACHED_WORDS)
 
 
 def _as_documents(docs: DataFrame, changed: DataFrame) -> DataFrame:

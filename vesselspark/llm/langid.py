@@ -28,7 +28,7 @@ STEP = np.uint64(0x100000001B3)
 UNKNOWN = 1e-7  # of a single character that is no piece
 MAX_DOCS = 3000
 MAX_WORDS = 200_000
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
 CUT = 48  # longer words are scored in parts of so many characters
 
 

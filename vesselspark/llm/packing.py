@@ -41,7 +41,7 @@ class WordEncoder:
     the same vocabulary as ranks, which is faster word by word. Texts with other white space, with white space side by
     side or at an end, or with a special token's string are encoded whole."""
 
-    def __init__(self, path: str, ranks_path: str):
+    def __init__(self, path: str, ranks_path: str, cached_words: int):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -51,6 +51,7 @@ class WordEncoder:
             ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
         self.words = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
+        self.cached_words = cached_words
         self.feed = self._word("\n")
 
     def _word(self, word: str) -> bytes:
@@ -81,7 +82,7 @@ class WordEncoder:
                     if ids is None:
                         found[k] = self._remembered(words[k])
             out.append(b"".join(found))
-        if len(known) > CACHED_WORDS:
+        if len(known) > self.cached_words:
             known.clear()
         return self.feed.join(out)
 
@@ -89,10 +90,10 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str, ranks_path: str) -> WordEncoder:
+def encoder(path: str, ranks_path: str, cached_words: int = CACHED_WORDS) -> WordEncoder:
     """One encoder, with its memory of words, per worker process."""
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path, ranks_path)
+        _encoders[path] = WordEncoder(path, ranks_path, cached_words)
     return _encoders[path]
 
 
@@ -103,14 +104,14 @@ def cut(n_ids: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, ranks_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
-                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                     id_col: str = "doc_id", text_col: str = "text", cached_words: int = CACHED_WORDS) -> DataFrame:
     """The pieces of every row's whole text, with the partition they came from and their number among the
     partition's pieces of that length."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
-        encode = encoder(tokenizer_path, ranks_path).encode
+        encode = encoder(tokenizer_path, ranks_path, cached_words).encode
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 out: list[tuple] = []
@@ -180,10 +181,10 @@ def plan(counts: dict[int, int], capacity: int) -> dict[int, list[tuple[int, int
 
 
 def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
-         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+         id_col: str = "doc_id", text_col: str = "text", cached_words: int = CACHED_WORDS) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``. A null text counts as
     empty and gives a piece of the end id alone; null and repeated ids keep their rows; an empty table gives none."""
-    pieces = write_table(tokenized_pieces(docs, tokenizer_path, ranks_path, capacity, end_id, id_col, text_col))
+    pieces = write_table(tokenized_pieces(docs, tokenizer_path, ranks_path, capacity, end_id, id_col, text_col, cached_words))
     parts = pieces.groupBy("part", "length").count()
     before = F.sum("count").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     parts = write_table(parts.select("part", "length", "count", F.coalesce(before, F.lit(0)).alias("before")))
