@@ -74,6 +74,16 @@ def test_gates_and_assignment(spark):
     assert sum(0.95 if out[k].track_id == "NEW" else 1 - out[k].confidence for k in ids) == pytest.approx(whole)
 
 
+def test_names_come_before_assignment(spark):
+    _, t = batch(spark)
+    t = t.where("track_id = 'T03'").unionByName(t.where("track_id = 'T03'").withColumns({"track_id": F.lit("T90"), "latitude": F.lit(60.0), "updated_at": F.col("updated_at") - F.expr("interval 1 hour")}))
+    at = t.where("track_id = 'T03'").first()
+    rows = [det(k, "ais", k, 50.0, 50.0 + k, mmsi="3") for k in range(4)] + [det(10, "radar", 0, at.latitude, at.longitude), det(11, "ais", 0, -50.0, 0.0, mmsi="unknown")]
+    got = sorted((r.detection_id, r.track_id, r.confidence == 1, r.exact) for r in correlate.assign(spark.createDataFrame(rows, DET), t).collect())
+    assert [g[:2] for g in got] == [*((f"{k:04d}", "T03") for k in range(4)), ("0010", "T03"), ("0011", "NEW")]
+    assert all(g[2] for g in got[:4]) and all(g[3] for g in got)
+
+
 def test_merge(spark):
     rows = [("A", "1", "ais", 10.0, 70.0, {"ais": 4}, 4, 50, False, 0.0, "confirmed"), ("B", "1", "ais", 10.0, 70.0, {"ais": 1, "radar": 2}, 3, 60, True, 0.7, "confirmed"),
             ("C", None, "unknown", 10.04, 70.0, {"radar": 5}, 5, 20, False, 0.0, "tentative"), ("D", None, "unknown", 10.05, 70.0, {"radar": 1}, 1, 0, False, 0.0, "tentative")]
