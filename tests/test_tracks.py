@@ -4,6 +4,7 @@ import itertools
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +32,24 @@ def test_hungarian_is_optimal():
         assert cost[np.arange(n), got].sum() == pytest.approx(best)
 
 
+def test_large_components_are_exact():
+    rng = np.random.default_rng(2)
+    for n, m, share in [(int(rng.integers(1, 9)), int(rng.integers(1, 9)), float(rng.random())) for _ in range(400)] + [(120, 90, 0.05), (90, 120, 0.3)]:
+        cost = np.where(rng.random((n, m)) < share, np.round(rng.random((n, m)) * 1.1, 1) if n % 2 else rng.random((n, m)), 1e6)
+        whole = np.full((n, m + n), 1e6)
+        whole[:, :m] = cost
+        whole[np.arange(n), m + np.arange(n)] = 0.95
+        got = correlate.cheapest([[(c, cost[r, c]) for c in range(m) if cost[r, c] < 1e6] for r in range(n)], 0.95)
+        used = [c for c in got if c >= 0]
+        assert len(set(used)) == len(used)
+        assert sum(0.95 if c < 0 else cost[r, c] for r, c in enumerate(got)) == pytest.approx(whole[np.arange(n), correlate.hungarian(whole)].sum())
+    # a chain: each detection's best track is the best of the one before too, and the next track is free
+    n = 500
+    pairs = [(f"d{k:04d}", f"t{k:04d}", 0.9 - 1e-5 * k) for k in range(n)] + [(f"d{k:04d}", f"t{k - 1:04d}", 0.9001 - 1e-5 * k) for k in range(1, n)]
+    out = correlate.solve(pd.DataFrame(pairs, columns=["detection_id", "track_id", "confidence"]))
+    assert (out.track_id != "NEW").all() and out.track_id.is_unique and out.exact.all()
+
+
 def test_labels(spark):
     edges = [(f"n{k:03d}", f"n{k + 1:03d}") for k in range(60)] + [("x", "y"), ("z", "y"), ("q", "q")]
     got = {r.node: r.label for r in component_labels(spark.createDataFrame(edges, "a string, b string")).collect()}
