@@ -125,6 +125,25 @@ def test_fold_by_hand():
     assert tracks.quality(3, 8, 100) == 80
 
 
+def test_fold_keeps_one_track_at_a_time(spark):
+    rows = [det(k, ["radar", "ais", "drone"][k % 3], k // 2, 10 + k * 1e-4, 70.0, mmsi=str(k % 4) if k % 3 == 1 else None) for k in range(200)]
+    d = spark.createDataFrame(rows, DET).withColumn("track_id", F.concat(F.lit("V"), (F.col("detection_id").cast("int") % 4).cast("string"))).orderBy(F.desc("detection_id"))
+    folded = tracks.fold_tracks(d)
+    assert "FlatMapGroupsInPandas" not in folded._jdf.queryExecution().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.track_id: r for r in folded.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    names = [c.split()[0] for c in DET.split(", ")]
+    for k in range(4):
+        want = tracks.fold(f"V{k}", [dict(zip(names, r)) for r in rows if int(r[0]) % 4 == k])
+        own = got[f"V{k}"]
+        assert own.update_count == 50 and own.mmsi == want["mmsi"] and own.updated_at == want["updated_at"] and own.contributing_sensors == want["contributing_sensors"]
+        assert (own.latitude, own.position_uncertainty_m, own.track_quality) == pytest.approx((want["latitude"], want["position_uncertainty_m"], want["track_quality"]))
+    assert len(got) == 4
+
+
 def value(spark, *columns):
     return tuple(spark.range(1).select(*[c.alias(f"c{k}") for k, c in enumerate(columns)]).first())
 

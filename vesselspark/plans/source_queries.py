@@ -107,7 +107,7 @@ SIGHTING = ["detection_id", "latitude", "longitude", "confidence", "vessel_lengt
 
 @query("d14_geojson", f"WITH {P} {SIGHTING_SQL}")
 def _(spark, d):
-    files = sinks.detections_geojson(sightings(spark, d))
+    files = sinks.detections_geojson(sightings(spark, d), F.floor(F.substring("detection_id", 2, 20).cast("long") / 100).alias("frame"))
     return satellite.geojson_features(files.select(F.from_json("value", satellite.PASS_SCHEMA).alias("f")).select("f.*")).select(*SIGHTING)
 
 
@@ -124,7 +124,7 @@ def _(spark, d):
     box = F.struct(F.lit(1).alias("x"), F.lit(2).alias("y"), F.lit(3).alias("width"), F.lit(4).alias("height"))
     size = F.struct(F.col("vessel_length_m").alias("length_m"), F.lit(None).cast("double").alias("width_m"))
     one = F.struct(F.col("event_id").cast("string").alias("detection_id"), F.lower("vessel_type").alias("class"), "confidence", box.alias("bbox"), F.struct("latitude", "longitude").alias("geo_position"), size.alias("estimated_dimensions"), F.lit(None).cast("string").alias("tracking_id"))
-    frames = positions(spark, d).where("sensor = 'drone'").groupBy(F.date_format("ts", "yyyy-MM-dd'T'HH:00:00'Z'").alias("timestamp")).agg(F.to_json(F.struct(F.first(F.date_format("ts", "yyyy-MM-dd'T'HH:00:00'Z'")).alias("timestamp"), F.collect_list(one).alias("detections"))).alias("value"))
+    frames = positions(spark, d).where("sensor = 'drone'").groupBy(F.date_format("ts", "yyyy-MM-dd'T'HH:00:00'Z'").alias("timestamp"), F.floor(F.col("event_id") / 100).alias("frame")).agg(F.to_json(F.struct(F.first(F.date_format("ts", "yyyy-MM-dd'T'HH:00:00'Z'")).alias("timestamp"), F.collect_list(one).alias("detections"))).alias("value"))
     read = frames.select(F.from_json("value", feeds.DRONE_SCHEMA).alias("f")).select("f.*")
     return feeds.drone_detections(read).select("detection_id", "object_class", "latitude", "longitude", "confidence", "estimated_length_m", F.col("bounding_box.x").alias("x"))
 
