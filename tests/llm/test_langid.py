@@ -1,15 +1,16 @@
 from __future__ import annotations
 
 import math
+import time
 
 import numpy as np
 import public_tokenizers as P
 import pytest
 
-from vesselspark.llm.langid import SCALE, START, UNKNOWN, LanguageModel, Scorer, Vocabulary, _lattice, _matrix, forward, identify, stem, train
+from vesselspark.llm.langid import START, UNKNOWN, LanguageModel, Scorer, Vocabulary, identify, log_sums, public_pieces, train
 from vesselspark.llm.queries import op5_language
 
-PIECES = [START, "a", "b", "ab", START + "a", "aba", "ba", START + "ab", "ü", ".", "!."]
+PIECES = [START, "a", "b", "ab", START + "a", "aba", "ba", START + "ab", "ü", ".", "!.", "b.", "aa.", "ab!"]
 
 
 def model():
@@ -32,16 +33,53 @@ def plain(word, weights):
     return total
 
 
-@pytest.mark.parametrize("word", ["a", "ab", "abab", "zzab", "abaab.", "ü!", "...", "!.!."])
+def steps(word, weights, pieces):
+    """The logarithm of the same sum for any length, by logarithms at every position."""
+    logs = [np.zeros(weights.shape[1])]
+    longest = max(map(len, pieces))
+    with np.errstate(divide="ignore"):
+        for t in range(1, len(word) + 1):
+            terms = [logs[t - n] + np.log(weights[pieces[word[t - n : t]]]) for n in range(1, min(t, longest) + 1) if word[t - n : t] in pieces]
+            if word[t - 1] not in pieces:
+                terms.append(logs[t - 1] + np.log(UNKNOWN))
+            logs.append(np.logaddexp.reduce(terms))
+    return logs[-1]
+
+
+@pytest.mark.parametrize("word", ["a", "ab", "abab", "zzab", "abaab.", "ü!", "...", "!.!.", "aa.", "zb!", "b.!", "ab!."])
 def test_all_segmentations(word):
     m = model()
-    marked = START + word
-    core = stem(marked)
-    expected = np.log(plain(core, m.weights)) + np.log(plain(marked[len(core) :], m.weights))
+    expected = np.log(plain(START + word, m.weights))
     assert np.allclose(Scorer(m).logs([word])[0], expected)
-    points, lengths = _matrix([marked, START])
-    sums = forward(_lattice(Vocabulary(PIECES), points), m.weights, points.shape[1])
-    assert np.allclose(sums[lengths[0], 0] / SCALE ** lengths[0], plain(marked, m.weights))
+    assert np.allclose(steps(START + word, m.weights, {p: k for k, p in enumerate(PIECES)}), expected)
+    assert np.allclose(log_sums(Vocabulary(PIECES), m.weights, [START, START + word])[1], expected)
+
+
+def test_words_of_any_length():
+    """Whole words, summed in blocks and in batches of any size, against sums position by position."""
+    rng = np.random.default_rng(5)
+    m, at = model(), {p: k for k, p in enumerate(PIECES)}
+    words = ["".join(rng.choice(list("abüz.!"), n)) for n in (1, 2, 47, 48, 49, 50, 64, 65, 96, 97, 200, 5000)]
+    words += ["a" * 3000, "ab" * 1000, "z" * 2000, "ü!" * 40]
+    expected = np.array([steps(START + w, m.weights, at) for w in words])
+    assert np.allclose(log_sums(Vocabulary(PIECES), m.weights, [START + w for w in words]), expected, rtol=1e-9)
+    many = [w for w in words if len(w) <= 200] * 40
+    assert np.allclose(Scorer(m).logs(many), np.tile([e for w, e in zip(words, expected) if len(w) <= 200], (40, 1)), rtol=1e-9)
+    text = " ".join(words)
+    assert np.allclose(Scorer(m).logs([text, "a"])[0], expected.sum(axis=0), rtol=1e-9)
+
+
+def test_public_vocabulary_and_long_words():
+    pieces = public_pieces(P.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(7)
+    weights = rng.dirichlet(np.full(len(pieces), 0.1), 2).T + 1e-9
+    weights = np.r_[weights / weights.sum(axis=0), np.zeros((1, 2))]
+    m, at = LanguageModel(["xx", "yy"], pieces, weights), {p: k for k, p in enumerate(pieces)}
+    words = ["don't.", "etc...", "it's,", "end.\"", "x" * 100, "theoretically" * 400, "日本語のテキスト。" * 30, "a.b.c.", "(see)", "...", "it.'"]
+    assert np.allclose(Scorer(m).logs(words), [steps(START + w, weights, at) for w in words], rtol=1e-9)
+    began = time.time()
+    Scorer(m).logs(["q7Z+" * 250_000])
+    assert time.time() - began < 60
 
 
 def test_texts_add_up():
@@ -73,3 +111,12 @@ def test_held_out(spark):
     both = rows.merge(docs, on="doc_id")
     assert len(both) == len(rows) == len(docs) and rows.score.map(math.isfinite).all()
     assert (both.lang_pred == both.lang)[both.held_out].mean() >= 0.98
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(k, f"the cat and the dog number w{k}", "en") for k in range(3000)] + [(9000 + k, "kissa ja koira", "fi") for k in range(3)]
+    rows += [(9010, "tämä " * 3_000_000, "xx"), (9011, "tätä", "xx"), *[(9020, "hund og kat", "da")] * 500]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train(docs, P.path("piece_bpe_32k.model"), max_docs=50, max_chars=10_000)
+    assert model.langs == ["da", "en", "fi", "xx"] and np.allclose(model.weights.sum(axis=0), 1)
+    assert Scorer(model).predict(["kissa ja koira", "the dog", "hund og kat", "tämä"])[0] == ["fi", "en", "da", "xx"]

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+from pathlib import Path
 
 import corpus_pipeline as C
 from test_packing import check
@@ -56,12 +57,22 @@ def test_each_stage(spark, tmp_path):
 
 
 def test_nulls_repeats_and_an_empty_table(spark):
-    wide = [(None, "the cat and the dog", "en", None, None, "x"), (1, None, None, "s", 3, "x"), (2, "der Hund", "de", "s", 8, "y"), (2, "der Hund", "de", "s", 8, "y")]
-    df = spark.createDataFrame(wide, SCHEMA + ", __id string")
+    clashing = "n_words long, n_removed long, kept string, __lang string, __hash string, __redacted string, __kept string, found_lang string, Redacted string, id long"
+    more = (77, 78, "mine", "l", "h", "r", "k", "f", "R", 5)
+    wide = [(None, "the cat and the dog", "en", None, None), (1, None, None, "s", 3), (2, "der Hund", "de", "s", 8), (2, "der Hund", "de", "s", 8)]
+    df = spark.createDataFrame([(*r, *more) for r in wide], f"{SCHEMA}, {clashing}")
     for table in (df, df.limit(0)):
         now = table
         for _, stage in C.STAGES[:-1]:
             now = stage(spark, now, None)
-            assert now.columns == table.columns
+            assert now.columns == table.columns and all(tuple(r)[5:] == more for r in now.collect())
         packed = C.STAGES[-1][1](spark, now, None).collect()
         assert len(packed) == now.count() == (0 if table is not df else 3)
+
+
+def test_run_leaves_only_what_its_result_reads(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").write.parquet(str(tmp_path / "documents.parquet"))
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.iterdir())
+    packed = C.run(spark, str(tmp_path)).collect()
+    assert len(packed) > 100 and len(set(shared.iterdir()) - before) <= 4

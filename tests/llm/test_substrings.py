@@ -42,7 +42,7 @@ def test_index_counts():
         assert high[0] - low[0] == sum(text[k : k + size] == pattern for k in range(401))
 
 
-@pytest.mark.parametrize("window", [3, 35])
+@pytest.mark.parametrize("window", [3, 35, 64, 65, 90])
 def test_repeated_windows(window):
     rnd = np.random.default_rng(window)
     texts = [rnd.integers(1, 4, int(rnd.integers(1, 120))) for _ in range(30)]
@@ -51,7 +51,7 @@ def test_repeated_windows(window):
     lengths = np.array([len(t) for t in texts])
     starts = np.r_[0, np.cumsum(lengths + 1)[:-1]]
     symbols = np.concatenate([np.r_[t, 0] for t in texts])
-    got = {(t, k) for t, at, n in repeated_windows(FMIndex(symbols), symbols, starts, lengths, window) for k in range(at, at + n)}
+    got = {(t, k) for t, at, n in repeated_windows(FMIndex(symbols, max(64, window)), symbols, starts, lengths, window) for k in range(at, at + n)}
     seen = Counter(tuple(t[i : i + window]) for t in texts for i in range(len(t) - window + 1))
     assert got == {(k, i) for k, t in enumerate(texts) for i in range(len(t) - window + 1) if seen[tuple(t[i : i + window])] > 1}
 
@@ -84,12 +84,15 @@ def corpus():
     return [None, "", " \n", "a b", "a b c", *texts, " ".join(text(30_000))]
 
 
-@pytest.mark.parametrize("hot", [512, 4])
-def test_matches_counting_all_windows(spark, hot):
+@pytest.mark.parametrize("window, hot", [(35, 512), (35, 4), (100, 512), (3, 512)])
+def test_matches_counting_all_windows(spark, window, hot):
     texts = corpus()
-    df = spark.createDataFrame([(k, t, "s", k) for k, t in enumerate(texts)], "doc_id long, text string, source string, kept long")
-    rows = remove_repeats(df.repartition(3), hot=hot).collect()
-    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in rows} == dict(enumerate(plain(texts, 35)))
+    df = spark.createDataFrame([(k, t, "s", k) for k, t in enumerate(texts)], "doc_id long, text string, source string, text_hash long")
+    rows = remove_repeats(df.repartition(3), window, hot=hot).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in rows} == dict(enumerate(plain(texts, window)))
+    assert all(r.text_hash == r.doc_id for r in rows)
+    with pytest.raises(ValueError):
+        remove_repeats(df, names=("n", "Source", "k"))
     assert rows[0].source == "s" and len(rows) == len(texts)
 
 

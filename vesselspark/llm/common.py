@@ -1,9 +1,7 @@
-"""Shared helpers: reading the input tables and cutting lineage with tables in the shared folder."""
+"""Shared helpers: reading the input tables, free column names, and columns made from whole texts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -22,31 +20,15 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="vesselspark-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def write_table(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back, so that later steps neither recompute
-    it nor depend on any executor's disk. The folder's owner clears it; ``drop_table`` does so early."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Delete a table of ``write_table`` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores put before it until none of the columns has it in any case."""
+    taken, free = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        free.append(name)
+    return free
 
 
 def map_texts(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[str | None]], list[list]]], fields: list[tuple[str, str, pa.DataType]], rows: int = 512) -> DataFrame:
@@ -64,4 +46,4 @@ def map_texts(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[st
                 yield pa.RecordBatch.from_arrays([*block.columns[:-1], *(pa.array(c, k) for c, k in zip(made, kinds))], names)
 
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"`{name}` {kind}" for name, kind, _ in fields]
-    return df.select("*", F.col(text_col).alias("__text")).mapInArrow(run, ", ".join(schema))
+    return df.select("*", F.col(f"`{text_col}`").alias(*unused(names, "text"))).mapInArrow(run, ", ".join(schema))

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Suffixes are sorted by so many symbols, so a backward search may match as many.
+#: Suffixes are sorted by so many symbols at least, so a backward search may match as many.
 DEPTH = 64
 
 
@@ -32,10 +32,12 @@ def suffix_order(symbols: np.ndarray, depth: int = DEPTH) -> np.ndarray:
 
 
 class FMIndex:
-    """``symbols``: dense numbers from 0, one per distinct word; 0 separates texts and is in no pattern."""
+    """``symbols``: dense numbers from 0, one per distinct word; 0 separates texts and is in no pattern. Patterns may have
+    up to ``depth`` symbols."""
 
-    def __init__(self, symbols: np.ndarray):
-        order = suffix_order(symbols)
+    def __init__(self, symbols: np.ndarray, depth: int = DEPTH):
+        self.depth = depth
+        order = suffix_order(symbols, depth)
         before = symbols[order - 1]  # of the first suffix the last symbol, a separator
         self.n, self.size = len(symbols), int(symbols.max()) + 1
         self.first = np.r_[0, np.cumsum(np.bincount(symbols, minlength=self.size))]
@@ -73,9 +75,11 @@ def repeated_windows(index: FMIndex, symbols: np.ndarray, starts: np.ndarray, le
     twice or more: (text, first window, windows).
 
     From an end the search goes back as long as a second occurrence remains, which is the matching statistic of that end.
-    Where it stops at a word, probes look for a short stretch from that word on, of two words and twice as many each
+    The index must be at least as deep as the window. Where the search stops at a word, probes look for a short stretch from that word on, of two words and twice as many each
     time, that occurs once: no window that has the stretch is repeated, so the next end lies within it. All texts move
     in step."""
+    if window > index.depth:
+        raise ValueError(f"an index of depth {index.depth} can't find windows of {window}")
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     text = np.flatnonzero(lengths >= window)
     end = lengths[text].copy()  # of the search, or while probing of the one to come
@@ -86,7 +90,7 @@ def repeated_windows(index: FMIndex, symbols: np.ndarray, starts: np.ndarray, le
         more = new_high - new_low >= 2
         at, low, high = at - more, np.where(more, new_low, low), np.where(more, new_high, high)
         probing = stop >= 0
-        over = ~more | np.where(probing, at == stop, (at == 0) | (tip - at >= DEPTH))
+        over = ~more | np.where(probing, at == stop, (at == 0) | (tip - at >= index.depth))
         if not over.any():
             continue
         main, probe = over & ~probing, over & probing

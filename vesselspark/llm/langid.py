@@ -1,20 +1,23 @@
 """Language identification by segmentation-marginalised unigrams.
 
-Each language has probabilities of the pieces of a fixed public vocabulary. The probability of a word is the sum over
-all its segmentations into pieces, by a forward algorithm; a text's is the product over its words. The probabilities
-are learned by expectation maximisation, whose expected piece counts come from the same algorithm run both ways. The
-algorithm runs in numpy over many words at once. In scoring, a word is computed once per worker and remembered.
+Each language has probabilities of the pieces of a fixed public vocabulary. The probability of a word, with the mark of a
+blank before it, is the sum over all its segmentations into pieces, by a forward algorithm; a text's is the product over
+its words. The probabilities are learned by expectation maximisation, one language a task, whose expected piece counts
+come from the same algorithm run both ways. The algorithm runs in numpy over many words at once. In scoring, a word is
+computed once per worker and remembered, in two parts where no piece crosses from one to the other.
 """
 
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vesselspark.llm.common import map_texts
@@ -26,10 +29,16 @@ SCALE = 1e3
 MIX = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0x100000001B3)
 UNKNOWN = 1e-7  # of a single character that is no piece
-MAX_DOCS = 3000
-MAX_WORDS = 200_000
+#: The sample of a language: so many documents, and no more of them once they have so many characters.
+DOCS_A_LANGUAGE = 1000
+CHARS_A_LANGUAGE = 4_000_000
 CACHED_WORDS = 250_000
-CUT = 48  # longer words are scored in parts of so many characters
+REMEMBERED = 64  # longer words are not kept
+BLOCK = 32  # positions between which sums are scaled anew; the least weight, of 1e-9, leaves them within range
+CELLS = 1 << 19
+LOOKED_UP = 1 << 13
+FEW = 64
+PART = 48  # the expectations of a longer word of the sample are taken in parts of so many characters
 
 
 class Vocabulary:
@@ -47,6 +56,7 @@ class Vocabulary:
         self.depth = int((self.slots != self.size).any(axis=1).sum())
         self.maybe = np.zeros(1 << MAYBE_BITS, dtype=bool)  # most strings are no piece: one look tells
         self.maybe[(hashes * MIX) >> np.uint64(64 - MAYBE_BITS)] = True
+        self.split = splitter(pieces)
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -81,6 +91,25 @@ def public_pieces(path: str) -> list[str]:
     return [model.id_to_piece(k) for k in ids if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k))]
 
 
+def splitter(pieces: list[str]) -> Callable[[str], tuple[str, str]]:
+    """What parts a marked word from the punctuation at its end, if no segmentation of it has a piece across that border;
+    the word's sum is then the product of theirs."""
+    across: dict[str, list[tuple[str, str]]] = {}  # by the two characters at the border
+    for piece in pieces:
+        bare = piece.rstrip(string.punctuation)
+        if bare and bare != piece:
+            across.setdefault(piece[len(bare) - 1 : len(bare) + 1], []).append((bare, piece[len(bare) :]))
+
+    def split(word: str) -> tuple[str, str]:
+        stem = word.rstrip(string.punctuation)
+        at = len(stem)
+        if at == len(word) or any(stem.endswith(s) and word.startswith(t, at) for s, t in across.get(word[at - 1 : at + 1], ())):
+            return word, ""
+        return stem, word[at:]
+
+    return split
+
+
 def _matrix(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(w) for w in words])
     points = np.zeros((len(words), int(lengths.max())), dtype=np.uint64)
@@ -100,22 +129,76 @@ def _lattice(vocabulary: Vocabulary, points: np.ndarray) -> list[np.ndarray]:
     return found
 
 
-def forward(lattice: list[np.ndarray], weights: np.ndarray, width: int) -> np.ndarray:
-    """Sums over all segmentations of each word's first t characters, times SCALE**t, which keeps the at most CUT
-    steps within range. ``weights``: (pieces + 1, languages), the last row zero. -> (positions, words, languages)."""
-    words, no_piece = lattice[0].shape[0], len(weights) - 1
-    sums = np.zeros((width + 1, words, weights.shape[1]))
-    sums[0] = 1
-    scaled = [weights * SCALE**n for n in range(len(lattice) + 1)]
+def log_sums(vocabulary: Vocabulary, weights: np.ndarray, words: list[str]) -> np.ndarray:
+    """(words, languages): the logarithm of each word's sum over all its segmentations. ``weights``: (pieces + 1,
+    languages), the last row zero. Words may have any length: only the sums of as many positions as the longest piece has
+    are kept, and every BLOCK positions they are scaled to a largest one of 1."""
+    result = np.zeros((len(words), weights.shape[1]))
+    by_length = sorted(range(len(words)), key=lambda k: len(words[k]))
+    at = 0
+    while at < len(words):
+        size = max(1, min(len(words) - at, CELLS // max(1, len(words[by_length[at]]))))
+        while size > 1 and size * len(words[by_length[at + size - 1]]) > CELLS:
+            size = -(-size // 2)
+        part = by_length[at : at + size]
+        result[part] = _sums_of_sorted(vocabulary, weights, [words[k] for k in part])
+        at += size
+    return result
+
+
+def _sums_of_sorted(vocabulary: Vocabulary, weights: np.ndarray, words: list[str]) -> np.ndarray:
+    points, lengths = _matrix(words)
+    width, reach, no_piece = points.shape[1], vocabulary.longest, len(weights) - 1
+    result, shift = np.zeros((len(words), weights.shape[1])), np.zeros((len(words), weights.shape[1]))
+    scaled = [weights * SCALE**n for n in range(reach + 1)]
     scaled[1][-1] = UNKNOWN * SCALE
-    for t in range(1, width + 1):
-        sums[t] = sums[t - 1] * scaled[1][lattice[0][:, t - 1]]
-        for n in range(2, min(t, len(lattice)) + 1):
-            piece = lattice[n - 1][:, t - n]
+    # sums[reach + k]: over the first (begin of the block) + k characters, times SCALE for each
+    sums = np.zeros((reach + min(BLOCK, width) + 1, len(words), weights.shape[1]))
+    sums[reach] = 1
+    known, low, first = 0, 0, 0  # up to where, from where and from which word on pieces are looked up
+    for begin in range(0, width, BLOCK):
+        alive = int(np.searchsorted(lengths, begin, side="right"))  # shorter words are done
+        end = min(width, begin + BLOCK)
+        if end > known:
+            low, first = max(0, begin - reach + 1), alive
+            known = min(width, begin + BLOCK * max(1, LOOKED_UP // (BLOCK * (len(words) - alive))))
+            lattice = _lattice(vocabulary, points[first:, low:known])
+        own = sums[:, alive:]
+        step = _few if len(words) - alive <= FEW else _many
+        step([x[alive - first :] for x in lattice], own, scaled, begin - low, end - begin, reach, no_piece)
+        ended = np.arange(alive, int(np.searchsorted(lengths, end, side="right")))
+        at = lengths[ended]
+        result[ended] = np.log(sums[reach + at - begin, ended]) + shift[ended] - np.log(SCALE) * at[:, None]
+        if end < width:
+            last = own[end - begin : end - begin + reach + 1].copy()
+            most = last.max(axis=0)
+            own[: reach + 1] = last / most
+            shift[alive:] += np.log(most)
+    return result
+
+
+def _many(lattice, sums, scaled, ahead: int, steps: int, reach: int, no_piece: int) -> None:
+    """Fill a block's sums, position by position and only where there are pieces. ``ahead``: the lattice's positions
+    before the block."""
+    for t in range(1, steps + 1):
+        now = reach + t
+        sums[now] = sums[now - 1] * scaled[1][lattice[0][:, ahead + t - 1]]
+        for n in range(2, min(ahead + t, len(lattice)) + 1):
+            piece = lattice[n - 1][:, ahead + t - n]
             hit = np.flatnonzero(piece < no_piece)
             if len(hit):
-                sums[t, hit] += sums[t - n, hit] * scaled[n][piece[hit]]
-    return sums
+                sums[now, hit] += sums[now - n, hit] * scaled[n][piece[hit]]
+
+
+def _few(lattice, sums, scaled, ahead: int, steps: int, reach: int, no_piece: int) -> None:
+    """The same for few words: the weights of all lengths at once."""
+    words, langs = sums.shape[1:]
+    shares = np.zeros((steps, reach, words, langs))  # of the pieces that start ``reach - k`` positions before an end
+    for n, pieces in enumerate(lattice, 1):
+        first = max(1, n - ahead)  # the first end in the block with so long a piece
+        shares[first - 1 :, reach - n] = scaled[n][pieces[:, ahead + first - n : ahead + steps - n + 1].T]
+    for t in range(1, steps + 1):
+        sums[reach + t] = np.einsum("nwl,nwl->wl", sums[t : reach + t], shares[t - 1])
 
 
 @dataclass
@@ -127,40 +210,66 @@ class LanguageModel:
     weights: np.ndarray
 
 
-def stem(word: str) -> str:
-    """A word without the marks at its end. No piece reaches from one into the other."""
-    bare = word.rstrip(string.punctuation)
-    return bare if len(bare) > 1 else word
+def _word_counts(split: Callable[[str], tuple[str, str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, words = [], []
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                marked = [START + w for w in (text or "").split()]
+                parts = [w[at : at + PART] for w in marked for at in range(0, len(w), PART)]
+                own = [y for x in parts for y in split(x) if y]
+                langs += [lang] * len(own)
+                words += own
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string())], ["lang", "word"])
 
+    return run
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        langs, words = [], []
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            found = [START + w[at : at + CUT] for w in (text or "").split() for at in range(0, len(w), CUT)]
-            found = [y for x in found for y in (stem(x), x[len(stem(x)) :]) if y]
-            langs += [lang] * len(found)
-            words += found
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string())], ["lang", "word"])
+
+def _sample(docs: DataFrame, max_docs: int, max_chars: int) -> DataFrame:
+    """``(lang, text)``: of each language the first ``max_docs`` rows of ``docs(id, lang, text)`` by a hash of the id, and
+    of these the first until they have ``max_chars`` characters."""
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    picked = docs.select("lang", "id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_docs)
+    picked = picked.select("lang", "id").distinct()  # at most max_docs a language
+    found = docs.join(F.broadcast(picked), ["lang", "id"]).select("lang", "id", "text").distinct()
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.length("text")).over(order), F.lit(0))
+    return found.withColumn("before", before).where(F.col("before") < max_chars).select("lang", "text")
 
 
 def train(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS, rounds: int = 4) -> LanguageModel:
-    """Fit on the first ``max_docs`` rows by a hash of the id that have a language, and of these on the ``max_words``
-    most frequent words."""
+          max_docs: int = DOCS_A_LANGUAGE, max_chars: int = CHARS_A_LANGUAGE, rounds: int = 4) -> LanguageModel:
+    """Fit each language on at most ``max_docs`` of its rows, the first by a hash of the id, and on no more of these once
+    they have ``max_chars`` characters. Rare languages have the same bounds as frequent ones. Rows without an id or a
+    language are not used."""
     chosen = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    picked = chosen.select("id").orderBy(F.xxhash64("id"), "id").limit(max_docs)
-    sample = chosen.join(F.broadcast(picked.distinct()), "id").select("lang", "text")  # at most max_docs ids
-    counts = sample.mapInArrow(_word_counts, "lang string, word string").groupBy("lang", "word").count()
-    rows = counts.orderBy(F.desc("count"), "lang", "word").limit(max_words).collect()
     pieces = public_pieces(pieces_path)
-    vocabulary, langs = Vocabulary(pieces), sorted({r.lang for r in rows})
-    weights = np.zeros((len(pieces) + 1, len(langs)))
-    for k, lang in enumerate(langs):
-        own = [(r.word, r["count"]) for r in rows if r.lang == lang]
-        weights[:, k] = _learn(vocabulary, [w for w, _ in own], np.array([n for _, n in own], float), rounds)
-    return LanguageModel(langs, pieces, weights)
+    sample = _sample(chosen, max_docs, max_chars)
+    counts = sample.mapInArrow(_word_counts(splitter(pieces)), "lang string, word string").groupBy("lang", "word").count()
+    shared = docs.sparkSession.sparkContext.broadcast(pieces)
+
+    def learn(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("word")
+        weights = _learn(Vocabulary(shared.value), own.word.to_list(), own["count"].to_numpy(float), rounds)
+        return pd.DataFrame({"lang": own.lang[:1].to_list(), "weights": [weights.tobytes()]})
+
+    rows = sorted(counts.groupBy("lang").applyInPandas(learn, "lang string, weights binary").collect())  # a row a language
+    weights = np.zeros((len(pieces) + 1, len(rows)))
+    for k, row in enumerate(rows):
+        weights[:, k] = np.frombuffer(row.weights)
+    return LanguageModel([r.lang for r in rows], pieces, weights)
+
+
+def _forward(lattice: list[np.ndarray], known: np.ndarray, width: int) -> np.ndarray:
+    """Sums over all segmentations of each word's first t characters, times SCALE**t, for words of at most PART ones."""
+    sums = np.zeros((width + 1, lattice[0].shape[0], 1))
+    scaled = [known[:, None] * SCALE**n for n in range(len(lattice) + 1)]
+    scaled[1][-1] = UNKNOWN * SCALE
+    padded = np.concatenate([np.zeros((len(lattice), *sums.shape[1:])), sums])
+    padded[len(lattice)] = 1
+    _many(lattice, padded, scaled, 0, width, len(lattice), len(known) - 1)
+    return padded[len(lattice) :, :, 0]
 
 
 def _learn(vocabulary: Vocabulary, words: list[str], counts: np.ndarray, rounds: int) -> np.ndarray:
@@ -174,7 +283,7 @@ def _learn(vocabulary: Vocabulary, words: list[str], counts: np.ndarray, rounds:
             part = by_length[at : at + 4096]
             points, lengths = _matrix([words[k] for k in part])
             lattice, width = _lattice(vocabulary, points), points.shape[1]
-            ahead = forward(lattice, known[:, None], width)[:, :, 0]
+            ahead = _forward(lattice, known, width)
             behind = np.zeros((width + 1, len(part)))  # the same sums over the characters from t on
             behind[lengths, np.arange(len(part))] = 1
             single = np.where(lattice[0] < vocabulary.size, known[lattice[0]], UNKNOWN) * SCALE
@@ -212,16 +321,11 @@ class Scorer:
         self.used += len(words)
 
     def _learn(self, words: list[str]) -> None:
-        """Compute new words: their stems and the marks at their ends first, then the sums of the two."""
-        marked = [START + w for w in words]
-        stems = [stem(w) for w in marked]
-        tails = [w[len(x) :] for w, x in zip(marked, stems)]
-        new = sorted({x for x in (*stems, *tails) if x and x not in self.parts}, key=len)
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
-            points, lengths = _matrix(part)
-            sums = forward(_lattice(self.vocabulary, points), self.model.weights, points.shape[1])
-            self._add(self.parts, part, np.log(sums[lengths, np.arange(len(part))]) - np.log(SCALE) * lengths[:, None])
+        """Compute new words: their parts first, then the sums of these."""
+        stems, tails = zip(*[self.vocabulary.split(START + w) for w in words])
+        new = [x for x in dict.fromkeys((*stems, *tails)) if x not in self.parts]
+        if new:
+            self._add(self.parts, new, log_sums(self.vocabulary, self.model.weights, new))
         rows = [self.table[list(map(self.parts.__getitem__, x))] for x in (stems, tails)]
         self._add(self.known, words, rows[0] + rows[1])
 
@@ -230,16 +334,26 @@ class Scorer:
         if len(self.known) > CACHED_WORDS:
             self._forget()
         split = [x.split() for x in texts]
-        for k, words in enumerate(split):
-            if len(texts[k]) > CUT and max(map(len, words)) > CUT:
-                split[k] = [w[at : at + CUT] for w in words for at in range(0, len(w), CUT)]
+        total = np.zeros((len(texts), len(self.model.langs)))
+        self._add_long(texts, split, total)
         rows = [list(map(self.known.get, words)) for words in split]
         lacking = [k for k, own in enumerate(rows) if None in own]
         if lacking:
             self._learn(list({w for k in lacking for w, row in zip(split[k], rows[k]) if row is None}))
             for k in lacking:
                 rows[k] = list(map(self.known.__getitem__, split[k]))
-        return np.stack([self.table[own].sum(axis=0) for own in rows])
+        return total + np.stack([self.table[own].sum(axis=0) for own in rows])
+
+    def _add_long(self, texts: list[str], split: list[list[str]], total: np.ndarray) -> None:
+        """Take the words that are not remembered out of ``split`` and add them to ``total``."""
+        long: list[tuple[int, str, int]] = []
+        for k, words in enumerate(split):
+            if len(texts[k]) > REMEMBERED and max(map(len, words), default=0) > REMEMBERED:
+                long += [(k, w, n) for w, n in Counter(w for w in words if len(w) > REMEMBERED).items()]
+                split[k] = [w for w in words if len(w) <= REMEMBERED]
+        if long:
+            logs = log_sums(self.vocabulary, self.model.weights, [START + w for _, w, _ in long])
+            np.add.at(total, [k for k, _, _ in long], logs * np.array([n for _, _, n in long])[:, None])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, sure = [], []

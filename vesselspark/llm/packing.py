@@ -22,7 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vesselspark.llm.common import write_table
+from vesselspark.tables import write_table
+
 
 CAPACITY = 1024
 END_ID = 2
@@ -203,6 +204,7 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str, capacity: int =
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], OUT)
 
     OUT = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    numbered = pieces.join(parts.select("part", "length", "before"), ["part", "length"])
+    # one row of counts for each partition and length, so they grow with the input and are merged, not broadcast
+    numbered = pieces.join(parts.select("part", "length", "before").hint("merge"), ["part", "length"])
     numbered = numbered.select(*OUT[:5], (F.col("before") + F.col("nth")).alias("number"))
     return numbered.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -5,9 +5,9 @@ that end there, the longest first, and each relaxes the best score of a segmenta
 is then read back. Of equal scores the one with the longer last piece stays. A character that no piece covers is spelt
 in the model's byte pieces, at a cost below that of any piece.
 
-Blanks become the mark ``▁``, and a text gets one at its start, so decoding gives back every text exactly. No piece has
-the mark after another character, so a text falls into parts that start with marks; each part is encoded once per worker
-and remembered.
+Blanks become the mark ``▁``, and a text gets one at its start. A mark that the text itself holds is spelt in bytes, which
+no blank is, so decoding gives back every text exactly. No piece has the mark after another character, so a text falls
+into parts that start with marks; each part is encoded once per worker and remembered.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ class PieceCodec:
 
         self.pieces, self.scores, self.byte_ids = pieces, scores, byte_ids
         byte_of = {k: bytes([b]) for b, k in enumerate(byte_ids)}
-        self.spelling = [byte_of.get(k, p.encode()) for k, p in enumerate(pieces)]
+        self.spelling = [byte_of.get(k, p.replace(MARK, " ").encode()) for k, p in enumerate(pieces)]
         if any(MARK in p.lstrip(MARK) for p in pieces):
             raise ValueError("a piece has the mark of a blank after another character")
         self.automaton = ahocorasick.Automaton()
@@ -43,6 +43,7 @@ class PieceCodec:
                 self.automaton.add_word(piece, (len(piece), k, scores[k]))
         self.automaton.make_automaton()
         self.spelt = min((s for p, s in zip(pieces, scores) if p), default=0.0) - PENALTY
+        self.mark = np.array([byte_ids[b] for b in MARK.encode()], dtype="<u4").tobytes(), self.spelt
         self.known: dict[str, tuple[bytes, float]] = {}
 
     @classmethod
@@ -85,7 +86,15 @@ class PieceCodec:
             best[end], last[end] = value, (end - 1, -1)
 
     def encode(self, text: str) -> tuple[bytes, float]:
-        parts = PART.findall(MARK + text.replace(" ", MARK))
+        first, *others = text.split(MARK)
+        ids, score = self._encode(MARK + first)
+        if not others:
+            return ids, score
+        rest = [self._encode(x) for x in others]
+        return ids + b"".join(self.mark[0] + more for more, _ in rest), score + sum(self.mark[1] + value for _, value in rest)
+
+    def _encode(self, text: str) -> tuple[bytes, float]:
+        parts = PART.findall(text.replace(" ", MARK))
         if len(self.known) > CACHED_PARTS:
             self.known.clear()
         found = list(map(self.known.get, parts))
@@ -98,7 +107,7 @@ class PieceCodec:
 
     def decode(self, ids: bytes) -> str:
         spelt = map(self.spelling.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())
-        return b"".join(spelt).decode("utf-8", "surrogatepass").replace(MARK, " ")[1:]
+        return b"".join(spelt).decode("utf-8", "surrogatepass")[1:]
 
 
 _codecs: dict[str, PieceCodec] = {}
@@ -113,8 +122,7 @@ def codec(path: str) -> PieceCodec:
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, ids, score)`` of every row's whole text, ``ids`` an array of ints. A null text counts as empty, which is one
-    mark; null and repeated ids keep their rows; other columns are not read. A text that holds the mark itself decodes
-    to one with blanks in its place."""
+    mark; null and repeated ids keep their rows; other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path)
@@ -160,7 +168,7 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
                 for text in block.column(1).to_pylist():
                     text = text or ""
                     ids, score = own.encode(text)
-                    rows.append((len(ids) // 4, zlib.crc32(ids), score, own.decode(ids) == text.replace(MARK, " ")))
+                    rows.append((len(ids) // 4, zlib.crc32(ids), score, own.decode(ids) == text))
                 extra = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.bool_()))]
                 yield pa.RecordBatch.from_arrays([block.column(0), *extra], ["id", "n_ids", "ids_crc32", "score", "exact"])
 

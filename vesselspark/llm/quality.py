@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vesselspark.llm.ngrams import features, grouped
+from vesselspark.tables import write_table
 
 BITS = 17
 SIZES = (3, 4)
 MAX_ROWS = 6000
+MAX_CHARS = 16_000_000
 
 
 @dataclass
@@ -45,28 +47,20 @@ def _sparse(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _sparse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, label, text) -> (id, label, chars, bucket, share)."""
+    names = ["id", "label", "chars", "bucket", "share"]
     for batch in batches:
-        for k, (bucket, share) in enumerate(_sparse(batch.column(1).to_pylist())):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(k, 1), pa.array([bucket.tobytes()]), pa.array([share.tobytes()])], ["label", "bucket", "share"]
-            )
+        texts = batch.column(2).to_pylist()
+        for k, (bucket, share) in enumerate(_sparse(texts)):
+            made = [pa.array([len(texts[k] or "")], pa.int64()), pa.array([bucket.tobytes()]), pa.array([share.tobytes()])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), *made], names)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-          max_rows: int = MAX_ROWS, dim: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 17) -> QualityModel:
-    """Fit on at most ``max_rows`` labelled rows, the first by a hash of the id. Rows with a null id, or a label
-    other than 0 and 1, are not used. Without a usable row every text scores 0.5."""
-    usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
-    chosen = usable.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("id"), "id", "label").limit(max_rows)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    joined = texts.join(F.broadcast(chosen), "id").select("label", "text")  # at most max_rows ids and labels
-    rows = joined.mapInArrow(_sparse_batches, "label int, bucket binary, share binary").collect()
-    rows = sorted((r.label, bytes(r.bucket), bytes(r.share)) for r in rows)
+def learn(data: list[tuple[int, np.ndarray, np.ndarray]], dim: int, epochs: int, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vectors, layer, bias) by stochastic gradient descent on documents as (label, buckets, shares)."""
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1 / dim, 1 / dim, (1 << BITS, dim)).astype(np.float32)
     layer, bias = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)
-    data = [(y, np.frombuffer(b, np.int32), np.frombuffer(s, np.float32)) for y, b, s in rows]
     steps, done = max(1, epochs * len(data)), 0
     for _ in range(epochs):
         for k in rng.permutation(len(data)):
@@ -83,6 +77,31 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             bias -= pace * 0.1 * slope
             # shares are small: their root keeps rare and frequent features moving alike
             table[bucket] -= (pace * 8) * np.sqrt(share)[:, None] * back
+    return table, layer, bias
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+          max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, dim: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 17) -> QualityModel:
+    """Fit on at most ``max_rows`` labelled rows, the first by a hash of the id, and on no more of these once they have
+    ``max_chars`` characters. Rows with a null id, or a label other than 0 and 1, are not used; of documents that share an
+    id the least text is. Without a usable row every text scores 0.5."""
+    usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
+    chosen = usable.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).distinct()
+    chosen = chosen.orderBy(F.xxhash64("id"), "id", "label").limit(max_rows)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    joined = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))  # at most max_rows ids and labels
+    kind = texts.schema["id"].dataType.simpleString()
+    rows = write_table(joined.mapInArrow(_sparse_batches, f"id {kind}, label int, chars long, bucket binary, share binary"))
+    total, kept = 0, []
+    for row in rows.orderBy(F.xxhash64("id"), "id", "label").select("id", "label", "chars").collect():
+        if total < max_chars:
+            kept.append((row.id, row.label))
+        total += row.chars
+    if total > max_chars:
+        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(kept, f"id {kind}, label int")), ["id", "label"])
+    data = sorted((r.label, bytes(r.bucket), bytes(r.share)) for r in rows.select("label", "bucket", "share").collect())
+    data = [(y, np.frombuffer(b, np.int32), np.frombuffer(s, np.float32)) for y, b, s in data]
+    table, layer, bias = learn(data, dim, epochs, rate, seed)
     return QualityModel((table @ (layer[1] - layer[0])).astype(np.float32), float(bias[1] - bias[0]))
 
 

@@ -12,17 +12,17 @@ An anchor with more than ``hot`` different segments is cut into chunks, every tw
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vesselspark.llm.common import drop_table, write_table
-from vesselspark.llm.fmindex import FMIndex, repeated_windows
+from vesselspark.llm.common import unused
+from vesselspark.llm.fmindex import DEPTH, FMIndex, repeated_windows
+from vesselspark.tables import drop_table, write_table
 
 WINDOW = 35
 GRAM = 8
@@ -33,12 +33,6 @@ STEP = np.uint64(0x100000001B3)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of steps whose results are written."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def hashes(words: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
 
@@ -125,7 +119,7 @@ def search_shard(segments: list[bytes], copies: list[int], window: int) -> list[
             parts += [numbers[cuts[k] : cuts[k + 1]], separator]
             at += int(lengths[k]) + 1
     symbols = np.concatenate(parts)
-    return repeated_windows(FMIndex(symbols), symbols, np.array(starts), lengths, window)
+    return repeated_windows(FMIndex(symbols, max(DEPTH, window)), symbols, np.array(starts), lengths, window)
 
 
 def _searched(tiles: DataFrame, window: int) -> DataFrame:
@@ -178,63 +172,59 @@ def _tiles(segments: DataFrame, hot: int) -> DataFrame:
 def repeated_stretches(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """``docs(doc, text_hash, text)`` -> ``(doc, text_hash, stretches)``: arrays of (at, words), which may overlap, that
     together are the words of windows whose words also start elsewhere."""
-    spark = docs.sparkSession
     anchored = write_table(_anchored(docs, window))
     # rows with equal doc and text are the same place in ``anchored`` twice, so they count as two
     twice = anchored.groupBy("anchor").agg(F.sum("repeats").alias("n")).where("n > 1").select("anchor")
     wanted = anchored.join(twice, "anchor", "left_semi").groupBy("doc", "text_hash")
     wanted = write_table(wanted.agg(F.collect_set(F.struct("anchor", "first", "windows")).alias("runs")))
-    release(spark)
     left, right = docs.alias("d"), wanted.alias("w")
     joined = left.join(right, F.expr("d.doc <=> w.doc and d.text_hash = w.text_hash")).select("d.doc", "d.text_hash", "text", "runs")
     places = write_table(_cut_out(joined, window).withColumn("segment_hash", F.xxhash64("segment")))
     drop_table(anchored)
-    release(spark)
     segments = write_table(places.groupBy("anchor", "segment_hash").agg(F.first("segment").alias("segment"), F.count("*").alias("copies")))
     tiles = _tiles(segments, hot).select("tile", "anchor", "segment_hash", "copies", "segment")
     found = write_table(_searched(tiles.repartition("tile").sortWithinPartitions("tile", "segment_hash"), window))
     drop_table(segments)
-    release(spark)
     stretch = F.struct((F.col("first") + F.col("at")).alias("at"), "words")
     back = places.drop("segment").join(found, ["anchor", "segment_hash"]).select("doc", "text_hash", stretch.alias("stretch"))
     result = write_table(back.groupBy("doc", "text_hash").agg(F.collect_set("stretch").alias("stretches")))
     drop_table(places)
     drop_table(wanted)
-    release(spark)
     return result
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """Each row with ``n_words``, ``n_removed`` and ``kept``: its words without those that a repeated window covers,
+def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT,
+                   names: tuple[str, str, str] = ("n_words", "n_removed", "kept")) -> DataFrame:
+    """Each row with three columns more: how many words it has, how many of them a repeated window covers, and the others,
     joined by blanks. Words are runs of anything but ASCII white space; windows are judged on the input. A null text has
     no words; null ids keep their rows; a row that repeats another is another place, so their windows are repeated.
-    Other columns of ``docs`` are passed through, except ones with the names of the three, which are replaced."""
-    base = docs.drop("n_words", "n_removed", "kept")
-    keyed = base.withColumn("__hash", F.xxhash64(F.col(text_col)))
-    slim = keyed.select(F.col(id_col).cast("long").alias("doc"), F.col("__hash").alias("text_hash"), F.col(text_col).alias("text"))
-    stretches = repeated_stretches(slim, window, hot).select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__text"), F.col("stretches").alias("__stretches"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.col("__hash") == F.col("__text"))
-    joined = keyed.join(stretches, same, "left").select(*base.columns, F.col(text_col).alias("__words"), "__stretches")
-
-    names = [*base.columns, "n_words", "n_removed", "kept"]
-    carried = len(base.columns)
+    The columns of ``docs`` are passed through; a name of theirs among ``names`` is an error."""
+    if {c.lower() for c in docs.columns} & {n.lower() for n in names}:
+        raise ValueError(f"columns named {names} exist already")
+    text_hash, doc, other, own, words = unused(docs.columns, "text_hash", "doc", "other", "stretches", "words")
+    keyed = docs.withColumn(text_hash, F.xxhash64(F.col(text_col)))
+    slim = keyed.select(F.col(id_col).cast("long").alias("doc"), F.col(text_hash).alias("text_hash"), F.col(text_col).alias("text"))
+    stretches = repeated_stretches(slim, window, hot).toDF(doc, other, own)
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(doc)) & (F.col(text_hash) == F.col(other))
+    joined = keyed.join(stretches, same, "left").select(*docs.columns, F.col(text_col).alias(words), own)
+    columns, carried = [*docs.columns, *names], len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, own in zip(batch.column(carried).to_pylist(), batch.column(carried + 1).to_pylist()):
-                words = _words(text)
-                n = len(words)
-                if own:
+            for text, found in zip(batch.column(carried).to_pylist(), batch.column(carried + 1).to_pylist()):
+                kept = _words(text)
+                n = len(kept)
+                if found:
                     gone = np.zeros(n + 1, dtype=np.int64)
-                    for r in own:
+                    for r in found:
                         gone[r["at"]] += 1
                         gone[r["at"] + r["words"]] -= 1
-                    words = [w for w, k in zip(words, np.cumsum(gone).tolist()) if not k]
-                rows.append((n, n - len(words), b" ".join(words).decode("utf-8", "surrogatepass")))
-            columns = list(zip(*rows)) or [()] * 3
-            extra = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:carried], *extra], names)
-
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields]
-    return joined.mapInArrow(run, ", ".join([*fields, "n_words long, n_removed long, kept string"]))
+                    kept = [w for w, k in zip(kept, np.cumsum(gone).tolist()) if not k]
+                rows.append((n, n - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass")))
+            extra = [pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 3, (pa.int64(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:carried], *extra], columns)
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
+    fields += [f"`{name}` {kind}" for name, kind in zip(names, ("long", "long", "string"))]
+    return joined.mapInArrow(run, ", ".join(fields))
