@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vesselspark.llm import langid, packing, pii, simhash, substrings
-from vesselspark.llm.common import load, write_table
+from vesselspark.llm.common import load, unused
+from vesselspark.tables import scratch, write_table
 
 #: A document whose likeliest language has less than this share of the probability has none.
 LEAST_SURE = 0.5
@@ -22,28 +23,32 @@ CACHED_WORDS = 300_000
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known: those without a letter, and those without a clear language, go."""
     model = langid.train(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    found = langid.annotate(docs, model, names=("__lang", "__sure"))
-    return found.where((F.col("__lang") != "und") & (F.col("__sure") >= LEAST_SURE)).select(*docs.columns)
+    lang, sure = unused(docs.columns, "found_lang", "found_sure")
+    found = langid.annotate(docs, model, names=(lang, sure))
+    return found.where((F.col(lang) != "und") & (F.col(sure) >= LEAST_SURE)).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays."""
     found = simhash.simhash_components(docs)
-    kept = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    (own,) = unused(docs.columns, "kept_id")
+    kept = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(own)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that occur more than once go; a document without such a passage keeps its text as it is."""
-    found = substrings.remove_repeats(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    names = unused(docs.columns, "n_words", "n_removed", "kept")
+    found = substrings.remove_repeats(docs, names=names)
+    text = F.when(F.col(names[1]) > 0, F.col(names[2])).otherwise(F.col("text"))
     return _as_documents(docs, found.withColumn("text", text))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data are replaced by their kind in brackets."""
-    found = pii.annotate(docs, pii.train(docs), prefix="__")
-    return _as_documents(docs, found.withColumn("text", F.coalesce("__redacted", "text")))
+    names = unused(docs.columns, *pii.NAMES)
+    found = pii.annotate(docs, pii.train(docs), names=names)
+    return _as_documents(docs, found.withColumn("text", F.coalesce(names[pii.NAMES.index("redacted")], "text")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +75,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    """All stages; a stage's tables go when the next one's result is written, but those the last result is read from."""
+    docs, before = load(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = write_table(stage(spark, docs, sf_dir))
+        with scratch() as tables:
+            docs = write_table(stage(spark, docs, sf_dir))
+            tables.remove(docs)
+            if before is not None:
+                tables.append(before)
+            before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
