@@ -51,7 +51,7 @@ def test_questions(spark):
 
 def test_filter_edges(spark):
     rows = [("A", "BULK_CARRIER", 10.0, 315.0, "confirmed", True, NOW), ("B", None, None, 46.0, "dropped", False, NOW - timedelta(days=1)), ("C", "TANKER", 35.0, 45.0, "tentative", None, NOW - timedelta(hours=2))]
-    df = spark.createDataFrame(rows, "track_id string, vessel_type string, speed_knots double, course double, status string, is_dark_ship boolean, updated_at timestamp").withColumns({"latitude": F.lit(9.9), "longitude": F.lit(76.3)})
+    df = spark.createDataFrame(rows, "track_id string, vessel_type string, speed_knots double, course double, track_status string, is_dark_ship boolean, updated_at timestamp").withColumns({"latitude": F.lit(9.9), "longitude": F.lit(76.3)})
     ids = lambda d: sorted(r.track_id for r in d.collect())
     assert ids(filters.match_filters(df, {"vessel_type": "bulk"})) == ["A", "B"] and ids(filters.match_filters(df, {"speed_gt": 10})) == ["C"] and ids(filters.match_filters(df, {"speed_lt": 10})) == ["B"]
     assert ids(filters.match_filters(df, {"is_dark_ship": False, "limit": 3})) == ["B", "C"] and ids(filters.match_filters(df, {"port": "Nowhere"})) == ["A", "B", "C"] and ids(filters.match_filters(df, {"port": "mumbai"})) == []

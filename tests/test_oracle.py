@@ -7,7 +7,7 @@ import math
 import duckdb
 import pytest
 
-from vesselspark.plans import more_queries, source_queries  # noqa: F401  register their queries
+from vesselspark.plans import more_queries, source_queries, track_queries  # noqa: F401  register their queries
 from vesselspark.plans.queries import QUERIES, SQL
 
 D = "/root/testdata/sf0.01"

@@ -32,6 +32,42 @@ def test_hungarian_is_optimal():
         assert cost[np.arange(n), got].sum() == pytest.approx(best)
 
 
+def test_a_component_of_two_thousand():
+    """Chains and bunches of one component against the dense solver."""
+    rng, n = np.random.default_rng(9), 2000
+    own = [{r, *(int(c) for c in rng.integers(max(0, r - 4), min(n, r + 5), 4))} for r in range(n)]
+    candidates = [[(c, float(rng.random())) for c in sorted(cs)] for cs in own]
+    got = correlate.cheapest(candidates, 0.95)
+    used = [c for c in got if c >= 0]
+    assert len(set(used)) == len(used)
+    # the dense matrix of the whole, by blocks that the optimum's prices prove apart, would be large: a check by duality
+    total = sum(0.95 if c < 0 else dict(candidates[r])[c] for r, c in enumerate(got))
+    assert total == pytest.approx(dual_bound(candidates, got), abs=1e-6)
+
+
+def dual_bound(candidates, chosen, alone=0.95):
+    """A lower bound of any assignment's cost: prices u of rows and v <= 0 of columns with u + v <= cost and u <= alone, by
+    shortest paths over the exchanges that an assignment allows. It equals the cost where the assignment is optimal."""
+    columns = sorted({c for own in candidates for c, _ in own})
+    v = dict.fromkeys(columns, 0.0)
+    cost_of = [alone if c < 0 else dict(candidates[r])[c] for r, c in enumerate(chosen)]
+    for _ in range(len(columns) + 1):
+        moved = False
+        for r, own in enumerate(candidates):
+            u = min(alone, cost_of[r] - (v[chosen[r]] if chosen[r] >= 0 else 0.0))
+            if chosen[r] >= 0 and cost_of[r] - v[chosen[r]] > alone + 1e-12:
+                raise AssertionError("an exchange with staying alone is cheaper")
+            for c, x in own:
+                if c != chosen[r] and u + v[c] > x + 1e-12:
+                    v[c], moved = x - u, True
+        if not moved:
+            break
+    free = set(columns) - set(chosen)
+    assert all(v[c] > -1e-9 for c in free), "a free column would be cheaper"
+    rows = [min([alone, *(x - v[c] for c, x in own)]) for own in candidates]
+    return sum(rows) + sum(v.values())
+
+
 def test_large_components_are_exact():
     rng = np.random.default_rng(2)
     for n, m, share in [(int(rng.integers(1, 9)), int(rng.integers(1, 9)), float(rng.random())) for _ in range(400)] + [(120, 90, 0.05), (90, 120, 0.3)]:
@@ -60,7 +96,7 @@ def batch(spark, n=40):
     rng = np.random.default_rng(3)
     t = [(f"T{k:02d}", 10 + rng.random() * 0.2, 70 + rng.random() * 0.2, float(rng.normal()), float(rng.normal()), 100.0, float(rng.random() * 20), float(rng.random() * 360), "dropped" if k == 7 else "confirmed", None if k % 3 else str(k), NOW) for k in range(n)]
     t += [("EDGE", 10.0, 179.999, 0.0, 0.0, 100.0, None, None, "confirmed", None, NOW)]
-    frame = spark.createDataFrame(t, "track_id string, latitude double, longitude double, velocity_north_ms double, velocity_east_ms double, position_uncertainty_m double, speed_knots double, course double, status string, mmsi string, updated_at timestamp")
+    frame = spark.createDataFrame(t, "track_id string, latitude double, longitude double, velocity_north_ms double, velocity_east_ms double, position_uncertainty_m double, speed_knots double, course double, track_status string, mmsi string, updated_at timestamp")
     rows = [det(k, ["radar", "satellite", "drone"][k % 3], int(rng.integers(-100, 200)), 10 + rng.random() * 0.2, 70 + rng.random() * 0.2, speed_knots=float(rng.random() * 20)) for k in range(n)]
     rows += [det(900, "radar", 10, 10.0, -179.999), det(901, "ais", 0, 50.0, 50.0, mmsi="3"), det(902, "drone", 0, -60.0, 0.0)]
     return spark.createDataFrame(rows, DET), frame
@@ -72,7 +108,7 @@ def test_gates_and_assignment(spark):
     from vesselspark.functions.geo import gate_size, haversine, predict_position
     from vesselspark.operators.history import seconds_between
 
-    every = d.alias("d").crossJoin(t.where("status <> 'dropped'").withColumnsRenamed({"latitude": "a", "longitude": "b", "speed_knots": "s", "course": "c", "mmsi": "m"}).alias("t"))
+    every = d.alias("d").crossJoin(t.where("track_status <> 'dropped'").withColumnsRenamed({"latitude": "a", "longitude": "b", "speed_knots": "s", "course": "c", "mmsi": "m"}).alias("t"))
     seconds = seconds_between(F.col("updated_at"), F.col("ts"))
     at = predict_position("a", "b", "velocity_north_ms", "velocity_east_ms", seconds)
     want = every.where((F.abs(seconds) <= 120) & (haversine(*at, "latitude", "longitude", "m") < gate_size("position_uncertainty_m", correlate.sensor_sigma(F.col("sensor"))))).select("detection_id", "track_id").collect()
@@ -104,13 +140,28 @@ def test_names_come_before_assignment(spark):
 
 
 def test_merge(spark):
-    rows = [("A", "1", "ais", 10.0, 70.0, {"ais": 4}, 4, 50, False, 0.0, "confirmed"), ("B", "1", "ais", 10.0, 70.0, {"ais": 1, "radar": 2}, 3, 60, True, 0.7, "confirmed"),
-            ("C", None, "unknown", 10.04, 70.0, {"radar": 5}, 5, 20, False, 0.0, "tentative"), ("D", None, "unknown", 10.05, 70.0, {"radar": 1}, 1, 0, False, 0.0, "tentative")]
-    schema = "track_id string, mmsi string, identity_source string, latitude double, longitude double, sensors map<string,bigint>, update_count bigint, track_quality int, is_dark_ship boolean, dark_ship_confidence double, status string"
-    got = {r.track_id: r for r in correlate.merge_duplicates(spark.createDataFrame(rows, schema)).collect()}
-    assert {k: r.status for k, r in got.items()} == {"A": "confirmed", "B": "dropped", "C": "dropped", "D": "tentative"}
-    assert (got["A"].sensors, got["A"].update_count, got["A"].track_quality, got["A"].is_dark_ship, got["A"].dark_ship_confidence) == ({"ais": 5, "radar": 7}, 12, 60, True, 0.7)
-    assert got["D"].sensors == {"radar": 1} and got["D"].update_count == 1
+    def part(n, confidence=1.0):
+        return (None, NOW, n, 1.0, 2.0, confidence)
+
+    def track(name, mmsi, source, lat, sensors, quality, dark, sure, status):
+        row = dict.fromkeys(tracks.NAMES) | {
+            "track_id": name, "mmsi": mmsi, "identity_source": source, "latitude": lat, "longitude": 70.0, "sensor_contributions": {k: part(n) for k, n in sensors.items()},
+            "contributing_sensors": list(sensors), "update_count": sum(sensors.values()), "track_quality": quality, "is_dark_ship": dark, "dark_ship_confidence": sure, "track_status": status}
+        return tuple(row[c] for c in tracks.NAMES)
+
+    rows = [track("A", "1", "ais", 10.0, {"ais": 4}, 50, False, 0.0, "confirmed"), track("B", "1", "ais", 10.0, {"drone": 1, "ais": 1, "radar": 2}, 60, True, 0.7, "confirmed"),
+            track("C", None, "unknown", 10.04, {"radar": 5, "satellite": 1}, 20, True, 0.6, "tentative"), track("D", None, "unknown", 10.05, {"radar": 1}, 0, False, 0.0, "tentative"),
+            track("E", None, "unknown", 10.01, {"radar": 9}, 99, True, 0.9, "dropped")]
+    merged = correlate.merge_duplicates(spark.createDataFrame(rows, tracks.SCHEMA))
+    got = {r.track_id: r for r in merged.collect()}
+    assert {k: (r.track_status, r.merged_into) for k, r in got.items()} == {"A": ("confirmed", None), "B": ("dropped", "A"), "C": ("dropped", "A"), "D": ("tentative", None), "E": ("dropped", None)}
+    a = got["A"]
+    assert {k: c.measurement_count for k, c in a.sensor_contributions.items()} == {"ais": 5, "drone": 1, "radar": 7, "satellite": 1} and a.contributing_sensors == ["ais", "drone", "radar", "satellite"]
+    assert (a.update_count, a.track_quality, a.is_dark_ship, a.dark_ship_confidence) == (14, 60, True, 0.7)
+    assert got["D"].contributing_sensors == ["radar"] and got["D"].update_count == 1
+    empty = spark.createDataFrame([], DET).withColumn("track_id", F.lit("x"))
+    stats = tracks.fusion_stats(merged, empty).first()
+    assert (stats.tracks_created, stats.tracks_merged, stats.tracks_dropped, stats.active_tracks, stats.dark_ships) == (5, 2, 1, 2, 1)
 
 
 def test_fold_by_hand():
@@ -125,23 +176,34 @@ def test_fold_by_hand():
     assert tracks.quality(3, 8, 100) == 80
 
 
-def test_fold_keeps_one_track_at_a_time(spark):
-    rows = [det(k, ["radar", "ais", "drone"][k % 3], k // 2, 10 + k * 1e-4, 70.0, mmsi=str(k % 4) if k % 3 == 1 else None) for k in range(200)]
-    d = spark.createDataFrame(rows, DET).withColumn("track_id", F.concat(F.lit("V"), (F.col("detection_id").cast("int") % 4).cast("string"))).orderBy(F.desc("detection_id"))
-    folded = tracks.fold_tracks(d)
-    assert "FlatMapGroupsInPandas" not in folded._jdf.queryExecution().toString()
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    try:
-        got = {r.track_id: r for r in folded.collect()}
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+@pytest.mark.parametrize("part_s", [3.0, 40.0, 21_600.0])
+def test_fold_of_parts_is_the_fold(spark, part_s):
+    """Sums over parts of tracks against the step by step fold, with repeated times and missing values."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(300):
+        sensor = ["radar", "satellite", "drone", "ais"][int(rng.choice(4, p=[0.4, 0.2, 0.2, 0.2] if k % 6 else [0.4, 0.4, 0.2, 0.0]))]
+        maybe = lambda value: value if rng.random() < 0.6 else [None, 0.0][int(rng.integers(2))]
+        rows.append(det(k, sensor, int(rng.integers(0, 100)), 10 + rng.random(), 70 + rng.random(), mmsi=[None, "", "5"][int(rng.integers(3))] if sensor == "ais" else None,
+                        ship_name=f"N{k}", vessel_type=[None, "CARGO"][int(rng.integers(2))], speed_knots=maybe(rng.random() * 20), course=maybe(rng.random() * 360),
+                        vessel_length_m=maybe(80.0 + k), object_class=[None, "", "tug"][int(rng.integers(3))], is_dark_ship=[None, False, True][int(rng.integers(3))]))
+    sure = {f"{k:04d}": [None, 0.0, 0.25, 0.75][int(rng.integers(4))] for k in range(300)}
+    frame = spark.createDataFrame(rows, DET).withColumn("track_id", F.concat(F.lit("V"), (F.col("detection_id").cast("int") % 12).cast("string")))
+    known = spark.createDataFrame(list(sure.items()), "detection_id string, match_confidence double")
+    folded = tracks.fold_tracks(frame.join(known, "detection_id"), part_s)
+    assert "Python" not in folded._jdf.queryExecution().executedPlan().toString() and folded.columns == tracks.NAMES
+    got = {r.track_id: r.asDict(recursive=True) for r in folded.collect()}
     names = [c.split()[0] for c in DET.split(", ")]
-    for k in range(4):
-        want = tracks.fold(f"V{k}", [dict(zip(names, r)) for r in rows if int(r[0]) % 4 == k])
-        own = got[f"V{k}"]
-        assert own.update_count == 50 and own.mmsi == want["mmsi"] and own.updated_at == want["updated_at"] and own.contributing_sensors == want["contributing_sensors"]
-        assert (own.latitude, own.position_uncertainty_m, own.track_quality) == pytest.approx((want["latitude"], want["position_uncertainty_m"], want["track_quality"]))
-    assert len(got) == 4
+    for k in range(12):
+        own = sorted((dict(zip(names, r)) | {"match_confidence": sure[r[0]]} for r in rows if int(r[0]) % 12 == k), key=lambda d: (d["ts"], d["detection_id"]))
+        want = tracks.fold(f"V{k}", own)
+        for name in tracks.NAMES:
+            a, b = got[f"V{k}"][name], want[name]
+            assert a == (pytest.approx(b, rel=1e-9) if isinstance(b, float) else b), (k, name)
+    assert len(got) == 12
+    alone = tracks.fold_tracks(spark.createDataFrame(rows[:1], DET).withColumn("track_id", F.lit("x"))).first()
+    assert alone.update_count == 1 and alone.track_quality == 0 and alone.correlation_confidence == 0 and alone.latitude == rows[0][4]
+    assert tracks.fold_tracks(frame.limit(0), part_s).collect() == []
 
 
 def value(spark, *columns):
@@ -184,10 +246,16 @@ def test_whole_job(spark):
     rows += [det(100 + k, "radar", 10 * k + 1, 10 + k * 1e-4, 70.0005, local_track_id="L1") for k in range(12)]  # the same vessel
     rows += [det(200 + k, "radar", 10 * k, 15.0, 75.0, local_track_id="L2") for k in range(8)] + [det(300, "drone", 65, 15.0001, 75.0)]  # one without a name
     rows += [det(400, "ais", 500, 10.0, 70.0, mmsi="111")]  # after a silence: a new track
-    out = build_tracks(spark.createDataFrame(rows, DET), NOW + timedelta(seconds=115)).collect()
-    assert len(out) == 3
+    frame = spark.createDataFrame(rows, DET)
+    later = {(r.mmsi, r.update_count, r.track_status, r.merged_into) for r in build_tracks(frame, NOW + timedelta(seconds=510)).collect()}
+    assert later == {("111", 24, "dropped", None), ("111", 1, "tentative", None), (None, 9, "dropped", None)}
+    out = build_tracks(frame, NOW + timedelta(seconds=115)).collect()
+    assert len(out) == 2
     a = next(r for r in out if r.mmsi == "111" and r.update_count > 1)
     b = next(r for r in out if r.mmsi is None)
     assert a.update_count == 24 and a.contributing_sensors == ["ais", "radar"] and not a.is_dark_ship and a.track_status == "confirmed"
     assert b.update_count == 9 and b.contributing_sensors == ["radar", "drone"] and b.flagged_for_review and b.dark_ship_confidence == pytest.approx(1.0)
+    near = [det(500 + k, "radar", 10 * k + 2, 10.03, 70.0, local_track_id="S1") for k in range(4)]  # 3 km off: merged
+    merged = {r.merged_into is not None: r for r in build_tracks(spark.createDataFrame(rows[:12] + near, DET), NOW + timedelta(seconds=115)).collect()}
+    assert merged[False].update_count == 16 and merged[False].contributing_sensors == ["ais", "radar"] and merged[True].track_status == "dropped"
     assert b.sensor_contributions["radar"].measurement_count == 8 and a.track_id.startswith("TRK-") and len(a.track_id) == 12

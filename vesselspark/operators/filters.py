@@ -28,7 +28,7 @@ def ship_trajectory(df: DataFrame, ship: str, key: str = "mmsi") -> DataFrame:
 
 
 def active_tracks(df: DataFrame, confirmed: bool = False) -> DataFrame:
-    return df.where(F.col("status") == "confirmed" if confirmed else F.col("status") != "dropped")
+    return df.where(F.col("track_status") == "confirmed" if confirmed else F.col("track_status") != "dropped")
 
 
 def active_dark_ships(df: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def vessels_by_region(df: DataFrame, regions: DataFrame, n: int = 10_000) -> Dat
 
 
 def tracks_by_type(tracks: DataFrame) -> DataFrame:
-    return tracks.where(F.col("status") == "confirmed").groupBy("vessel_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "vessel_type")
+    return tracks.where(F.col("track_status") == "confirmed").groupBy("vessel_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "vessel_type")
 
 
 def stream_counts(df: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def latest_positions(df: DataFrame, key: str = "mmsi") -> DataFrame:
 
 def latest_tracks(tracks: DataFrame) -> DataFrame:
     order = F.struct("updated_at", "track_id")
-    live = tracks.where("mmsi is not null and status <> 'dropped'")
+    live = tracks.where("mmsi is not null and track_status <> 'dropped'")
     return live.groupBy("mmsi").agg(F.max_by(F.struct(*(c for c in live.columns if c != "mmsi")), order).alias("p")).select("mmsi", "p.*")
 
 

@@ -38,5 +38,5 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = positions(spark, sf_dir).groupBy("mmsi").agg(F.max_by(F.struct("*"), F.struct("ts", "event_id")).alias("p"))
     return last.select(
         F.concat(F.lit("TRK-"), "mmsi").alias("track_id"), "p.*",
-        F.when(F.col("p.event_id") % 5 == 0, "dropped").when(F.col("p.event_id") % 5 == 1, "tentative").otherwise("confirmed").alias("status"),
+        F.when(F.col("p.event_id") % 5 == 0, "dropped").when(F.col("p.event_id") % 5 == 1, "tentative").otherwise("confirmed").alias("track_status"),
         F.col("p.ts").alias("updated_at"))

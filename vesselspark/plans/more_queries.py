@@ -9,8 +9,6 @@ from vesselspark import config
 from vesselspark.functions import casts, geo
 from vesselspark.functions.text_filters import extract_filters, extract_time_range
 from vesselspark.operators import correlate, documents, extras, filters, proximity, sinks, vectors
-from vesselspark.operators import tracks as life
-from vesselspark.plans import fusion
 from vesselspark.plans.adapter import positions, table, tracks
 from vesselspark.plans.queries import NOW, P, REGION_SQL, T, ZONES, km, nm, query, values
 from vesselspark.sources.unify import FIELDS
@@ -62,12 +60,12 @@ def _(spark, d):
 
 # Correlation
 
-@query("j10_identity", f"WITH {T} SELECT lpad(cast(p.event_id AS STRING), 12, '0') AS detection_id, track_id, 1.0::DOUBLE AS confidence FROM p JOIN t USING (mmsi) WHERE p.sensor = 'ais' AND status <> 'dropped'")
+@query("j10_identity", f"WITH {T} SELECT lpad(cast(p.event_id AS STRING), 12, '0') AS detection_id, track_id, 1.0::DOUBLE AS confidence FROM p JOIN t USING (mmsi) WHERE p.sensor = 'ais' AND track_status <> 'dropped'")
 def _(spark, d):
     return correlate.correlate_identity(detections(spark, d), tracks(spark, d))
 
 
-GATED_SQL = f"""WITH {T}, m AS (SELECT track_id, latitude AS a, longitude AS b, speed_knots AS s, course AS c, ts AS u, speed_knots * 0.5144 * cos(radians(course)) AS vn, speed_knots * 0.5144 * sin(radians(course)) AS ve FROM t WHERE status <> 'dropped'),
+GATED_SQL = f"""WITH {T}, m AS (SELECT track_id, latitude AS a, longitude AS b, speed_knots AS s, course AS c, ts AS u, speed_knots * 0.5144 * cos(radians(course)) AS vn, speed_knots * 0.5144 * sin(radians(course)) AS ve FROM t WHERE track_status <> 'dropped'),
   x AS (SELECT lpad(cast(event_id AS STRING), 12, '0') AS detection_id, track_id, latitude, longitude, speed_knots, course, s, c, CASE sensor WHEN 'ais' THEN 10 WHEN 'radar' THEN 500 WHEN 'satellite' THEN 2000 ELSE 50 END AS e,
     a + vn * least((epoch_us(ts) - epoch_us(u)) / 1e6, 120) / 111000 AS pa, b + ve * least((epoch_us(ts) - epoch_us(u)) / 1e6, 120) / (111000 * greatest(0.1, cos(radians(a)))) AS pb
     FROM p JOIN m ON abs(epoch_us(ts) - epoch_us(u)) <= 120000000),
@@ -80,11 +78,6 @@ def _(spark, d):
     return correlate.gated(detections(spark, d), moving_tracks(spark, d)).select("detection_id", "track_id", F.round("distance_m", 3).alias("distance_m"))
 
 
-@query("j12_assignment")
-def _(spark, d):
-    return correlate.assign(detections(spark, d), moving_tracks(spark, d))
-
-
 EVENTS_SQL = "e AS (SELECT 'TRK-' || mmsi AS track_id, ts AS event_timestamp, event_id, confidence FROM p WHERE is_dark_ship)"
 
 
@@ -97,12 +90,12 @@ def _(spark, d):
     return sinks.recent_dark_events(dark_events(spark, d), tracks(spark, d), NOW, 120).select("event_id", "track_id", "event_timestamp", "mmsi")
 
 
-@query("j16_orphan_events", f"WITH {T}, {EVENTS_SQL} SELECT event_id, track_id FROM e WHERE track_id NOT IN (SELECT track_id FROM t WHERE status <> 'dropped')")
+@query("j16_orphan_events", f"WITH {T}, {EVENTS_SQL} SELECT event_id, track_id FROM e WHERE track_id NOT IN (SELECT track_id FROM t WHERE track_status <> 'dropped')")
 def _(spark, d):
     return sinks.orphan_events(dark_events(spark, d), filters.active_tracks(tracks(spark, d))).select("event_id", "track_id")
 
 
-@query("s14_append_events", f"WITH {T}, {EVENTS_SQL} SELECT track_id, event_timestamp, min(event_id) AS event_id FROM e WHERE track_id IN (SELECT track_id FROM t WHERE status <> 'dropped') GROUP BY track_id, event_timestamp")
+@query("s14_append_events", f"WITH {T}, {EVENTS_SQL} SELECT track_id, event_timestamp, min(event_id) AS event_id FROM e WHERE track_id IN (SELECT track_id FROM t WHERE track_status <> 'dropped') GROUP BY track_id, event_timestamp")
 def _(spark, d):
     return sinks.append_dark_events(dark_events(spark, d).drop("confidence"), filters.active_tracks(tracks(spark, d))).select("track_id", "event_timestamp", "event_id")
 
@@ -116,30 +109,12 @@ def _(spark, d):
     return sinks.upsert_tracks(now, old)
 
 
-@query("d20_track_rows_as_text", f"WITH {T} SELECT track_id, latitude, vessel_type, is_dark_ship, status AS track_status FROM t")
+@query("d20_track_rows_as_text", f"WITH {T} SELECT track_id, latitude, vessel_type, is_dark_ship, track_status FROM t")
 def _(spark, d):
-    typed = tracks(spark, d).select("track_id", "latitude", "vessel_type", "is_dark_ship", F.col("status").alias("track_status"))
+    typed = tracks(spark, d).select("track_id", "latitude", "vessel_type", "is_dark_ship", "track_status")
     return sinks.parse_track_rows(sinks.format_track_rows(typed), NOW).select("track_id", "latitude", "vessel_type", "is_dark_ship", "track_status")
 
 
-# Tracks
-
-@query("t11_build_tracks")
-def _(spark, d):
-    return fusion.build_tracks(detections(spark, d), NOW, 86_400.0).drop("sensor_contributions")
-
-
-@query("t2_folded_counts", f"WITH {P} SELECT mmsi AS track_id, count(*) AS update_count, count(DISTINCT sensor) AS sensors, max(ts) AS updated_at FROM p GROUP BY mmsi")
-def _(spark, d):
-    own = detections(spark, d).withColumn("track_id", F.coalesce("mmsi", "local_track_id"))
-    return life.fold_tracks(own).select("track_id", "update_count", F.size("contributing_sensors").cast("long").alias("sensors"), F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
-
-
-@query("t10_dark_alerts")
-def _(spark, d):
-    return life.dark_alerts(fusion.build_tracks(detections(spark, d), NOW.replace(day=15), 30 * 86_400.0)).drop("detecting_sensors")
-
-
 # Reports and questions
 
 @query("r1_ship_reports", f"""WITH {P} SELECT 'Ship Report: ' || ship_name AS head, mmsi, count(*) AS n FROM p GROUP BY ship_name, mmsi""")

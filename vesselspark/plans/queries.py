@@ -22,7 +22,7 @@ SQL: dict[str, str] = {}
 
 P = f"p AS ({sql_positions()})"
 T = P + """, t AS (
-  SELECT 'TRK-' || mmsi AS track_id, *, CASE event_id % 5 WHEN 0 THEN 'dropped' WHEN 1 THEN 'tentative' ELSE 'confirmed' END AS status, ts AS updated_at
+  SELECT 'TRK-' || mmsi AS track_id, *, CASE event_id % 5 WHEN 0 THEN 'dropped' WHEN 1 THEN 'tentative' ELSE 'confirmed' END AS track_status, ts AS updated_at
   FROM (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY ts DESC, event_id DESC) AS rn FROM p) WHERE rn = 1)"""
 
 
@@ -69,12 +69,12 @@ def _(spark, d):
     return filters.ship_trajectory(positions(spark, d), "200000007").select("event_id", "ts", "latitude", "longitude")
 
 
-@query("f4_active_tracks", f"WITH {T} SELECT track_id, status, updated_at FROM t WHERE status <> 'dropped'")
+@query("f4_active_tracks", f"WITH {T} SELECT track_id, track_status, updated_at FROM t WHERE track_status <> 'dropped'")
 def _(spark, d):
-    return filters.active_tracks(tracks(spark, d)).select("track_id", "status", "updated_at")
+    return filters.active_tracks(tracks(spark, d)).select("track_id", "track_status", "updated_at")
 
 
-@query("f5_dark_ships", f"WITH {T} SELECT track_id, latitude, longitude FROM t WHERE status <> 'dropped' AND is_dark_ship")
+@query("f5_dark_ships", f"WITH {T} SELECT track_id, latitude, longitude FROM t WHERE track_status <> 'dropped' AND is_dark_ship")
 def _(spark, d):
     return filters.active_dark_ships(tracks(spark, d)).select("track_id", "latitude", "longitude")
 
@@ -117,7 +117,7 @@ def _(spark, d):
     return filters.cargo_overspeed(typed).select("event_id", "mmsi", "speed_knots")
 
 
-@query("f13_recently_updated", f"WITH {T} SELECT track_id, updated_at FROM t WHERE status <> 'dropped' AND updated_at >= TIMESTAMP '2024-01-30 12:00:00'")
+@query("f13_recently_updated", f"WITH {T} SELECT track_id, updated_at FROM t WHERE track_status <> 'dropped' AND updated_at >= TIMESTAMP '2024-01-30 12:00:00'")
 def _(spark, d):
     return filters.recently_updated(tracks(spark, d), NOW, 43_200).select("track_id", "updated_at")
 
@@ -125,14 +125,14 @@ def _(spark, d):
 # Joins by place
 
 @query("j1_ships_near_point", f"""WITH {T} SELECT track_id, round(distance_km, 4) AS distance_km FROM (
-  SELECT track_id, {km('latitude', 'longitude', *MUMBAI)} AS distance_km FROM t WHERE status <> 'dropped') WHERE distance_km <= 600 ORDER BY distance_km, track_id LIMIT 100""")
+  SELECT track_id, {km('latitude', 'longitude', *MUMBAI)} AS distance_km FROM t WHERE track_status <> 'dropped') WHERE distance_km <= 600 ORDER BY distance_km, track_id LIMIT 100""")
 def _(spark, d):
     found = proximity.ships_near_point(tracks(spark, d), *MUMBAI, 600)
     return found.select("track_id", F.round("distance_km", 4).alias("distance_km"))
 
 
 @query("j2_ships_near_port", f"""WITH {T} SELECT track_id, 'Chennai' AS port_name, round(distance_km, 4) AS distance_km FROM (
-  SELECT track_id, {km('latitude', 'longitude', *CHENNAI)} AS distance_km FROM t WHERE status <> 'dropped') WHERE distance_km <= 500 ORDER BY distance_km, track_id LIMIT 100""")
+  SELECT track_id, {km('latitude', 'longitude', *CHENNAI)} AS distance_km FROM t WHERE track_status <> 'dropped') WHERE distance_km <= 500 ORDER BY distance_km, track_id LIMIT 100""")
 def ships_near_port(spark: SparkSession, d: str) -> DataFrame:
     found = proximity.ships_near_port(tracks(spark, d), config.ports(spark), "chennai", 500)
     return found.select("track_id", "port_name", F.round("distance_km", 4).alias("distance_km"))
@@ -212,7 +212,7 @@ def _(spark, d):
     return history.vessels_by_region(positions(spark, d), config.regions(spark), 500)
 
 
-@query("a5_tracks_by_type", f"WITH {T} SELECT vessel_type, count(*) AS n FROM t WHERE status = 'confirmed' GROUP BY vessel_type")
+@query("a5_tracks_by_type", f"WITH {T} SELECT vessel_type, count(*) AS n FROM t WHERE track_status = 'confirmed' GROUP BY vessel_type")
 def _(spark, d):
     return history.tracks_by_type(tracks(spark, d))
 
@@ -268,7 +268,7 @@ def _(spark, d):
     return history.latest_positions(positions(spark, d)).select("mmsi", "event_id", "ts", "latitude", "longitude")
 
 
-@query("w2_latest_tracks", f"WITH {T} SELECT mmsi, track_id, updated_at FROM t WHERE status <> 'dropped'")
+@query("w2_latest_tracks", f"WITH {T} SELECT mmsi, track_id, updated_at FROM t WHERE track_status <> 'dropped'")
 def _(spark, d):
     return history.latest_tracks(tracks(spark, d)).select("mmsi", "track_id", "updated_at")
 
