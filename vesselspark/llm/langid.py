@@ -227,14 +227,17 @@ def _word_counts(split: Callable[[str], tuple[str, str]]) -> Callable[[Iterator[
 
 def _sample(docs: DataFrame, max_docs: int, max_chars: int) -> DataFrame:
     """``(lang, text)``: of each language the first ``max_docs`` rows of ``docs(id, lang, text)`` by a hash of the id, and
-    of these the first until they have ``max_chars`` characters."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = docs.select("lang", "id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_docs)
+    of these the first until they have ``max_chars`` characters. A language's rows are ranked among those whose hash is in
+    the first part of its range, a part that four times as many rows are expected in, so few rows are ranked."""
+    counts = docs.groupBy("lang").agg(F.count("*").alias("n"))
+    part = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) * F.col("n") < F.lit(float(4 * max_docs * (1 << 40)))
+    few = docs.select("lang", "id").join(counts, "lang").where(part)
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 40)), "id")
+    picked = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_docs)
     picked = picked.select("lang", "id").distinct()  # at most max_docs a language
     found = docs.join(F.broadcast(picked), ["lang", "id"]).select("lang", "id", "text").distinct()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.length("text")).over(order), F.lit(0))
-    return found.withColumn("before", before).where(F.col("before") < max_chars).select("lang", "text")
+    before = F.sum(F.length("text")).over(order.orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 40)), "id", "text").rowsBetween(Window.unboundedPreceding, -1))
+    return found.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < max_chars).select("lang", "text")
 
 
 def train(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
