@@ -28,23 +28,51 @@ def _micros(ts: str) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts).cast("timestamp_ntz"))
 
 
-def close_in_space_and_time(a: DataFrame, b: DataFrame, km: float, seconds: float) -> DataFrame:
-    """Pairs of ``a(ts, latitude, longitude, ...)`` and ``b(b_ts, b_lat, b_lon, ...)`` within ``km`` and ``seconds``, both
-    included, by cells of place and periods of time."""
-    width = int(seconds * MICROS)
-    left = on_grid(a, "latitude", "longitude", km).withColumn("period", F.floor(_micros("ts") / width))
-    right = around_grid(b, "b_lat", "b_lon", km).withColumn("period", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(_micros("b_ts") / width) + k)))
+#: A cell and period with more fixes than this is split: one side is salted, the other copied to each salt.
+CROWDED = 2000
+
+
+def _salted(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``salt``: rows of the left dealt to as many salts as their cell needs, rows of the right in each."""
+    cell = ["cell_row", "cell_column", "period"]
+    crowded = left.groupBy(*cell).count().where(F.col("count") > CROWDED).select(*cell, F.ceil(F.col("count") / CROWDED).alias("salts"))
+    salts = F.coalesce("salts", F.lit(1))
+    left = left.join(crowded, cell, "left").withColumn("salt", F.floor(F.rand(7) * salts)).drop("salts")
+    right = right.join(crowded, cell, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts")
+    return left, right
+
+
+def _in_cells(df: DataFrame, km: float, seconds: float) -> DataFrame:
+    return on_grid(df, "latitude", "longitude", km).withColumn("period", F.floor(_micros("ts") / int(seconds * MICROS)))
+
+
+def _around(df: DataFrame, km: float, seconds: float) -> DataFrame:
+    """``df(b_ts, b_lat, b_lon, ...)`` in each cell and period that may hold something close."""
+    periods = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(_micros("b_ts") / int(seconds * MICROS)) + k)
+    return around_grid(df, "b_lat", "b_lon", km).withColumn("period", F.explode(periods))
+
+
+def _is_close(km: float, seconds: float) -> Column:
     near = haversine("latitude", "longitude", "b_lat", "b_lon") <= km
-    return left.join(right, ["cell_row", "cell_column", "period"]).where(near & (F.abs(_micros("ts") - _micros("b_ts")) <= width)).drop("cell_row", "cell_column", "period")
+    return near & (F.abs(_micros("ts") - _micros("b_ts")) <= int(seconds * MICROS))
 
 
 def encounters(df: DataFrame, km: float = 10.0, hours: float = 1.0) -> DataFrame:
-    """Pairs of vessels with fixes close in place and time: how many pairs of fixes, the first time, the least distance."""
-    own = df.select("mmsi", "ts", "latitude", "longitude")
+    """Pairs of vessels with fixes close in place and time: how many pairs of fixes, the first time, the least distance.
+    A fix meets those of its own period and the next one in the cells around it, so a pair of fixes meets once: in the
+    period of the earlier one or, within a period, from the side of the smaller MMSI."""
+    seconds = hours * 3600
+    own = df.select("mmsi", "ts", "latitude", "longitude").where("mmsi is not null")
+    left = _in_cells(own, km, seconds).withColumn("at", F.col("period"))
     other = own.select(F.col("mmsi").alias("other"), F.col("ts").alias("b_ts"), F.col("latitude").alias("b_lat"), F.col("longitude").alias("b_lon"))
-    pairs = close_in_space_and_time(own, other, km, hours * 3600).where("mmsi < other")
+    other = around_grid(other, "b_lat", "b_lon", km).withColumn("at", F.floor(_micros("b_ts") / int(seconds * MICROS)))
+    right = other.withColumn("period", F.explode(F.array(F.col("at"), F.col("at") - 1))).withColumnRenamed("at", "b_at")
+    left, right = _salted(left, right)
+    once = (F.col("mmsi") != F.col("other")) & ((F.col("b_at") != F.col("at")) | (F.col("mmsi") < F.col("other")))
+    pairs = left.join(right, ["cell_row", "cell_column", "period", "salt"]).where(once & _is_close(km, seconds))
     distance = haversine("latitude", "longitude", "b_lat", "b_lon")
-    return pairs.groupBy("mmsi", "other").agg(F.count("*").alias("meetings"), F.min(F.least("ts", "b_ts")).alias("first_ts"), F.min(distance).alias("least_km"))
+    return pairs.groupBy(F.least("mmsi", "other").alias("mmsi"), F.greatest("mmsi", "other").alias("other")).agg(
+        F.count("*").alias("meetings"), F.min(F.least("ts", "b_ts")).alias("first_ts"), F.min(distance).alias("least_km"))
 
 
 def port_visits(df: DataFrame, ports: DataFrame, nm: float = 50.0) -> DataFrame:
@@ -60,21 +88,45 @@ def ships_sharing_ports(df: DataFrame, ports: DataFrame, mmsi: str, nm: float =
 
 
 def uncorrelated_detections(satellite: DataFrame, ais: DataFrame, km: float = 10.0, seconds: float = 3600.0) -> DataFrame:
-    """Satellite detections with no AIS fix near in place and time."""
-    fixes = ais.select(F.col("ts").alias("b_ts"), F.col("latitude").alias("b_lat"), F.col("longitude").alias("b_lon"))
-    matched = close_in_space_and_time(satellite.select("detection_id", "ts", "latitude", "longitude"), fixes, km, seconds)
-    return satellite.join(matched.select("detection_id").distinct(), "detection_id", "left_anti")
+    """Satellite detections with no AIS fix near in place and time. The detections, the fewer, stand in their own cell, and
+    fixes come to the cells around them once each; a detection goes at its first match."""
+    fixes = _around(ais.select(F.col("ts").alias("b_ts"), F.col("latitude").alias("b_lat"), F.col("longitude").alias("b_lon")), km, seconds)
+    cells = _in_cells(satellite, km, seconds)
+    same = [cells[c] == fixes[c] for c in ("cell_row", "cell_column", "period")]
+    condition = same[0] & same[1] & same[2] & _is_close(km, seconds)
+    return cells.join(fixes, condition, "left_anti").drop("cell_row", "cell_column", "period")
+
+
+#: Positions are nearest to one of so few stations; the stations are an expression of each row.
+MAX_STATIONS = 1000
+
+
+def nearest_station(stations: DataFrame) -> Column:
+    """The station nearest to a row's place, ties by id. The stations, a fixed table, become part of the expression."""
+    places = stations.select("station_id", "latitude", "longitude").limit(MAX_STATIONS + 1).collect()
+    if len(places) > MAX_STATIONS:
+        raise ValueError(f"more than {MAX_STATIONS} stations")
+    each = [F.struct(haversine("latitude", "longitude", s.latitude, s.longitude).alias("km"), F.lit(s.station_id).alias("station_id")) for s in places]
+    return F.array_min(F.array(*each))["station_id"]
 
 
-def weather_at_ships(df: DataFrame, stations: DataFrame, weather: DataFrame) -> DataFrame:
+def weather_at_ships(df: DataFrame, stations: DataFrame, weather: DataFrame, hours: int = 1) -> DataFrame:
     """Each position with the last observation up to its time at the nearest station. Both sides are merged in time order
-    within a station, and periods without a position in between cost nothing."""
-    places = stations.select(F.col("station_id"), F.col("latitude").alias("s_lat"), F.col("longitude").alias("s_lon"))
-    pairs = df.select("event_id", "ts", "latitude", "longitude").join(dimension(places), F.lit(True))  # a fixed small table
-    nearest = pairs.groupBy("event_id", "ts").agg(F.min_by("station_id", F.struct(haversine("latitude", "longitude", "s_lat", "s_lon"), "station_id")).alias("station_id"))
-    seen = weather.select("station_id", "ts", F.struct(F.col("ts").alias("observed_at"), "wind_speed_knots", "temperature_c").alias("w"), F.lit(None).cast("long").alias("event_id"))
-    both = nearest.select("station_id", "ts", F.lit(None).cast(seen.schema["w"].dataType).alias("w"), F.col("event_id").cast("long")).unionByName(seen)
-    order = Window.partitionBy("station_id").orderBy("ts", F.col("w").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    within a station and a period of ``hours``; a period begins with the last observation of those before it."""
+    period = F.floor(_micros("ts") / (hours * 3600 * MICROS)).alias("period")
+    nearest = df.select("event_id", "ts", nearest_station(stations).alias("station_id"), period)
+    seen = weather.select("station_id", "ts", period, F.struct(F.col("ts").alias("observed_at"), "wind_speed_knots", "temperature_c").alias("w"))
+    order = Window.partitionBy("station_id").orderBy("period").rowsBetween(Window.unboundedPreceding, -1)
+    # one row a station and period
+    ends = seen.groupBy("station_id", "period").agg(F.max_by("w", "ts").alias("w"))
+    wanted = nearest.select("station_id", "period").distinct().join(ends, ["station_id", "period"], "full")
+    carried = wanted.select("station_id", "period", F.last("w", ignorenulls=True).over(order).alias("w")).where("w is not null")
+    none = F.lit(None).cast("timestamp_ntz")
+    both = nearest.select("station_id", "period", F.col("ts").cast("timestamp_ntz").alias("ts"), F.lit(None).cast(seen.schema["w"].dataType).alias("w"), F.col("event_id").cast("long"))
+    no_event = F.lit(None).cast("long").alias("event_id")
+    both = both.unionByName(seen.select("station_id", "period", F.col("ts").cast("timestamp_ntz").alias("ts"), "w", no_event))
+    both = both.unionByName(carried.select("station_id", "period", none.alias("ts"), "w", no_event))
+    order = Window.partitionBy("station_id", "period").orderBy(F.asc_nulls_first("ts"), F.col("w").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("w", F.last("w", ignorenulls=True).over(order)).where("event_id is not null")
     return found.select("event_id", "ts", "station_id", "w.observed_at", "w.wind_speed_knots", "w.temperature_c")
 

@@ -11,8 +11,7 @@ from vesselspark.functions.text_filters import extract_filters, extract_time_ran
 from vesselspark.operators import correlate, documents, extras, filters, proximity, sinks, vectors
 from vesselspark.plans.adapter import positions, table, tracks
 from vesselspark.plans.queries import NOW, P, REGION_SQL, T, ZONES, km, nm, query, values
-from vesselspark.sources.unify import FIELDS
-
+from vesselspark.sources.unify import FIELDS, unify
 
 
 def detections(spark: SparkSession, d: str) -> DataFrame:
@@ -25,6 +24,17 @@ def detections(spark: SparkSession, d: str) -> DataFrame:
     return p.withColumns(columns).select(*(F.col(c).cast(kind).alias(c) for c, kind in FIELDS.items()))
 
 
+def unified(spark: SparkSession, d: str) -> DataFrame:
+    """The adapter's positions as the records of four feeds, united by ``unify``."""
+    p = positions(spark, d).withColumn("detection_id", F.col("event_id").cast("string"))
+    of = lambda sensor: p.where(F.col("sensor") == sensor).drop("sensor")
+    ais = of("ais").select("ts", "latitude", "longitude", "mmsi", "ship_name", F.col("vessel_type").alias("ship_type"), "speed_knots", "course")
+    radar = of("radar").select("ts", "latitude", "longitude", F.col("mmsi").alias("track_id"), F.lit("RAD-1").alias("station_id"), "speed_knots", "course", (F.col("event_id") % 101).cast("string").alias("quality"))
+    satellite = of("satellite").select("ts", "latitude", "longitude", "detection_id", F.lit("").alias("satellite"), "vessel_length_m", "confidence", F.col("is_dark_ship").cast("string").alias("is_dark_ship"))
+    drone = of("drone").select("ts", "latitude", "longitude", "detection_id", F.lower("vessel_type").alias("object_class"), F.col("mmsi").alias("tracking_id"), F.col("vessel_length_m").alias("estimated_length_m"), "confidence")
+    return unify(ais, radar, satellite, drone)
+
+
 def moving_tracks(spark: SparkSession, d: str) -> DataFrame:
     north, east = geo.velocity("speed_knots", "course")
     return tracks(spark, d).withColumns({"velocity_north_ms": north, "velocity_east_ms": east, "position_uncertainty_m": F.lit(100.0), "updated_at": F.col("updated_at").cast("timestamp")})
@@ -32,10 +42,50 @@ def moving_tracks(spark: SparkSession, d: str) -> DataFrame:
 
 # Casts and columns
 
-@query("d18_unified_detections", f"""WITH {P} SELECT lpad(cast(event_id AS STRING), 12, '0') AS detection_id, sensor, upper(sensor) AS sensor_id, CASE WHEN sensor = 'ais' THEN mmsi END AS mmsi,
-  CASE WHEN sensor <> 'ais' THEN mmsi END AS local_track_id, latitude, longitude FROM p""")
+@query("d18_unified_detections", f"""WITH {P} SELECT CASE WHEN sensor IN ('satellite', 'drone') THEN event_id::STRING END AS detection_id, sensor, CASE sensor WHEN 'ais' THEN 'AIS' WHEN 'radar' THEN 'RAD-1' WHEN 'satellite' THEN 'SAT' ELSE 'DRONE' END AS sensor_id,
+  ts, latitude, longitude, CASE WHEN sensor = 'ais' THEN mmsi END AS mmsi, CASE WHEN sensor = 'ais' THEN ship_name END AS ship_name, CASE WHEN sensor = 'ais' THEN vessel_type END AS vessel_type,
+  CASE WHEN sensor IN ('ais', 'radar') THEN nullif(speed_knots, 0) END AS speed_knots, CASE WHEN sensor IN ('ais', 'radar') THEN nullif(course, 0) END AS course, CASE WHEN sensor IN ('satellite', 'drone') THEN nullif(confidence, 0) END AS confidence,
+  CASE WHEN sensor IN ('satellite', 'drone') THEN vessel_length_m END AS vessel_length_m, CASE WHEN sensor = 'drone' THEN lower(vessel_type) END AS object_class, CASE WHEN sensor = 'satellite' THEN is_dark_ship END AS is_dark_ship,
+  CASE WHEN sensor = 'radar' THEN cast(event_id % 101 AS INT) END AS quality, CASE WHEN sensor IN ('radar', 'drone') THEN mmsi END AS local_track_id FROM p""")
 def _(spark, d):
-    return detections(spark, d).select("detection_id", "sensor", "sensor_id", "mmsi", "local_track_id", "latitude", "longitude")
+    return unified(spark, d).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("u1_union_counts", f"WITH {P} SELECT sensor, count(*) AS n, count(DISTINCT CASE WHEN sensor = 'ais' THEN mmsi END) AS named FROM p GROUP BY sensor")
+def _(spark, d):
+    return unified(spark, d).groupBy("sensor").agg(F.count("*").alias("n"), F.count_distinct("mmsi").alias("named"))
+
+
+@query("d24_vessel_class", f"""WITH {P} SELECT event_id, CASE vessel_type WHEN 'CARGO' THEN 'cargo_ship' WHEN 'TANKER' THEN 'tanker' WHEN 'CONTAINER' THEN 'container_ship' WHEN 'FISHING' THEN 'fishing_boat' ELSE 'vessel' END AS vessel_class FROM p""")
+def _(spark, d):
+    return positions(spark, d).select("event_id", casts.vessel_class(F.lower("vessel_type")).alias("vessel_class"))
+
+
+@query("g5_dead_reckoned", f"""WITH {P} SELECT event_id, round(latitude + speed_knots * 907 / 3600.0 / 60.0 * cos(radians(course)), 9) AS latitude,
+  round(longitude + speed_knots * 907 / 3600.0 / 60.0 * sin(radians(course)) / cos(radians(latitude)), 9) AS longitude, round(((cast(event_id % 360 AS DOUBLE) - course + 180) % 360 + 360) % 360 - 180, 6) AS turn FROM p""")
+def _(spark, d):
+    lat, lon = geo.dead_reckon("latitude", "longitude", "speed_knots", "course", 907)
+    return positions(spark, d).select("event_id", F.round(lat, 9).alias("latitude"), F.round(lon, 9).alias("longitude"), F.round(geo.turn("course", (F.col("event_id") % 360).cast("double")), 6).alias("turn"))
+
+
+@query("g7_match_scores", f"""WITH {P} SELECT event_id, round(coalesce(CASE WHEN speed_knots <> 0 AND b <> 0 THEN abs(speed_knots - b) / 15 END, 0) + coalesce(CASE WHEN course <> 0 AND c <> 0 THEN least(abs(course - c), 360 - abs(course - c)) / 120 END, 0), 7) AS kinematic,
+  round(least(1.0, greatest(0.0, 1 - speed_knots / 10)), 7) AS confidence, round(least(10000.0, greatest(500.0, 4 * sqrt(power(vessel_length_m * 10, 2) + 2500))), 4) AS gate
+  FROM (SELECT *, cast(event_id % 20 AS DOUBLE) AS b, cast(event_id % 360 AS DOUBLE) AS c FROM p)""")
+def _(spark, d):
+    i, p = F.col("event_id"), positions(spark, d)
+    score = geo.kinematic_score("speed_knots", "course", (i % 20).cast("double"), (i % 360).cast("double"))
+    return p.select("event_id", F.round(score, 7).alias("kinematic"), F.round(geo.match_confidence("speed_knots"), 7).alias("confidence"), F.round(geo.gate_size(F.col("vessel_length_m") * 10, 50), 4).alias("gate"))
+
+
+@query("d22_dark_events_from_text", f"""WITH {P} SELECT 'TRK-' || mmsi AS track_id, date_trunc('second', ts) AS event_timestamp, latitude, longitude, CASE WHEN event_id % 5 = 0 THEN 0.0 ELSE confidence END::DOUBLE AS dark_ship_confidence,
+  CASE WHEN event_id % 3 = 0 THEN 'gap ' || event_id END AS alert_reason, 'radar|' || sensor AS sensors FROM p WHERE is_dark_ship""")
+def _(spark, d):
+    i = F.col("event_id")
+    text = positions(spark, d).where("is_dark_ship").select(
+        F.concat(F.lit("TRK-"), "mmsi").alias("track_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), F.col("latitude").cast("string").alias("latitude"), F.col("longitude").cast("string").alias("longitude"),
+        F.when(i % 5 == 0, "none").otherwise(F.col("confidence").cast("string")).alias("confidence"), F.when(i % 3 == 0, F.concat(F.lit("gap "), i.cast("string"))).otherwise(" ").alias("reason"), F.concat(F.lit(" radar,, "), "sensor").alias("contributing_sensors"))
+    found = sinks.parse_dark_events(text)
+    return found.select("track_id", F.col("event_timestamp").cast("timestamp_ntz").alias("event_timestamp"), "latitude", "longitude", "dark_ship_confidence", "alert_reason", F.array_join("detecting_sensors", "|").alias("sensors"))
 
 
 @query("d19_casts", "SELECT event_id, try_cast(props AS DOUBLE) AS as_float, nullif(value, 0) AS nonzero, event_type IN ('true', '1', 'yes') AS as_bool FROM events")
@@ -117,11 +167,28 @@ def _(spark, d):
 
 # Reports and questions
 
-@query("r1_ship_reports", f"""WITH {P} SELECT 'Ship Report: ' || ship_name AS head, mmsi, count(*) AS n FROM p GROUP BY ship_name, mmsi""")
+@query("r1_ship_reports", f"""WITH {P}, g AS (SELECT ship_name, min(mmsi) AS mmsi, min(vessel_type) AS vessel_type, arg_min((latitude, longitude, ts), (ts, event_id)) AS a, arg_max((latitude, longitude, ts), (ts, event_id)) AS b, avg(speed_knots) AS speed, count(*) AS n,
+    min(event_id) FILTER (speed_knots > 25) AS odd FROM p GROUP BY ship_name)
+  SELECT concat_ws(chr(10), 'Ship Report: ' || ship_name, 'MMSI: ' || mmsi, 'Type: ' || vessel_type, 'Route: Unknown to Unknown', printf('First Position: %.4fN, %.4fE at ', a[1], a[2]) || strftime(a[3], '%Y-%m-%d %H:%M:%S'),
+    printf('Last Position: %.4fN, %.4fE at ', b[1], b[2]) || strftime(b[3], '%Y-%m-%d %H:%M:%S'), 'Average Speed: ' || printf('%.1f', round(speed, 1)) || ' knots', 'Total Positions Recorded: ' || n, 'Current Status: Unknown',
+    CASE WHEN odd IS NOT NULL THEN chr(10) || 'ANOMALY DETECTED: SPEED' END) AS content, 'ship_report' AS document_type, mmsi FROM g""")
+def _(spark, d):
+    flagged = positions(spark, d).withColumns({"anomaly_flag": F.col("speed_knots") > 25, "anomaly_type": F.lit("SPEED")})
+    return documents.ship_reports(flagged).select("content", "document_type", F.col("metadata")["mmsi"].alias("mmsi"))
+
+
+@query("r2_port_reports", f"""WITH {P}, n AS (SELECT name, plat, plon, ship_name FROM p JOIN {values(config.PORTS, 'name, country, plat, plon')} ON abs(latitude - plat) < 1 AND abs(longitude - plon) < 1)
+  SELECT concat_ws(chr(10), 'Port Activity Report: ' || name, printf('Location: %.4fN, %.4fE', plat, plon), 'Ships in vicinity: ' || count(DISTINCT ship_name), 'Ship names: ' || string_agg(DISTINCT ship_name, ', ' ORDER BY ship_name), 'Total position records: ' || count(*)) AS content,
+    name AS port_name FROM n GROUP BY name, plat, plon""")
+def _(spark, d):
+    return documents.port_reports(positions(spark, d), config.ports(spark)).select("content", F.col("metadata")["port_name"].alias("port_name"))
+
+
+@query("r3_anomaly_reports", f"""WITH {P} SELECT concat_ws(chr(10), 'ANOMALY ALERT', 'Ship: ' || ship_name, 'MMSI: ' || mmsi, 'Type: Unknown', printf('Location: %.4fN, %.4fE', latitude, longitude), 'Time: ' || strftime(ts, '%Y-%m-%d %H:%M:%S'), 'Speed: ' || speed_knots || ' knots',
+  'This vessel has exhibited suspicious behavior requiring investigation.') AS content, ship_name FROM p WHERE speed_knots > 25""")
 def _(spark, d):
-    lines = F.split("content", "\n")
-    counted = F.split(F.get(lines, F.lit(7)), ": ")[1].cast("long")
-    return documents.ship_reports(positions(spark, d)).select(F.get(lines, F.lit(0)).alias("head"), F.col("metadata")["mmsi"].alias("mmsi"), counted.alias("n"))
+    flagged = positions(spark, d).withColumn("anomaly_flag", F.col("speed_knots") > 25)
+    return documents.anomaly_reports(flagged).select("content", F.col("metadata")["ship_name"].alias("ship_name"))
 
 
 @query("r2_port_activity", f"""WITH {P}, n AS (SELECT name AS port_name, ship_name FROM p JOIN {values(config.PORTS, 'name, country, plat, plon')} ON abs(latitude - plat) < 1 AND abs(longitude - plon) < 1)
@@ -243,14 +310,14 @@ def _(spark, d):
 @query("x5_weather", f"""WITH {P}, st AS (SELECT * FROM {values(config.RADAR_STATIONS, 'station_id, name, slat, slon, r')}),
   n AS (SELECT event_id, ts, station_id FROM (SELECT event_id, ts, station_id, row_number() OVER (PARTITION BY event_id ORDER BY {km('latitude', 'longitude', 'slat', 'slon')}, station_id) AS rn FROM p CROSS JOIN st WHERE sensor = 'ais') WHERE rn = 1),
   w AS (SELECT station_id, ts AS observed_at, max(speed_knots) AS wind FROM (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY event_id) AS k FROM p WHERE sensor = 'drone') CROSS JOIN st WHERE event_id % 7 = cast(right(cast(ascii(station_id[5]) AS STRING), 1) AS INT) % 7 GROUP BY station_id, ts)
-  SELECT n.event_id, n.station_id, max(w.observed_at) AS observed_at FROM n LEFT JOIN w ON n.station_id = w.station_id AND w.observed_at <= n.ts GROUP BY n.event_id, n.station_id""")
+  SELECT n.event_id, n.station_id, max(w.observed_at) AS observed_at, round(arg_max(w.wind, w.observed_at), 6) AS wind_speed_knots FROM n LEFT JOIN w ON n.station_id = w.station_id AND w.observed_at <= n.ts GROUP BY n.event_id, n.station_id""")
 def _(spark, d):
     p = positions(spark, d)
     stations = config.radar_stations(spark)
     digit = (F.ascii(F.substring("station_id", 5, 1)) % 10) % 7
     weather = p.where("sensor = 'drone'").join(F.broadcast(stations.select("station_id")), F.col("event_id") % 7 == digit)  # seven rows
     weather = weather.select("station_id", "ts", F.col("speed_knots").alias("wind_speed_knots"), F.lit(25.0).alias("temperature_c"))
-    return extras.weather_at_ships(p.where("sensor = 'ais'"), stations, weather).select("event_id", "station_id", "observed_at")
+    return extras.weather_at_ships(p.where("sensor = 'ais'"), stations, weather).select("event_id", "station_id", "observed_at", F.round("wind_speed_knots", 6).alias("wind_speed_knots"))
 
 
 @query("x6_window_summary", f"""WITH {P}, l AS (SELECT *, epoch_us(ts) // 86400000000 AS bin, lag(epoch_us(ts) // 86400000000) OVER w AS pb, lag(latitude) OVER w AS a, lag(longitude) OVER w AS b FROM p WINDOW w AS (PARTITION BY mmsi ORDER BY ts, event_id))
@@ -261,13 +328,17 @@ def _(spark, d):
     return found.select("mmsi", "window_start", F.round("avg_speed", 8).alias("avg_speed"), "max_speed", F.round("distance_nm", 3).alias("distance_nm"), "dark_events", "n")
 
 
-@query("x7_alert_table", f"""WITH {P}, l AS (SELECT mmsi, ts, lag(ts) OVER (PARTITION BY mmsi ORDER BY ts, event_id) AS b FROM p)
-  SELECT 'speed_anomaly' AS alert_type, mmsi, ts FROM p WHERE speed_knots > 25 UNION ALL SELECT 'ais_gap', mmsi, ts FROM l WHERE (epoch_us(ts) - epoch_us(b)) / 1e6 / 3600.0 > 24
-  UNION ALL SELECT 'zone_violation', mmsi, ts FROM p CROSS JOIN {values(ZONES, 'zone, zlat, zlon, r')} WHERE {nm('latitude', 'longitude', 'zlat', 'zlon')} < r""")
+@query("x7_alert_table", f"""WITH {P}, l AS (SELECT *, lag(ts) OVER w AS b, lag(latitude) OVER w AS blat, lag(longitude) OVER w AS blon FROM p WINDOW w AS (PARTITION BY mmsi ORDER BY ts, event_id))
+  SELECT 'speed_anomaly' AS alert_type, 'medium' AS severity, mmsi, ts, latitude, longitude, speed_knots::DOUBLE AS speed_knots, NULL::DOUBLE AS gap_hours, NULL::STRING AS zone, NULL::DOUBLE AS distance_nm FROM p WHERE speed_knots > 25
+  UNION ALL SELECT 'ais_gap', 'high', mmsi, ts, latitude, longitude, NULL, round((epoch_us(ts) - epoch_us(b)) / 1e6 / 3600.0, 2), NULL, NULL FROM l WHERE (epoch_us(ts) - epoch_us(b)) / 1e6 / 3600.0 > 24
+  UNION ALL SELECT 'zone_violation', 'high', mmsi, ts, latitude, longitude, NULL, NULL, zone, round({nm('latitude', 'longitude', 'zlat', 'zlon')}, 2) FROM p CROSS JOIN {values(ZONES, 'zone, zlat, zlon, r')} WHERE {nm('latitude', 'longitude', 'zlat', 'zlon')} < r
+  UNION ALL SELECT 'dark_ship', 'critical', mmsi, ts, latitude, longitude, NULL, NULL, NULL, NULL FROM p WHERE is_dark_ship""")
 def _(spark, d):
     p = positions(spark, d)
     zones = proximity.zone_violations(p, spark.createDataFrame(ZONES, "zone string, latitude double, longitude double, radius_nm double"))
-    return extras.alert_table(p, zones, None, 25, 24).select("alert_type", "mmsi", "ts")
+    dark = p.where("is_dark_ship").select("mmsi", F.col("ts").alias("event_timestamp"), "latitude", "longitude", F.lit("seen").alias("alert_reason"))
+    found, of = extras.alert_table(p, zones, dark, 25, 24), F.col("evidence")
+    return found.select("alert_type", "severity", "mmsi", "ts", "latitude", "longitude", *(of[c].try_cast("double").alias(c) for c in ("speed_knots", "gap_hours")), of["zone"].alias("zone"), of["distance_nm"].try_cast("double").alias("distance_nm"))
 
 
 @query("x8_vessel_history", f"WITH {P} SELECT event_id, ts FROM p WHERE mmsi = '200000005' AND ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00'")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vesselspark import config
-from vesselspark.operators import filters, history, proximity
+from vesselspark.operators import filters, history, proximity, sinks
 from vesselspark.plans.adapter import positions, sql_positions, tracks
 
 NOW = datetime(2024, 1, 31)
@@ -117,6 +117,11 @@ def _(spark, d):
     return filters.cargo_overspeed(typed).select("event_id", "mmsi", "speed_knots")
 
 
+@query("f12_track_by_id", f"WITH {T} SELECT track_id, track_status, latitude FROM t WHERE track_id = 'TRK-200000011'")
+def _(spark, d):
+    return filters.track_by_id(tracks(spark, d), "TRK-200000011").select("track_id", "track_status", "latitude")
+
+
 @query("f13_recently_updated", f"WITH {T} SELECT track_id, updated_at FROM t WHERE track_status <> 'dropped' AND updated_at >= TIMESTAMP '2024-01-30 12:00:00'")
 def _(spark, d):
     return filters.recently_updated(tracks(spark, d), NOW, 43_200).select("track_id", "updated_at")
@@ -143,6 +148,11 @@ def _(spark, d):
     return proximity.positions_near_port(positions(spark, d), *MUMBAI, 100).select("event_id", F.round("distance_nm", 4).alias("distance_nm"))
 
 
+@query("j4_ships_in_range", f"WITH {P} SELECT event_id, mmsi, round(x, 4) AS distance_nm FROM (SELECT *, {nm('latitude', 'longitude', *CHENNAI)} AS x FROM p) WHERE x <= 80")
+def _(spark, d):
+    return proximity.ships_in_range(positions(spark, d), *CHENNAI, 80).select("event_id", "mmsi", F.round("distance_nm", 4).alias("distance_nm"))
+
+
 ZONES = [("Z1", 15.5, 73.0, 60.0), ("Z2", 12.0, 75.0, 80.0)]
 
 
@@ -201,15 +211,15 @@ def _(spark, d):
     return history.speed_stats_by_type(positions(spark, d))
 
 
-@query("a3_vessels_by_type", f"WITH {P} SELECT vessel_type, count(DISTINCT mmsi) AS vessels FROM (SELECT * FROM p ORDER BY ts DESC, event_id DESC LIMIT 500) GROUP BY vessel_type")
+@query("a3_vessels_by_type", f"WITH {P} SELECT vessel_type, count(DISTINCT mmsi) AS vessels FROM (SELECT * FROM p ORDER BY ts DESC, event_id DESC LIMIT 10000) GROUP BY vessel_type")
 def _(spark, d):
-    return history.vessels_by_type(positions(spark, d), 500)
+    return history.vessels_by_type(positions(spark, d))
 
 
-@query("a4_vessels_by_region", f"""WITH {P} SELECT region, count(DISTINCT mmsi) AS vessels FROM (SELECT * FROM p ORDER BY ts DESC, event_id DESC LIMIT 500)
+@query("a4_vessels_by_region", f"""WITH {P} SELECT region, count(DISTINCT mmsi) AS vessels FROM (SELECT * FROM p ORDER BY ts DESC, event_id DESC LIMIT 10000)
   JOIN {REGION_SQL} ON latitude BETWEEN lat_min AND lat_max AND longitude BETWEEN lon_min AND lon_max GROUP BY region""")
 def _(spark, d):
-    return history.vessels_by_region(positions(spark, d), config.regions(spark), 500)
+    return history.vessels_by_region(positions(spark, d), config.regions(spark))
 
 
 @query("a5_tracks_by_type", f"WITH {T} SELECT vessel_type, count(*) AS n FROM t WHERE track_status = 'confirmed' GROUP BY vessel_type")
@@ -256,9 +266,10 @@ def _(spark, d):
     return found.select("track_id", "sensor", "c.measurement_count", "c.last_update", "c.confidence")
 
 
-@query("a14_dataset_summary", f"WITH {P} SELECT count(*) AS rows, count(DISTINCT mmsi) AS ships, min(ts) AS first_ts, max(ts) AS last_ts, count(*) FILTER (vessel_type = 'CARGO') AS cargo FROM p")
+@query("a14_dataset_summary", f"""WITH {P}, w AS (SELECT count(*) AS rows, count(DISTINCT mmsi) AS ships, min(ts) AS first_ts, max(ts) AS last_ts FROM p)
+  SELECT w.*, vessel_type, n FROM w, (SELECT vessel_type, count(*) AS n FROM p GROUP BY vessel_type)""")
 def _(spark, d):
-    return history.dataset_summary(positions(spark, d)).select("rows", "ships", "first_ts", "last_ts", F.col("by_type")["CARGO"].alias("cargo"))
+    return history.dataset_summary(positions(spark, d)).select("rows", "ships", "first_ts", "last_ts", F.explode("by_type").alias("vessel_type", "n"))
 
 
 # Windows and top-k
@@ -292,6 +303,28 @@ def _(spark, d):
     return history.latest_n(positions(spark, d), 50).select("event_id", "mmsi", "ts")
 
 
+ALERTS_SQL = "e AS (SELECT 'TRK-' || mmsi AS track_id, ts AS event_timestamp, event_id FROM p WHERE is_dark_ship)"
+
+
+def alerts(spark: SparkSession, d: str) -> DataFrame:
+    return positions(spark, d).where("is_dark_ship").select(F.concat(F.lit("TRK-"), "mmsi").alias("track_id"), F.col("ts").alias("event_timestamp"), "event_id")
+
+
+@query("k4_latest_alerts", f"WITH {P}, {ALERTS_SQL} SELECT * FROM e ORDER BY event_timestamp DESC, track_id LIMIT 100")
+def _(spark, d):
+    return history.latest_alerts(alerts(spark, d))
+
+
+@query("f9_dark_events_today", f"WITH {P}, {ALERTS_SQL} SELECT * FROM e WHERE event_timestamp >= TIMESTAMP '2024-01-17 00:00:00'")
+def _(spark, d):
+    return filters.dark_events_today(alerts(spark, d), NOW.replace(day=17, hour=15))
+
+
+@query("s15_retained", f"WITH {P} SELECT event_id, ts FROM p ORDER BY ts DESC, event_id DESC LIMIT 1000")
+def _(spark, d):
+    return sinks.retain_latest(positions(spark, d).select("event_id", "ts"), 1000, "ts", "event_id")
+
+
 @query("k2_recent_anomalies", f"WITH {P} SELECT event_id, speed_knots FROM (SELECT * FROM p ORDER BY ts DESC, event_id DESC LIMIT 50000) WHERE speed_knots > 15 ORDER BY ts DESC, event_id DESC LIMIT 20")
 def _(spark, d):
     return history.recent_speed_anomalies(positions(spark, d), knots=15).select("event_id", "speed_knots")
