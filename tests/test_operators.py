@@ -76,6 +76,37 @@ def test_grid_loses_nothing(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 1000
 
 
+def test_many_places_meet_on_grids(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(zip(rng.uniform(-89, 89, 400), rng.uniform(-180, 180, 400)))], "event_id int, latitude double, longitude double").cache()
+    places = [(f"Z{k}", float(a), float(b), float(r)) for k, (a, b, r) in enumerate(zip(rng.uniform(-89, 89, 60), rng.uniform(-180, 180, 60), rng.choice([1.0, 30.0, 300.0, 3000.0, 9000.0, 20_000.0], 60)))]
+    zones = spark.createDataFrame(places, "zone string, latitude double, longitude double, radius_nm double")
+    found = lambda: sorted((r.event_id, r.zone, r.distance_nm) for r in proximity.zone_violations(df, zones).collect())
+    few = found()
+    monkeypatch.setattr(proximity, "DIMENSION_ROWS", 5)
+    plan = proximity.zone_violations(df, zones)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert found() == few and len(few) > 2000
+    with pytest.raises(ValueError):
+        proximity.assign_regions(df, spark.createDataFrame([("R", 0.0, 1.0, 0.0, 1.0)] * 6, "region string, lat_min double, lat_max double, lon_min double, lon_max double"))
+
+
+def test_batch_search_against_all(spark):
+    rng = np.random.default_rng(3)
+    data = rng.normal(size=(300, 8))
+    df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(data)] + [(900, None), (None, [1.0] * 8)], "vec_id long, embedding array<float>")
+    asked = df.where("vec_id % 7 = 0").withColumnRenamed("vec_id", "query_id")
+    unit = data.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    for block in (8192, 37):
+        got = {(r.query_id, r["rank"]): (r.vec_id, r.similarity) for r in vectors.batch_search(df, asked, 4, block=block).collect()}
+        assert len(got) == 4 * 43
+        for q in range(0, 300, 7):
+            order = np.lexsort((np.arange(300), -(unit @ unit[q])))[:4]
+            assert [got[q, k + 1][0] for k in range(4)] == order.tolist() and got[q, 1][1] == pytest.approx(1)
+    assert vectors.batch_search(df.limit(0), asked, 4).collect() == [] and vectors.batch_search(df, asked.limit(0), 4).collect() == []
+
+
 def test_vectors(spark):
     texts = [("d1", "cargo ship near mumbai", "ship_report"), ("d2", "port activity mumbai", "port_report"), ("d3", None, "ship_report")]
     docs = vectors.embed(spark.createDataFrame(texts, "id string, content string, document_type string"), vectors.hashing_embedder()).cache()

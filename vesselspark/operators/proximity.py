@@ -10,14 +10,27 @@ from pyspark.sql import functions as F
 from vesselspark.functions.geo import bearing, haversine, radar_probability, radar_quality, satellite_probability
 from vesselspark.operators.filters import active_tracks
 
-#: A broadcast side has at most this many rows; a larger dimension is joined as Spark sees fit.
+#: A broadcast side has at most this many rows; more places are met on grid cells.
 DIMENSION_ROWS = 10_000
+#: Places whose radius is below so many kilometres share a grid, from small to large.
+GRIDS_KM = (5.0, 20.0, 80.0, 320.0, 1280.0, 20_100.0)
 KM_A_DEGREE = 6371.0 * math.pi / 180
 
 
+def is_small(df: DataFrame) -> bool:
+    return df.limit(DIMENSION_ROWS + 1).count() <= DIMENSION_ROWS
+
+
 def dimension(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if it is as small as a dimension."""
-    return F.broadcast(df) if df.limit(DIMENSION_ROWS + 1).count() <= DIMENSION_ROWS else df
+    """``df`` marked for broadcast if it is as small as a dimension; for joins by equal keys, which need no such side."""
+    return F.broadcast(df) if is_small(df) else df
+
+
+def fixed(df: DataFrame) -> DataFrame:
+    """``df`` for a broadcast that a join by ranges needs; an error if it is no dimension."""
+    if not is_small(df):
+        raise ValueError(f"more than {DIMENSION_ROWS} rectangles")
+    return F.broadcast(df)
 
 
 def _box(km: Column | float, lat: Column, lon: Column, other_lat: Column, other_lon: Column) -> Column:
@@ -62,13 +75,24 @@ def ships_in_range(df: DataFrame, lat: float, lon: float, nm: float) -> DataFram
 
 
 def near_places(df: DataFrame, places: DataFrame, radius_nm: str, strict: bool = False) -> DataFrame:
-    """Rows paired with each place whose radius they are in. Columns of ``places`` come as ``place_<name>``."""
+    """Rows paired with each place whose radius they are in. Columns of ``places`` come as ``place_<name>``. A few places
+    are broadcast; many meet the rows on grids of cells as wide as their radius, one grid for radii of about one size."""
     own = places.select(*(F.col(c).alias(f"place_{c}") for c in places.columns))
     lat, lon, radius = F.col("place_latitude"), F.col("place_longitude"), F.col(f"place_{radius_nm}")
     distance = haversine("latitude", "longitude", lat, lon, "nm")
-    box = _box(radius * 1.852 * 1.001, F.col("latitude"), F.col("longitude"), lat, lon)
-    both = df.join(dimension(own), box & (distance < radius if strict else distance <= radius))
-    return both.withColumn("distance_nm", distance)
+    near = distance < radius if strict else distance <= radius
+    if is_small(own):
+        box = _box(radius * 1.852 * 1.001, F.col("latitude"), F.col("longitude"), lat, lon)
+        return df.join(F.broadcast(own), box & near).withColumn("distance_nm", distance)
+    km, found, low = radius * 1.852 * 1.001, None, -1.0
+    for high in GRIDS_KM:
+        some = own.where((km > low) & (km <= high) if high < GRIDS_KM[-1] else km > low)
+        if not some.isEmpty():
+            cells = around_grid(some, "place_latitude", "place_longitude", high)
+            pairs = on_grid(df, "latitude", "longitude", high).join(cells, ["cell_row", "cell_column"]).where(near).drop("cell_row", "cell_column")
+            found = pairs if found is None else found.unionByName(pairs)
+        low = high
+    return (df.join(F.broadcast(own.limit(0)), near) if found is None else found).withColumn("distance_nm", distance)
 
 
 def zone_violations(df: DataFrame, zones: DataFrame) -> DataFrame:
@@ -91,7 +115,7 @@ def radar_coverage(df: DataFrame, stations: DataFrame, weather: float = 1.0) ->
 def swath_coverage(df: DataFrame, passes: DataFrame) -> DataFrame:
     """Rows inside the rectangle of each pass ``(pass_id, sensor_type, cloud_cover, lat_min, lat_max, lon_min, lon_max)``."""
     inside = F.col("latitude").between(F.col("lat_min"), F.col("lat_max")) & F.col("longitude").between(F.col("lon_min"), F.col("lon_max"))
-    return df.join(dimension(passes), inside).withColumn("probability", satellite_probability("sensor_type", "cloud_cover"))
+    return df.join(fixed(passes), inside).withColumn("probability", satellite_probability("sensor_type", "cloud_cover"))
 
 
 def patrol_coverage(df: DataFrame, zones: DataFrame) -> DataFrame:
@@ -101,7 +125,7 @@ def patrol_coverage(df: DataFrame, zones: DataFrame) -> DataFrame:
 def assign_regions(df: DataFrame, regions: DataFrame) -> DataFrame:
     """Each row with each region it lies in; regions may overlap."""
     inside = F.col("latitude").between(F.col("lat_min"), F.col("lat_max")) & F.col("longitude").between(F.col("lon_min"), F.col("lon_max"))
-    return df.join(dimension(regions), inside)
+    return df.join(fixed(regions), inside)
 
 
 def cells(lat: Column, lon: Column, km: float) -> tuple[Column, Column]:

@@ -8,14 +8,15 @@ from datetime import datetime
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vesselspark import config
+from vesselspark.meetings import BLOCK, PART, block_of, blocks_of, everywhere, meet
 from vesselspark.operators.filters import match_filters
 
 BATCH = 50
-QUERY_BLOCK = 512
 
 
 def hashing_embedder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
@@ -106,16 +107,17 @@ def item_id(columns: list[str]) -> Column:
     return F.coalesce(*ids, F.sha2(F.to_json(F.struct(*sorted(columns))), 256))
 
 
-def rrf_fuse(lists: dict[str, DataFrame], weights: dict[str, float] | None = None, k: int = config.RRF_K) -> DataFrame:
-    """Ranked lists with an order column ``position`` -> ``item_id, fusion_score, payload``, best first. A list adds its
+def rrf_fuse(lists: dict[str, DataFrame], weights: dict[str, float] | None = None, k: int = config.RRF_K, longest: int = 10_000) -> DataFrame:
+    """Ranked lists with an order column ``position`` -> ``item_id, fusion_score, payload``, best first. Of each list the
+    first ``longest`` items are ranked, more being no top-k list. A list adds its
     weight over k plus the rank from zero, once for each time it holds the item. The payload, as JSON, is of the first
     list that has the item, but the last one of the structured list. Ties keep the order of lists, then ranks."""
     weights = weights or config.RRF_WEIGHTS
     every = None
     for place, (name, df) in enumerate(lists.items()):
         fields = [c for c in df.columns if c != "position"]
-        rank = F.row_number().over(Window.orderBy("position")) - 1  # over a top-k list, which is small
-        part = df.select(item_id(fields).alias("item_id"), rank.alias("rank"), F.to_json(F.struct(*fields)).alias("payload"))
+        rank = F.row_number().over(Window.orderBy("position")) - 1  # over a list of bounded length
+        part = df.orderBy("position").limit(longest).select(item_id(fields).alias("item_id"), rank.alias("rank"), F.to_json(F.struct(*fields)).alias("payload"))
         part = part.select("item_id", "rank", "payload", F.lit(place).alias("place"), (F.lit(float(weights[name])) / (k + F.col("rank"))).alias("score"),
                            F.struct(F.lit(place).alias("list"), (-F.col("rank") if name == "structured" else F.col("rank")).alias("at")).alias("order"))
         every = part if every is None else every.unionByName(part)
@@ -129,39 +131,35 @@ def hybrid_search(structured: DataFrame, semantic: DataFrame, live: DataFrame, f
     return rrf_fuse({"structured": structured, "semantic": semantic, "realtime": live})
 
 
-def batch_search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id") -> DataFrame:
-    """``(query_id, rank, key, similarity)``: the ``k`` nearest of each query ``(query_id, embedding)``. Queries are taken in
-    blocks of QUERY_BLOCK, which each pass over ``docs`` carries as a matrix; a batch of rows keeps its best ``k`` a query."""
-    rows = queries.select("query_id", "embedding").where("query_id is not null and embedding is not null").orderBy("query_id").toLocalIterator()
-    found, block = None, []
-
-    def search(own: list) -> DataFrame:
-        ids = np.array([r.query_id for r in own])
-        matrix = np.array([r.embedding for r in own], dtype=np.float64)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        fixed = docs.sparkSession.sparkContext.broadcast((ids, matrix))  # at most QUERY_BLOCK rows
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, matrix = fixed.value
-            for batch in batches:
-                batch = batch[batch.embedding.notna()]
-                if not len(batch):
-                    continue
-                vectors = np.stack(batch.embedding.to_list()).astype(np.float64)
-                vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
-                keys, scores = batch[key].to_numpy(), matrix @ vectors.T
-                order = np.lexsort((np.broadcast_to(keys, scores.shape), -scores), axis=1)[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), key: keys[order].ravel(), "similarity": np.take_along_axis(scores, order, axis=1).ravel()})
-
-        return docs.select(key, "embedding").mapInPandas(run, f"query_id long, {key} long, similarity double")
-
-    for row in rows:
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            found = search(block) if found is None else found.unionByName(search(block))
-            block = []
-    if block or found is None:
-        part = search(block) if block else docs.sparkSession.createDataFrame([], f"query_id long, {key} long, similarity double")
-        found = part if found is None else found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+class VectorBlock:
+    """Unit vectors of a block; each query's ``k`` nearest among them."""
+
+    def __init__(self, rows: pa.Table, k: int):
+        self.keys, self.vectors, self.k = rows.column(0).to_numpy(), unit_rows(rows), k
+
+    def ask(self, rows: pa.Table) -> pa.RecordBatch:
+        ids, scores = rows.column(0).to_numpy(), unit_rows(rows) @ self.vectors.T
+        order = np.lexsort((np.broadcast_to(self.keys, scores.shape), -scores), axis=1)[:, : self.k]
+        found = [np.repeat(ids, order.shape[1]), self.keys[order].ravel(), np.take_along_axis(scores, order, axis=1).ravel()]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "key", "similarity"])
+
+    def end(self) -> None:
+        return None
+
+
+def unit_rows(rows: pa.Table) -> np.ndarray:
+    column = rows.column("embedding").combine_chunks()
+    matrix = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+
+
+def batch_search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", block: int = BLOCK) -> DataFrame:
+    """``(query_id, rank, key, similarity)``: the ``k`` nearest of each query ``(query_id, embedding)``. Documents lie in
+    blocks that queries stream through; a block returns its best ``k`` a query. Vectors are of one length; rows without a
+    key or a vector take no part."""
+    rows = docs.select(F.col(key).cast("long").alias("key"), "embedding").where("key is not null and embedding is not null")
+    asked = queries.select(F.col("query_id").cast("long").alias("key"), "embedding").where("key is not null and embedding is not null")
+    n_blocks, n_parts = blocks_of(rows.count(), block), blocks_of(asked.count(), PART)
+    found = meet(rows, asked, block_of(F.col("key"), n_blocks), everywhere(n_blocks), n_blocks, n_parts, lambda own: VectorBlock(own, k), "query_id long, key long, similarity double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "key")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("key").alias(key), "similarity")

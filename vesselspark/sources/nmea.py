@@ -11,6 +11,9 @@ from vesselspark.functions.casts import lookup
 #: Characters by value, in steps of one: the six-bit alphabet has a gap of eight code points in the middle.
 ARMOUR = "".join(chr(v + 48 if v < 40 else v + 56) for v in range(64))
 
+#: Lines of a block, as a power of two.
+BLOCK_BITS = 16
+
 
 def read_nmea(spark: SparkSession, path: str) -> DataFrame:
     """``(source, at, line)``: stripped lines that start a sentence, with their file and order in it."""
@@ -39,11 +42,21 @@ def split_nmea(lines: DataFrame) -> DataFrame:
 
 def assemble_nmea(fields: DataFrame) -> DataFrame:
     """Whole messages. Parts of one (source, channel, seq_id) are a set from where a number comes that the set already
-    has; sets with all their parts are joined in order, with fill bits and text of the part that completed them."""
+    has; sets with all their parts are joined in order, with fill bits and text of the part that completed them. A part
+    belongs to the set whose number is the most often that any number has come up to it; both counts are put together
+    from blocks of lines, so a file of any length is spread over tasks."""
     single = fields.where("total = 1").select("source", "at", "payload", "fill_bits", F.col("line").alias("raw_sentence"))
-    lane = Window.partitionBy("source", "channel", "seq_id", "total").orderBy("at")
-    nth = F.row_number().over(Window.partitionBy("source", "channel", "seq_id", "total", "number").orderBy("at"))
-    parts = fields.where("total > 1").withColumn("nth", nth).withColumn("message", F.max("nth").over(lane))
+    lane = ["source", "channel", "seq_id", "total"]
+    parts = fields.where("total > 1").withColumn("block", F.shiftright("at", BLOCK_BITS))
+    earlier = lambda *keys: Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = parts.groupBy(*lane, "number", "block").agg(F.count("*").alias("n"))
+    counts = counts.select(*lane, "number", "block", F.coalesce(F.sum("n").over(earlier(*lane, "number")), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy(*lane, "number", "block").orderBy("at"))
+    parts = parts.join(counts, [*lane, "number", "block"]).withColumn("nth", F.col("before") + own)
+    most = parts.groupBy(*lane, "block").agg(F.max("nth").alias("most"))
+    most = most.select(*lane, "block", F.coalesce(F.max("most").over(earlier(*lane)), F.lit(0)).alias("reached"))
+    within = F.max("nth").over(Window.partitionBy(*lane, "block").orderBy("at"))
+    parts = parts.join(most, [*lane, "block"]).withColumn("message", F.greatest(within, "reached"))
     sets = parts.groupBy("source", "channel", "seq_id", "total", "message").agg(
         F.array_sort(F.collect_list(F.struct("number", "payload"))).alias("parts"), F.max_by(F.struct("at", "fill_bits", "line"), "at").alias("last"))
     whole = sets.where(F.size(F.array_distinct(F.transform("parts", lambda p: p["number"]))) == F.col("total"))
