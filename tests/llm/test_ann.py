@@ -54,7 +54,7 @@ def test_edges(spark):
     bad = [(2000, None), (2020, [0.0] * 8), (2040, [float("nan")] * 8), (2060, [None] * 8), (None, [1.0] * 8), (2080, [float("inf")] + [1.0] * 7), (2100, [])]
     rows = [(k, v, 1) for k, v in [*vectors.items(), *bad, (7, vectors[7])]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
-    found = nearest(df, F.col("id") % 20 == 0, block=64, query_block=8).collect()
+    found = nearest(df, F.col("id") % 20 == 0, block=64, query_part=8).collect()
     got = {}
     for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))

@@ -1,9 +1,13 @@
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from vesselspark.llm.vector_dedup import Quantised, linked, tile, unit, vector_components
+from vesselspark.llm.vector_dedup import FOUND, Quantised, Tile, _quantised, half_of_blocks, linked, unit, vector_components
+from vesselspark.meetings import block_of, meet
 
 
 def plain(rows, threshold):
@@ -45,7 +49,7 @@ def rows():
     return [*found, (2000, None), (2001, [0.0] * 16), (2002, [None] + [1.0] * 15), (2003, [float("nan")] * 16), (2004, [float("inf")] * 16), (None, [1.0] * 16), (2005, [1.0, 2.0]), (2006, [2.0, 4.0]), (2007, [])]
 
 
-@pytest.mark.parametrize("block", [8192, 40])
+@pytest.mark.parametrize("block", [8192, 100, 40, 25])
 def test_all_pairs(spark, block):
     data = [(i, v, 1) for i, v in rows()]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>, n_links int")
@@ -58,16 +62,54 @@ def test_bounds_hold():
     rng = np.random.default_rng(1)
     a = unit(rng.normal(size=(300, 64)))
     b = unit(a + rng.normal(size=(300, 64)) * 0.042)
+    qa, qb = Quantised.of(a), Quantised.of(b)
+    left_open = 0
     for threshold in (0.9, 0.95, float(a[0] @ b[0])):
         exact = np.einsum("ik,jk->ij", a, b) >= threshold
-        assert (linked(a, b, Quantised(a), Quantised(b), slice(0, 300), threshold) == exact).mean() > 0.99999
-    q = Quantised(a)
-    error = np.abs(a @ b.T - (q.codes * q.scale[:, None]) @ b.T)
-    assert (error <= q.lost[:, None]).all()
+        hits, left, right = linked(qa, qb, slice(0, 300), threshold)
+        wrong = hits != exact
+        wrong[left, right] = False
+        assert not wrong.any()
+        left_open += len(left)
+    assert 1 <= left_open <= 5
+    first, both = qa.first * qa.scale[:, None], qa.restored(np.arange(300))
+    for part, norm, lost in ((first, qa.norm, qa.lost), (both, qa.finer_norm, qa.finer_lost)):
+        assert (np.abs(a @ b.T - part @ b.T) <= lost[:, None]).all() and (np.linalg.norm(part, axis=1) <= norm).all()
+    assert qa.finer_lost.max() < qa.lost.min() / 100
+
+
+def test_every_two_blocks_meet_once(spark):
+    for number in (1, 2, 3, 4, 7, 8):
+        rows = spark.range(number).select(F.col("id"), F.explode(half_of_blocks(F.col("id"), number)).alias("met")).collect()
+        pairs = [tuple(sorted((r.id, r.met))) for r in rows]
+        assert sorted(pairs) == [(i, j) for i in range(number) for j in range(i, number)]
+
+
+@pytest.mark.parametrize("block", [8192, 100])
+def test_a_clique_is_a_tree(spark, block):
+    v = np.ones((500, 8)) + np.random.default_rng(2).normal(size=(500, 8)) * 1e-3
+    df = spark.createDataFrame([(k, [float(x) for x in row]) for k, row in enumerate(v)], "id long, vector array<double>")
+    number = -(-500 // block)
+    coded = _quantised(df, block_of(F.col("id"), number))
+    found = meet(coded, coded, F.col("own"), half_of_blocks(F.col("own"), number), number, 1, lambda own: Tile(own, 0.95), FOUND).collect()
+    counts = Counter()
+    for r in found:
+        if r.b is None:
+            counts[r.a] += r.links
+    assert set(counts.values()) == {499} and len(counts) == 500
+    assert sum(r.b is not None for r in found) <= 499 + 500 * number and all(r.links == 0 for r in found if r.b is not None)
 
 
-def test_a_clique_is_a_tree():
-    v = unit(np.ones((500, 8)) + np.random.default_rng(2).normal(size=(500, 8)) * 1e-3)
-    ids = np.arange(500)
-    found = tile(ids, v, ids, v, 0.95)
-    assert sum(b is not None for _, b, _ in found) == 499 and {n for _, b, n in found if b is None} == {499}
+def test_pairs_at_the_threshold_are_settled_in_doubles(spark):
+    rng, base = np.random.default_rng(8), np.eye(16)[0]
+    rows = []
+    for k in range(200):
+        other = rng.normal(size=16)
+        other -= other @ base * base
+        other /= np.linalg.norm(other)
+        cosine = 0.95 + (k - 100) * 1e-9
+        rows.append((k + 1, [float(x) for x in cosine * base + np.sqrt(1 - cosine**2) * other], 0))
+    rows.append((0, [float(x) for x in base], 0))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, n_links int")
+    got = {r.id: (r.n_links, r.component_id, r.kept) for r in vector_components(df).collect()}
+    assert got == plain([r[:2] for r in rows], 0.95) and 50 < got[0][0] < 150

@@ -2,31 +2,35 @@
 
 A rotation is learned on a bounded sample (``max_sample`` vectors): it alternates between the signs of the rotated
 vectors and the rotation that best fits them, as iterative quantisation does. Each vector's code is the signs after it,
-and is cut into substrings of eight bits. Codes within a Hamming radius r share, by pigeonhole, a substring within
-r // substrings bits. So every block of vectors has a table for each substring from its 256 values to rows; a query
-probes the values within that many bits, complete codes of the rows found are compared, and rows within the radius are
-ranked by the inner product of the original vectors in doubles.
-
-The radius is the least that gives the wanted recall on the sample, found there by brute force. Queries, a stated set,
-are also in blocks, and each block of them meets each block of vectors. Each meeting returns at most k rows a query.
+and is cut into substrings of eight bits. By pigeonhole, of two codes within a Hamming radius r = q m + a, m being the number
+of substrings, one of the first a + 1 substrings differs by at most q bits or one of the others by at most q - 1. So every
+block of vectors has a table for each substring from its 256 values to rows; a query probes the values within that many
+bits, complete codes of the rows found are compared, and rows within the radius are ranked by the inner product of the
+original vectors in doubles.
+
+The radius is the least that gives the wanted recall on the sample, found there by brute force. Codes are made once. A
+block's tables are built once for each part of the queries, a stated set, which stream through them; a block returns at
+most k rows a query.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vesselspark.llm.blocks import blocks, unpack, usable
+from vesselspark.llm.blocks import as_bytes, as_matrix, usable
+from vesselspark.meetings import BLOCK, block_of, blocks_of, everywhere, meet
 from vesselspark.tables import write_table
 
 MAX_SAMPLE = 4000
 SAMPLE_QUERIES = 400
 BITS_A_SUBSTRING = 8
-QUERY_BLOCK = 1024
+QUERY_PART = 8192
 RECALL = 0.94
 POPCOUNT = np.bitwise_count(np.arange(256)[:, None] ^ np.arange(256)[None, :]).astype(np.uint8)
 FOUND = "query_id long, vec_id long, score double"
@@ -96,52 +100,70 @@ class Index:
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """All rows whose code is within the radius, by probing and then complete distances."""
-        reach, seen = radius // len(code), np.zeros(len(self.whole), dtype=bool)
-        for value, rows, counts in zip(code, self.rows, self.counts):
-            seen[rows[np.repeat(POPCOUNT[value] <= reach, counts)]] = True
+        reach, rest = divmod(radius, len(code))
+        seen = np.zeros(len(self.whole), dtype=bool)
+        for k, (value, rows, counts) in enumerate(zip(code, self.rows, self.counts)):
+            seen[rows[np.repeat(POPCOUNT[value] <= reach - (k > rest), counts)]] = True
         found = np.flatnonzero(seen)
         return found[np.bitwise_count(self.whole[found] ^ whole(code[None, :])).sum(axis=1) <= radius]
 
 
-def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, coder: Coder, k: int) -> list[tuple]:
-    index, found = Index(coder.codes(vectors)), []
-    for own, query, code in zip(query_ids, queries, coder.codes(queries)):
-        rows = index.within(code, coder.radius)
-        rows = rows[ids[rows] != own]
-        if not len(rows):
-            continue
-        score = np.einsum("ij,j->i", vectors[rows], query)
-        if len(rows) > k:
-            near = score >= np.partition(score, len(rows) - k)[len(rows) - k]  # with all ties of the k-th
-            rows, score = rows[near], score[near]
-        best = np.lexsort((ids[rows], -score))[:k]
-        found += [(int(own), int(ids[r]), float(s)) for r, s in zip(rows[best], score[best])]
-    return found
+class CodedBlock:
+    """A block's index and original vectors; each query's ``k`` best within the radius."""
+
+    def __init__(self, rows: pa.Table, coder: Coder, kind: str, k: int):
+        self.ids, self.coder, self.kind, self.k = rows.column("id").to_numpy(), coder, kind, k
+        self.vectors = as_matrix(rows.column("vector"), kind).astype(np.float64)
+        self.index = Index(as_matrix(rows.column("code"), "u1"))
+
+    def ask(self, rows: pa.Table) -> pa.RecordBatch:
+        found: list[tuple[int, int, float]] = []
+        queries, codes = as_matrix(rows.column("vector"), self.kind).astype(np.float64), as_matrix(rows.column("code"), "u1")
+        for own, query, code in zip(rows.column("id").to_pylist(), queries, codes):
+            near = self.index.within(code, self.coder.radius)
+            near = near[self.ids[near] != own]
+            if not len(near):
+                continue
+            score = np.einsum("ij,j->i", self.vectors[near], query)
+            if len(near) > self.k:
+                top = score >= np.partition(score, len(near) - self.k)[len(near) - self.k]  # with all ties of the k-th
+                near, score = near[top], score[top]
+            best = np.lexsort((self.ids[near], -score))[: self.k]
+            found += zip([own] * len(best), self.ids[near][best].tolist(), score[best].tolist())
+        kinds = (pa.int64(), pa.int64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*found)) or [()] * 3, kinds)], ["query_id", "vec_id", "score"])
+
+    def end(self) -> None:
+        return None
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-            block: int = 8192, query_block: int = QUERY_BLOCK, max_sample: int = MAX_SAMPLE) -> DataFrame:
+            block: int = BLOCK, query_part: int = QUERY_PART, max_sample: int = MAX_SAMPLE) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row that ``is_query``, a condition on the column ``id``, holds for,
     its ``k`` largest inner products found among all other rows, largest first and ties to the smaller id. A query that
     finds fewer than ``k`` within the radius searches again in twice the radius, until all codes are within it, so it
     gets ``k`` rows or all there are. Vectors that are null, zero or hold null or non-finite components take no part;
     vectors of different lengths never meet. Rows that repeat an id are one vector, the least of theirs."""
     fine = write_table(usable(vectors, id_col, vector_col))
+    given = vectors.schema[vector_col].dataType
+    kind = "<f4" if given.elementType.typeName() == "float" else "<f8"  # bytes that hold the original numbers
     results = []
     for length, count in fine.groupBy(F.size("vector").alias("n")).count().collect():
         rows = fine.where(F.size("vector") == length)
         sample = rows.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(max_sample).collect()
         coder = fit(np.array([r.vector for r in sample]), k)
-        wanted = rows.where(is_query)
+        coded = write_table(_coded(rows, coder, kind))
+        wanted, n_wanted = coded.where(is_query), count
         while True:
-            found = write_table(_search(rows, count, wanted, coder, k, block, query_block))
+            found = write_table(_search(coded, count, wanted, n_wanted, coder, kind, k, block, query_part))
             results.append(found)
             if coder.radius >= coder.rotation.shape[1]:
                 break
             full = found.groupBy("query_id").count().where(F.col("count") >= min(k, count - 1))
             short = wanted.join(full.select(F.col("query_id").alias("id")), "id", "left_anti")
             wanted = write_table(short)
-            if wanted.isEmpty():
+            n_wanted = wanted.count()
+            if not n_wanted:
                 break
             coder.radius = min(2 * coder.radius + 1, coder.rotation.shape[1])
     if not results:
@@ -154,18 +176,20 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _search(rows: DataFrame, count: int, wanted: DataFrame, coder: Coder, k: int, block: int, query_block: int) -> DataFrame:
-    packed, number = blocks(rows, count, block)
-    asked, n_asked = blocks(wanted, wanted.count(), query_block)
+def _coded(rows: DataFrame, coder: Coder, kind: str) -> DataFrame:
+    """``(id, code, vector)``, the last two as bytes."""
     fixed = rows.sparkSession.sparkContext.broadcast(coder)  # a square of the vectors' length
-    left = packed.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1)))).withColumn("is_query", F.lit(False))
-    right = asked.withColumnsRenamed({"block": "q"}).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(number - 1).cast("long"))))
-    both = left.select("block", F.col("q").cast("long").alias("q"), "ids", "vectors", "is_query")
-    both = both.unionByName(right.select("block", F.col("q").cast("long").alias("q"), "ids", "vectors", F.lit(True).alias("is_query")))
 
-    def run(pair: pd.DataFrame) -> pd.DataFrame:
-        sides = {row.is_query: unpack(row) for row in pair.itertuples()}
-        found = search_block(*sides[False], *sides[True], fixed.value, k) if len(sides) == 2 else []
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                matrix = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), as_bytes(fixed.value.codes(matrix)), as_bytes(matrix.astype(kind))], ["id", "code", "vector"])
+
+    return rows.select("id", "vector").mapInArrow(run, "id long, code binary, vector binary")
+
 
-    return both.groupBy("block", "q").applyInPandas(run, FOUND)
+def _search(rows: DataFrame, count: int, wanted: DataFrame, n_wanted: int, coder: Coder, kind: str, k: int, block: int, query_part: int) -> DataFrame:
+    fixed = rows.sparkSession.sparkContext.broadcast(coder)
+    n_blocks, n_parts = blocks_of(count, block), blocks_of(n_wanted, query_part)
+    return meet(rows, wanted, block_of(F.col("id"), n_blocks), everywhere(n_blocks), n_blocks, n_parts, lambda own: CodedBlock(own, fixed.value, kind, k), FOUND)

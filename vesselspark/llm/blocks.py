@@ -1,19 +1,14 @@
-"""Vectors packed into blocks of bounded size, so that tasks work on matrices."""
+"""Vectors fit for blocks of matrices."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a block: what a task holds at once is bounded by it, whatever the input.
-BLOCK = 8192
-SCHEMA = "block long, ids binary, vectors binary"
-
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``(id, vector)`` with doubles: one row per id, ids and vectors neither null, no component null or not finite, not
@@ -23,30 +18,14 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return base.where(F.col("id").isNotNull() & fine).groupBy("id").agg(F.min("vector").alias("vector"))
 
 
-def blocks(rows: DataFrame, n_rows: int, size: int = BLOCK) -> tuple[DataFrame, int]:
-    """``(block, ids, vectors)``, the last two as bytes of longs and doubles, and the number of blocks. Rows are dealt by
-    a hash of their id, so a block has about ``size`` rows, and never many more."""
-    number = max(1, math.ceil(n_rows / size))
-
-    def pack(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("id")
-        vectors = np.stack(part.vector.to_list()).astype(np.float64)
-        return pd.DataFrame({"block": part.block[:1].to_list(), "ids": [part.id.to_numpy(np.int64).tobytes()], "vectors": [vectors.tobytes()]})
-
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(number)))
-    return dealt.groupBy("block").applyInPandas(pack, SCHEMA), number
-
-
-def unpack(row) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(row.ids, dtype=np.int64)
-    return ids, np.frombuffer(row.vectors, dtype=np.float64).reshape(len(ids), -1)
+def as_matrix(column: pa.ChunkedArray | pa.Array, kind: str) -> np.ndarray:
+    """Rows of numbers, each row's bytes a value of the column."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), dtype=kind).reshape(len(values), -1) if values else np.empty((0, 0), kind)
 
 
-def meeting(packed: DataFrame, number: int) -> DataFrame:
-    """Every two blocks, a block and itself too, as the rows of a group named by ``(low, high)``: each block is copied
-    once for each other one, a number of copies that its number of rows does not change."""
-    copies = packed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(number - 1).cast("long"))))
-    return copies.select("block", "ids", "vectors", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+def as_bytes(matrix: np.ndarray) -> pa.Array:
+    return pa.array([row.tobytes() for row in np.ascontiguousarray(matrix)], pa.binary())
 
 
 def pieces(n: int, size: int) -> Iterator[slice]:
