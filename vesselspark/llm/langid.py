@@ -35,7 +35,8 @@ CHARS_A_LANGUAGE = 4_000_000
 CACHED_WORDS = 250_000
 REMEMBERED = 64  # longer words are not kept
 BLOCK = 32  # positions between which sums are scaled anew; the least weight, of 1e-9, leaves them within range
-CELLS = 1 << 19
+CELLS = 1 << 17  # code points of words that are summed at once, and so many words
+WORDS = 1 << 12
 LOOKED_UP = 1 << 13
 FEW = 64
 PART = 48  # the expectations of a longer word of the sample are taken in parts of so many characters
@@ -137,7 +138,7 @@ def log_sums(vocabulary: Vocabulary, weights: np.ndarray, words: list[str]) -> n
     by_length = sorted(range(len(words)), key=lambda k: len(words[k]))
     at = 0
     while at < len(words):
-        size = max(1, min(len(words) - at, CELLS // max(1, len(words[by_length[at]]))))
+        size = max(1, min(WORDS, len(words) - at, CELLS // max(1, len(words[by_length[at]]))))
         while size > 1 and size * len(words[by_length[at + size - 1]]) > CELLS:
             size = -(-size // 2)
         part = by_length[at : at + size]
@@ -282,8 +283,8 @@ def _learn(vocabulary: Vocabulary, words: list[str], counts: np.ndarray, rounds:
     for _ in range(rounds):
         expected = np.full(vocabulary.size + 1, 0.1)
         by_length = np.argsort([len(w) for w in words], kind="stable")
-        for at in range(0, len(words), 4096):
-            part = by_length[at : at + 4096]
+        for at in range(0, len(words), WORDS):
+            part = by_length[at : at + WORDS]
             points, lengths = _matrix([words[k] for k in part])
             lattice, width = _lattice(vocabulary, points), points.shape[1]
             ahead = _forward(lattice, known, width)
@@ -308,8 +309,8 @@ def _learn(vocabulary: Vocabulary, words: list[str], counts: np.ndarray, rounds:
 class Scorer:
     """Log-probabilities of words in all languages, computed in batches and remembered."""
 
-    def __init__(self, model: LanguageModel):
-        self.model, self.vocabulary = model, Vocabulary(model.pieces)
+    def __init__(self, model: LanguageModel, cached_words: int = CACHED_WORDS):
+        self.model, self.vocabulary, self.cached_words = model, Vocabulary(model.pieces), cached_words
         self._forget()
 
     def _forget(self) -> None:
@@ -334,7 +335,7 @@ class Scorer:
 
     def logs(self, texts: list[str]) -> np.ndarray:
         """(texts, languages): the log-probability of each whole text."""
-        if len(self.known) > CACHED_WORDS:
+        if len(self.known) > self.cached_words:
             self._forget()
         split = [x.split() for x in texts]
         total = np.zeros((len(texts), len(self.model.langs)))
@@ -375,11 +376,13 @@ class Scorer:
         return langs, sure
 
 
-def annotate(docs: DataFrame, model: LanguageModel, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """``docs`` with the language of every row's whole text and its share of the probability."""
+def annotate(docs: DataFrame, model: LanguageModel, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score"),
+             cached_words: int = CACHED_WORDS) -> DataFrame:
+    """``docs`` with the language of every row's whole text and its share of the probability. A worker remembers about
+    ``cached_words`` words."""
     fixed = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary and the languages
     fields = [(names[0], "string", pa.string()), (names[1], "double", pa.float64())]
-    return map_texts(docs, text_col, lambda: Scorer(fixed.value).predict, fields)
+    return map_texts(docs, text_col, lambda: Scorer(fixed.value, cached_words).predict, fields)
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
