@@ -16,15 +16,15 @@ from vesselspark.tables import scratch, write_table
 
 #: A document whose likeliest language has less than this share of the probability has none.
 LEAST_SURE = 0.5
-#: Workers live through all stages, so packing remembers fewer words here than alone.
-CACHED_WORDS = 300_000
+#: Workers live through all stages, so stages remember fewer words here than alone.
+LANGUAGE_WORDS, PACKING_WORDS = 100_000, 200_000
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known: those without a letter, and those without a clear language, go."""
     model = langid.train(docs, public_tokenizers.path("piece_bpe_32k.model"))
     lang, sure = unused(docs.columns, "found_lang", "found_sure")
-    found = langid.annotate(docs, model, names=(lang, sure))
+    found = langid.annotate(docs, model, names=(lang, sure), cached_words=LANGUAGE_WORDS)
     return found.where((F.col(lang) != "und") & (F.col(sure) >= LEAST_SURE)).select(*docs.columns)
 
 
@@ -53,7 +53,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return packing.pack(docs, *paths, cached_words=CACHED_WORDS)
+    return packing.pack(docs, *paths, cached_words=PACKING_WORDS)
 
 
 def _as_documents(docs: DataFrame, changed: DataFrame) -> DataFrame:
