@@ -227,25 +227,25 @@ def _word_counts(split: Callable[[str], tuple[str, str]]) -> Callable[[Iterator[
 
 
 def _sample(docs: DataFrame, max_docs: int, max_chars: int) -> DataFrame:
-    """``(lang, text)``: of each language the first ``max_docs`` rows of ``docs(id, lang, text)`` by a hash of the id, and
-    of these the first until they have ``max_chars`` characters. A language's rows are ranked among those whose hash is in
-    the first part of its range, a part that four times as many rows are expected in, so few rows are ranked."""
-    counts = docs.groupBy("lang").agg(F.count("*").alias("n"))
-    part = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) * F.col("n") < F.lit(float(4 * max_docs * (1 << 40)))
-    few = docs.select("lang", "id").join(counts, "lang").where(part)
-    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 40)), "id")
-    picked = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_docs)
-    picked = picked.select("lang", "id").distinct()  # at most max_docs a language
-    found = docs.join(F.broadcast(picked), ["lang", "id"]).select("lang", "id", "text").distinct()
-    before = F.sum(F.length("text")).over(order.orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 40)), "id", "text").rowsBetween(Window.unboundedPreceding, -1))
+    """``(lang, text)``: of each language the first ``max_docs`` ids of ``docs(id, lang, text)`` by their hash, with the
+    least text of each, and of these the first until they have ``max_chars`` characters. A language's ids are ranked among
+    those whose hash is in the first part of its range, a part that four times as many are expected in, so few are ranked."""
+    number = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    counts = docs.groupBy("lang").agg(F.approx_count_distinct("id").alias("n"))
+    first = number * F.col("n") < F.lit(float(4 * max_docs * (1 << 40)))
+    few = docs.select("lang", "id").join(counts, "lang").where(first).select("lang", "id").distinct()
+    order = Window.partitionBy("lang").orderBy(number, "id")
+    picked = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_docs).select("lang", "id")
+    found = docs.join(F.broadcast(picked), ["lang", "id"]).groupBy("lang", "id").agg(F.min("text").alias("text"))  # at most max_docs a language
+    before = F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     return found.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < max_chars).select("lang", "text")
 
 
 def train(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           max_docs: int = DOCS_A_LANGUAGE, max_chars: int = CHARS_A_LANGUAGE, rounds: int = 4) -> LanguageModel:
-    """Fit each language on at most ``max_docs`` of its rows, the first by a hash of the id, and on no more of these once
-    they have ``max_chars`` characters. Rare languages have the same bounds as frequent ones. Rows without an id or a
-    language are not used."""
+    """Fit each language on at most ``max_docs`` of its documents, the first by a hash of the id, and on no more of these
+    once they have ``max_chars`` characters. Rare languages have the same bounds as frequent ones. Rows without an id or a
+    language are not used; of rows that share both, the least text is."""
     chosen = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     pieces = public_pieces(pieces_path)
