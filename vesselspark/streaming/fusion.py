@@ -1,6 +1,6 @@
 """Continuous fusion: detections to tracks kept in state, with tables of tracks and alerts.
 
-State is keyed by what names a vessel: its MMSI, else the sensor's own track number, else a cell of a degree, where
+State is a list of typed track rows, keyed by what names a vessel: its MMSI, else the sensor's own track number, else a cell of a degree, where
 detections go to the nearest track in its gate. Tracks that cross the border of a cell start anew, and nameless detections
 do not join named tracks; the batch job repairs both. Time is event time: a track silent for 120 s is dropped when the
 watermark passes, and late rows are left out.
@@ -10,17 +10,17 @@ from __future__ import annotations
 
 import hashlib
 import math
-import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from vesselspark import config
 from vesselspark.operators.sinks import latest_by_key
-from vesselspark.operators.tracks import NAMES, SCHEMA, dark_alerts, dark_by_gap, dark_by_sensors, opened, updated
+from vesselspark.operators.tracks import CONTRIBUTION, NAMES, SCHEMA, TRACK, dark_alerts, dark_by_gap, dark_by_sensors, opened, updated
 
 WATERMARK = "2 minutes"
 
@@ -70,15 +70,23 @@ def step(key: str, live: list[dict], rows: list[dict]) -> tuple[list[dict], list
     return live, list(changed.values())
 
 
+STATE = StructType([StructField("tracks", ArrayType(TRACK))])
+
+
+def to_state(track: dict) -> tuple:
+    held = {k: tuple(c[name] for name in CONTRIBUTION.names) for k, c in track["sensor_contributions"].items()}
+    return tuple((track | {"sensor_contributions": held})[name] for name in NAMES)
+
+
 def _keep(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    live = pickle.loads(bytes(state.get[0])) if state.exists else []
+    live = [row.asDict(recursive=True) for row in state.get[0]] if state.exists else []
     if state.hasTimedOut:
         state.remove()
         yield pd.DataFrame([t | {"track_status": "dropped"} for t in live], columns=NAMES)
         return
     rows = [r for part in parts for r in part.to_dict("records")]
     live, changed = step(key[0], live, rows)
-    state.update((pickle.dumps(live),))
+    state.update(([to_state(t) for t in live],))
     last = max(t["updated_at"] for t in live)
     state.setTimeoutTimestamp(max(int(last.timestamp() * 1000 + config.DROP_S * 1000), state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame(changed, columns=NAMES)
@@ -87,48 +95,105 @@ def _keep(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Itera
 def track_updates(detections: DataFrame) -> DataFrame:
     """A stream of the tracks that change, from one of detections; each detection counts once."""
     once = detections.withWatermark("ts", WATERMARK).dropDuplicatesWithinWatermark(["sensor", "sensor_id", "detection_id", "local_track_id", "mmsi", "ts"])
-    return once.withColumn("vessel", vessel_key()).groupBy("vessel").applyInPandasWithState(_keep, SCHEMA, "tracks binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return once.withColumn("vessel", vessel_key()).groupBy("vessel").applyInPandasWithState(_keep, SCHEMA, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 class TrackTable:
-    """Tracks as versions of a Parquet folder, one a micro-batch, and alerts as an appended one. A batch that is run
-    again writes the same version over, so nothing comes twice."""
+    """Tracks and alerts as Parquet folders. Of each micro-batch only what changed is written: the tracks that the stream
+    gives (``step=0``) and those whose flags the time has changed (``step=1``). The state of the table is the last row of
+    each track. Every ``compact_every`` batches the live tracks become a new base, the dropped ones are appended to the
+    closed tracks, which are not read again, and batches and bases before the last base are removed. So neither what a batch
+    reads nor what it writes grows with the history. A batch that is run again writes the same folders over."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    STORED = SCHEMA + ", ais_gap_seconds double, alerted boolean"
+    ALERTS = "track_id string, event_timestamp timestamp, latitude double, longitude double, dark_ship_confidence double, alert_reason string, detecting_sensors array<string>"
 
-    def _versions(self) -> list[int]:
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/tracks")
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-        return sorted(int(n) for n in names if n.isdigit() and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/tracks/{n}/_SUCCESS")))
+    def __init__(self, spark: SparkSession, path: str, compact_every: int = 20):
+        self.spark, self.path, self.compact_every = spark, path.rstrip("/"), compact_every
 
-    def tracks(self, before: int | None = None) -> DataFrame | None:
-        known = [v for v in self._versions() if before is None or v < before]
-        return self.spark.read.schema(SCHEMA + ", ais_gap_seconds double").parquet(f"{self.path}/tracks/{known[-1]}") if known else None
+    def _folder(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def alerts(self, before: int | None = None) -> DataFrame:
-        schema = "track_id string, event_timestamp timestamp, latitude double, longitude double, dark_ship_confidence double, alert_reason string, detecting_sensors array<string>, batch long"
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/alerts")
-        if not root.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(root):
-            return self.spark.createDataFrame([], schema)
-        found = self.spark.read.schema(schema).parquet(f"{self.path}/alerts")
-        return found.where(F.col("batch") < before) if before is not None else found
+    def _written(self, name: str) -> list[int]:
+        """The numbers of complete folders below one."""
+        fs, root = self._folder(name)
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        return sorted(int(n) for n in names if n.isdigit() and fs.exists(self._folder(f"{name}/{n}/_SUCCESS")[1]))
+
+    def _read(self, name: str, numbers: list[int], schema: str) -> DataFrame | None:
+        found = None
+        for n in numbers:
+            part = self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{n}").withColumn("at", F.lit(n))
+            found = part if found is None else found.unionByName(part)
+        return found
+
+    def _latest(self, before: int, unflagged: bool = False) -> DataFrame | None:
+        """The last row of each track of the base and the batches since it, up to the one before ``before``, of that one
+        without its flags if ``unflagged``. A batch never reads a base or flags that it made itself, so it can be run
+        again."""
+        bases = [n for n in self._written("base") if n < before - 1]
+        base = bases[-1] if bases else -1
+        found = None
+        for step, name in enumerate(("base", "changed", "flagged")):
+            numbers = bases[-1:] if name == "base" else [n for n in self._written(name) if base < n < before - (unflagged and name == "flagged")]
+            part = self._read(name, numbers, self.STORED)
+            if part is not None:
+                part = part.withColumn("step", F.lit(step))
+                found = part if found is None else found.unionByName(part)
+        if found is None:
+            return None
+        row = F.max_by(F.struct(*[c for c in found.columns if c not in ("track_id", "alerted")]), F.struct("at", "step"))
+        return found.groupBy("track_id").agg(row.alias("r"), F.max("alerted").alias("alerted")).select("track_id", "r.*", "alerted").drop("at", "step")
+
+    def tracks(self) -> DataFrame | None:
+        """All tracks, dropped ones too."""
+        newest = self._latest(1 << 62)
+        closed = self._read("closed", self._written("closed"), self.STORED)
+        if newest is None:
+            return None
+        if closed is None:
+            return newest.drop("alerted")
+        return newest.unionByName(closed.drop("at").join(newest.select("track_id"), "track_id", "left_anti")).drop("alerted")
+
+    def alerts(self) -> DataFrame:
+        found = self._read("alerts", self._written("alerts"), self.ALERTS)
+        return self.spark.createDataFrame([], self.ALERTS + ", at int") if found is None else found
+
+    def _write(self, df: DataFrame, name: str, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}/{batch}")
 
     def apply(self, updates: DataFrame, batch: int) -> None:
-        """Upsert a micro-batch, then flag dark ships at the newest time seen and append alerts that are new."""
-        updates = latest_by_key(updates.withColumn("__over", F.col("track_status") == "dropped"), "track_id", "updated_at", "update_count", "__over").drop("__over")
-        before = self.tracks(batch)
-        if before is not None:
-            kept = before.drop("ais_gap_seconds").join(updates.select("track_id"), "track_id", "left_anti")
-            updates = updates.unionByName(kept)
-        now = updates.agg(F.max("updated_at").alias("now")).first().now
+        """Write a micro-batch, which is evaluated once, then flag dark ships at the newest time in it and alert of new ones."""
+        updates = latest_by_key(updates.withColumn("over", F.col("track_status") == "dropped"), "track_id", "updated_at", "update_count", "over").drop("over")
+        self._write(updates.withColumns({"ais_gap_seconds": F.lit(None).cast("double"), "alerted": F.lit(False)}), "changed", batch)
+        now = self.spark.read.schema(self.STORED).parquet(f"{self.path}/changed/{batch}").agg(F.max("updated_at").alias("now")).first().now
         if now is None:
             return
-        flagged = dark_by_sensors(dark_by_gap(updates, now))
-        flagged.write.mode("overwrite").parquet(f"{self.path}/tracks/{batch}")
-        alerts = dark_alerts(self.tracks(batch + 1), self.alerts(batch))
-        alerts.write.mode("overwrite").parquet(f"{self.path}/alerts/batch={batch}")
+        before = self._latest(batch + 1, unflagged=True).where("track_status <> 'dropped'")
+        names = ("is_dark_ship", "flagged_for_review", "alerted")
+        after = dark_by_sensors(dark_by_gap(before.withColumns({f"old_{c}": F.col(c) for c in names}), now))
+        after = after.withColumn("alerted", F.col("alerted") | (F.col("is_dark_ship") & F.col("flagged_for_review")))
+        differs = F.lit(False)
+        for c in names:
+            differs |= F.col(c) != F.col(f"old_{c}")
+        fresh = F.col("alerted") & ~F.col("old_alerted")
+        # what is new in a batch is few rows
+        self._write(after.where(differs).withColumn("fresh", fresh).drop(*(f"old_{c}" for c in names)), "flagged", batch)
+        flagged = self.spark.read.schema(self.STORED + ", fresh boolean").parquet(f"{self.path}/flagged/{batch}")
+        self._write(dark_alerts(flagged.where("fresh")), "alerts", batch)
+        if batch % self.compact_every == self.compact_every - 1:
+            self._compact(batch)
+
+    def _compact(self, batch: int) -> None:
+        newest, older = self._latest(batch + 1), [n for n in self._written("base") if n < batch]
+        self._write(newest.where("track_status = 'dropped'"), "closed", batch)
+        self._write(newest.where("track_status <> 'dropped'"), "base", batch)
+        for name, numbers in (("base", older[:-1]), ("changed", self._written("changed")), ("flagged", self._written("flagged"))):
+            for n in numbers:
+                if name == "base" or (older and n <= older[-1]):
+                    fs, path = self._folder(f"{name}/{n}")
+                    fs.delete(path, True)
 
 
 def run_fusion_stream(detections: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, done: Callable[[DataFrame, int], None] | None = None):
