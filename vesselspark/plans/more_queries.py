@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -264,18 +265,49 @@ def _(spark, d):
     return vectors.rrf_fuse({"structured": top("speed_knots"), "semantic": top("vessel_length_m")}).select("item_id", F.round("fusion_score", 9).alias("fusion_score"))
 
 
-@query("v7_hybrid_search")
+@query("v7_hybrid_search", f"""WITH {T}, {similarity_sql(0)}, a AS (SELECT track_id AS item_id, row_number() OVER (ORDER BY mmsi) - 1 AS r FROM t WHERE vessel_type = 'TANKER' ORDER BY mmsi LIMIT 50),
+  b AS (SELECT vec_id::STRING AS item_id, row_number() OVER (ORDER BY similarity DESC, vec_id::STRING) - 1 AS r FROM s WHERE similarity >= 0.1 ORDER BY r LIMIT 10),
+  c AS (SELECT track_id AS item_id, row_number() OVER (ORDER BY mmsi) - 1 AS r FROM (SELECT * FROM t ORDER BY mmsi LIMIT 50) WHERE vessel_type = 'TANKER')
+  SELECT item_id, round(sum(w), 9) AS fusion_score FROM (SELECT item_id, 1.0 / (60 + r) AS w FROM a UNION ALL SELECT item_id, 0.8 / (60 + r) FROM b UNION ALL SELECT item_id, 1.2 / (60 + r) FROM c) GROUP BY item_id""")
 def _(spark, d):
     t = tracks(spark, d)
     structured = filters.tracks_where(t, "TANKER").select("track_id", F.col("mmsi").alias("position")).orderBy("position").limit(50)
     semantic = vectors.search_documents(vector_rows(spark, d), one_query(spark, d, 0), None, 0.1, 10).select("id", F.struct(-F.col("similarity"), "id").alias("position"))
     live = t.select("track_id", "vessel_type", "speed_knots", F.col("mmsi").alias("position"))
-    return vectors.hybrid_search(structured, semantic, live, {"vessel_type": "tanker"}).select("item_id", "fusion_score")
+    return vectors.hybrid_search(structured, semantic, live, {"vessel_type": "tanker"}).select("item_id", F.round("fusion_score", 9).alias("fusion_score"))
 
 
-@query("v1_embedded_reports")
+def counting_embedder(texts: list[str]) -> np.ndarray:
+    """Vectors that SQL can make too: characters, blanks and letters e."""
+    return np.array([[len(t), t.count(" "), t.count("e")] for t in texts], dtype=np.float32).reshape(len(texts), 3)
+
+
+@query("v1_embedded_texts", "SELECT conv_id, turn, length(coalesce(text, ''))::DOUBLE AS e0, (length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')))::DOUBLE AS e1, (length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'e', '')))::DOUBLE AS e2 FROM conversations")
+def _(spark, d):
+    found = vectors.embed(table(spark, d, "conversations"), counting_embedder, "text", 3)
+    return found.select("conv_id", "turn", *(F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(3)))
+
+
+def windows(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as windows of a day that begin ever earlier."""
+    start = F.timestamp_add("HOUR", -F.col("vec_id"), F.lit(NOW).cast("timestamp_ntz"))
+    return vector_rows(spark, d).withColumns({"window_start": start, "window_end": F.timestamp_add("HOUR", F.lit(24), start), "content": F.col("document_type"), "source_type": F.col("document_type")})
+
+
+@query("v3_history_search", f"""WITH {similarity_sql(3)} SELECT vec_id, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.05 AND TIMESTAMP '2024-01-31 00:00:00' - to_hours(vec_id) >= TIMESTAMP '2024-01-21 00:00:00' AND TIMESTAMP '2024-01-31 00:00:00' - to_hours(vec_id) + INTERVAL 24 HOUR <= TIMESTAMP '2024-01-30 00:00:00'
+  ORDER BY similarity DESC, vec_id::STRING LIMIT 20""")
+def _(spark, d):
+    found = vectors.search_track_history(windows(spark, d), one_query(spark, d, 3), NOW.replace(day=21), NOW.replace(day=30), 0.05, 20)
+    return found.select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("v5_search_all", f"""WITH {similarity_sql(4)}, n AS (SELECT vec_id::STRING AS id, label::STRING AS content, similarity FROM s WHERE similarity >= 0.1 ORDER BY similarity DESC, id LIMIT 4),
+  u AS (SELECT 'documents' AS source, * FROM n UNION ALL SELECT 'track_history', * FROM n UNION ALL SELECT 'anomalies', * FROM n)
+  SELECT source, id, content, round(similarity, 6) AS similarity FROM u ORDER BY similarity DESC, source, id LIMIT 12""")
 def _(spark, d):
-    return vectors.embed(documents.ship_reports(positions(spark, d)), vectors.hashing_embedder()).select(F.col("metadata")["mmsi"].alias("mmsi"), F.size("embedding").alias("dim"))
+    rows = windows(spark, d)
+    found = vectors.search_all(rows, rows, rows, one_query(spark, d, 4), 12, 0.1)
+    return found.select("source", "id", "content", F.round("similarity", 6).alias("similarity"))
 
 
 # Extras

@@ -62,6 +62,39 @@ def _(spark, d):
     return nmea_lines(spark, d).groupBy(nmea.nmea_checksum_ok(F.col("line")).alias("ok")).agg(F.count("*").alias("n"))
 
 
+def text_field(value: Column, chars: int) -> Column:
+    """Capitals, digits and blanks as six-bit characters, filled up."""
+    return F.array_join(F.transform(F.split(F.rpad(value, chars, "@"), ""), lambda c: F.lpad(F.bin(F.ascii(c) % 64), 6, "0")), "")
+
+
+def whole_sentences(spark: SparkSession, d: str, bits: Column, chars: int, fill: int) -> DataFrame:
+    body = F.concat(F.lit("AIVDM,1,1,,A,"), armoured(F.col("bits"), chars), F.lit(f",{fill}"))
+    return positions(spark, d).withColumn("bits", bits).select(F.lit("f").alias("source"), F.col("event_id").alias("at"), sentence(body).alias("line"))
+
+
+@query("d6_static_messages", f"""WITH {P} SELECT mmsi, cast(9000000 + event_id % 1000000 AS INT) AS imo, 'C' || event_id % 1000 AS callsign, ship_name, cast(event_id % 100 AS INT) AS ship_type, cast(event_id % 400 + event_id % 100 AS INT) AS length, cast(event_id % 30 + 7 AS INT) AS width,
+  cast(event_id % 12 + 1 AS INT) AS eta_month, cast(event_id % 60 AS INT) AS eta_minute, (event_id % 256) / 10 AS draught, 'PORT ' || event_id % 77 AS destination FROM p""")
+def _(spark, d):
+    i = F.col("event_id")
+    bits = F.concat(
+        field(F.lit(5), 6), F.lit("00"), field(F.col("mmsi"), 30), F.lit("00"), field(9000000 + i % 1000000, 30), text_field(F.concat(F.lit("C"), (i % 1000).cast("string")), 7), text_field(F.col("ship_name"), 20), field(i % 100, 8),
+        field(i % 400, 9), field(i % 100, 9), field(i % 30, 6), field(F.lit(7), 6), F.lit("0001"), field(i % 12 + 1, 4), field(i % 28 + 1, 5), field(i % 24, 5), field(i % 60, 6), field(i % 256, 8),
+        text_field(F.concat(F.lit("PORT "), (i % 77).cast("string")), 20), F.lit("0000"))
+    found = nmea.decode_nmea(nmea.assemble_nmea(nmea.split_nmea(whole_sentences(spark, d, bits, 71, 2))))
+    return found.select("mmsi", "imo", "callsign", "ship_name", "ship_type", "length", "width", "eta_month", "eta_minute", "draught", "destination")
+
+
+@query("d7_class_b_messages", f"""WITH {P} SELECT mmsi, round(speed_knots * 10) / 10 AS speed_over_ground, round(longitude * 600000) / 600000 AS longitude, round(latitude * 600000) / 600000 AS latitude, course AS course_over_ground,
+  cast(CASE WHEN event_id % 512 < 511 THEN event_id % 512 END AS INT) AS true_heading FROM p""")
+def _(spark, d):
+    i = F.col("event_id")
+    bits = F.concat(
+        field(F.lit(18), 6), F.lit("00"), field(F.col("mmsi"), 30), F.lit("00000000"), field(F.round(F.col("speed_knots") * 10), 10), F.lit("1"), field(F.round(F.col("longitude") * 600000), 28), field(F.round(F.col("latitude") * 600000), 27),
+        field(F.col("course") * 10, 12), field(i % 512, 9), F.repeat(F.lit("0"), F.lit(35)))
+    found = nmea.decode_nmea(nmea.assemble_nmea(nmea.split_nmea(whole_sentences(spark, d, bits, 28, 0))))
+    return found.select("mmsi", "speed_over_ground", "longitude", "latitude", "course_over_ground", "true_heading")
+
+
 def number(value: Column, digits: int) -> Column:
     """Hex of a whole number that is not negative."""
     return F.lpad(F.hex(value.cast("long")), digits, "0")
@@ -94,6 +127,29 @@ def _(spark, d):
     return radar.decode_track_lost(radar.split_radar_frames(radar_files(spark, d))).select("track_id", "reason", "reason_text")
 
 
+def station_files(spark: SparkSession, d: str) -> DataFrame:
+    """A hundred frames a file: a status or, for every third detection, a heartbeat."""
+    p, i = positions(spark, d).where("sensor = 'radar'"), F.col("event_id")
+    seconds = F.timestamp_diff("SECOND", F.lit(BEGIN).cast("timestamp_ntz"), F.col("ts"))
+    station = F.rpad(F.hex(F.concat(F.lit("RAD-"), (i % 100).cast("string"))), 16, "0")
+    status = F.concat(F.lit("0200001C"), number(seconds, 8), station, number(i % 2, 2), number(i % 500, 4), F.lit("41480000"), F.lit("0000000000"))
+    frame = F.when(i % 3 == 0, F.concat(F.lit("03000008"), number(seconds, 8))).otherwise(status)
+    files = p.select(F.floor(i / 100).alias("file"), i, frame.alias("frame")).groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "frame"))), lambda x: x["frame"]), "").alias("hex"))
+    return files.select(F.concat(F.lit("station-"), F.col("file").cast("string")).alias("path"), F.unhex("hex").alias("content"))
+
+
+@query("d12_station_status", f"""WITH {P} SELECT date_trunc('second', ts) AS ts, 'RAD-' || event_id % 100 AS station_id, event_id % 2 = 1 AS operational, cast(event_id % 500 AS INT) AS tracks_active, 12.5::DOUBLE AS rotation_rpm FROM p WHERE sensor = 'radar' AND event_id % 3 <> 0""")
+def _(spark, d):
+    found = radar.decode_system_status(radar.split_radar_frames(station_files(spark, d)))
+    return found.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "station_id", "operational", "tracks_active", "rotation_rpm")
+
+
+@query("d13_heartbeats", f"WITH {P} SELECT 'station-' || event_id // 100 AS source, date_trunc('second', ts) AS ts FROM p WHERE sensor = 'radar' AND event_id % 3 = 0")
+def _(spark, d):
+    found = radar.decode_heartbeat(radar.split_radar_frames(station_files(spark, d)))
+    return found.select("source", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
 def sightings(spark: SparkSession, d: str) -> DataFrame:
     missing = F.lit(None).cast("double")
     return positions(spark, d).where("sensor = 'satellite'").select(
