@@ -153,7 +153,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         sample = rows.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(max_sample).collect()
         coder = fit(np.array([r.vector for r in sample]), k)
         coded = write_table(_coded(rows, coder, kind))
-        wanted, n_wanted = coded.where(is_query), count
+        wanted = coded.where(is_query)
+        n_wanted = wanted.count()
         while True:
             found = write_table(_search(coded, count, wanted, n_wanted, coder, kind, k, block, query_part))
             results.append(found)
