@@ -14,6 +14,11 @@ from vesselspark.sources import feeds, nmea, radar, satellite, unify
 BEGIN = "1970-01-01 00:00:00"
 
 
+def let(value: Column, make) -> Column:
+    """What ``make`` makes of a value that is worked out once."""
+    return F.transform(F.array(value), make)[0]
+
+
 def field(value: Column, width: int) -> Column:
     """A number that is not negative as so many bits."""
     return F.lpad(F.bin(value.cast("long")), width, "0")
@@ -36,14 +41,14 @@ def nmea_lines(spark: SparkSession, d: str) -> DataFrame:
     bits = F.concat(
         field(F.lit(1), 6), F.lit("00"), field(F.col("mmsi"), 30), field(i % 16, 4), field(F.lit(128), 8), field(F.round(F.col("speed_knots") * 10), 10), field(i % 2, 1), field(F.round(F.col("longitude") * 600000), 28),
         field(F.round(F.col("latitude") * 600000), 27), field(F.col("course") * 10, 12), field(i % 512, 9), field(i % 60, 6), F.repeat(F.lit("0"), F.lit(25)))
-    whole = p.withColumn("bits", bits).withColumn("payload", armoured(F.col("bits"), 28))
+    whole = p.withColumn("payload", let(bits, lambda b: armoured(b, 28)))
     # half of the messages come in two parts; of the others one in eleven has a wrong check digit and is to be left out
     two = i % 2 == 0
     bodies = F.when(two, F.array(
         F.concat(F.lit("AIVDM,2,1,"), (i % 10).cast("string"), F.lit(",A,"), F.substring("payload", 1, 15), F.lit(",0")),
         F.concat(F.lit("AIVDM,2,2,"), (i % 10).cast("string"), F.lit(",A,"), F.substring("payload", 16, 13), F.lit(",0"))
     )).otherwise(F.array(F.concat(F.lit("AIVDM,1,1,,B,"), "payload", F.lit(",0"))))
-    parts = whole.select("event_id", F.posexplode(bodies).alias("n", "body")).withColumn("line", sentence(F.col("body")))
+    parts = whole.select("event_id", F.posexplode(bodies).alias("n", "body")).withColumn("line", let(F.col("body"), sentence))
     wrong = (i % 11 == 0) & (i % 2 == 1)
     line = F.when(wrong, F.concat(F.expr("substring(line, 1, length(line) - 2)"), F.lit("ZZ"))).otherwise(F.col("line"))
     return parts.select(F.concat(F.lit("f"), (i % 7).cast("string")).alias("source"), (i * 2 + F.col("n")).alias("at"), line.alias("line"))
@@ -68,8 +73,8 @@ def text_field(value: Column, chars: int) -> Column:
 
 
 def whole_sentences(spark: SparkSession, d: str, bits: Column, chars: int, fill: int) -> DataFrame:
-    body = F.concat(F.lit("AIVDM,1,1,,A,"), armoured(F.col("bits"), chars), F.lit(f",{fill}"))
-    return positions(spark, d).withColumn("bits", bits).select(F.lit("f").alias("source"), F.col("event_id").alias("at"), sentence(body).alias("line"))
+    body = F.concat(F.lit("AIVDM,1,1,,A,"), let(bits, lambda b: armoured(b, chars)), F.lit(f",{fill}"))
+    return positions(spark, d).select(F.lit("f").alias("source"), F.col("event_id").alias("at"), let(body, sentence).alias("line"))
 
 
 @query("d6_static_messages", f"""WITH {P} SELECT mmsi, cast(9000000 + event_id % 1000000 AS INT) AS imo, 'C' || event_id % 1000 AS callsign, ship_name, cast(event_id % 100 AS INT) AS ship_type, cast(event_id % 400 + event_id % 100 AS INT) AS length, cast(event_id % 30 + 7 AS INT) AS width,

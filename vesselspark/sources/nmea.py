@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vesselspark import config
 from vesselspark.functions.casts import lookup
+from vesselspark.tables import write_table
 
 #: Characters by value, in steps of one: the six-bit alphabet has a gap of eight code points in the middle.
 ARMOUR = "".join(chr(v + 48 if v < 40 else v + 56) for v in range(64))
@@ -47,7 +48,7 @@ def assemble_nmea(fields: DataFrame) -> DataFrame:
     from blocks of lines, so a file of any length is spread over tasks."""
     single = fields.where("total = 1").select("source", "at", "payload", "fill_bits", F.col("line").alias("raw_sentence"))
     lane = ["source", "channel", "seq_id", "total"]
-    parts = fields.where("total > 1").withColumn("block", F.shiftright("at", BLOCK_BITS))
+    parts = write_table(fields.where("total > 1").withColumn("block", F.shiftright("at", BLOCK_BITS)))  # read three times
     earlier = lambda *keys: Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     counts = parts.groupBy(*lane, "number", "block").agg(F.count("*").alias("n"))
     counts = counts.select(*lane, "number", "block", F.coalesce(F.sum("n").over(earlier(*lane, "number")), F.lit(0)).alias("before"))
