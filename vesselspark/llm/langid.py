@@ -233,7 +233,8 @@ def _sample(docs: DataFrame, max_docs: int, max_chars: int) -> DataFrame:
     number = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
     counts = docs.groupBy("lang").agg(F.approx_count_distinct("id").alias("n"))
     first = number * F.col("n") < F.lit(float(4 * max_docs * (1 << 40)))
-    few = docs.select("lang", "id").join(counts, "lang").where(first).select("lang", "id").distinct()
+    # a row a language, as in the model itself; a shuffled join would bring all rows of a language together
+    few = docs.select("lang", "id").join(F.broadcast(counts), "lang").where(first).select("lang", "id").distinct()
     order = Window.partitionBy("lang").orderBy(number, "id")
     picked = few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_docs).select("lang", "id")
     found = docs.join(F.broadcast(picked), ["lang", "id"]).groupBy("lang", "id").agg(F.min("text").alias("text"))  # at most max_docs a language
