@@ -18,10 +18,19 @@ from vesselspark.tables import scratch, write_table
 LEAST_SURE = 0.5
 #: Workers live through all stages, so stages remember fewer words here than alone.
 LANGUAGE_WORDS, PACKING_WORDS = 100_000, 200_000
+#: Texts go to workers in batches of at most so many rows, as they may be long.
+BATCH_ROWS = 2000
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    if not 0 < int(spark.conf.get(BATCH_CONF)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known: those without a letter, and those without a clear language, go."""
+    bound_batches(spark)
     model = langid.train(docs, public_tokenizers.path("piece_bpe_32k.model"))
     lang, sure = unused(docs.columns, "found_lang", "found_sure")
     found = langid.annotate(docs, model, names=(lang, sure), cached_words=LANGUAGE_WORDS)
@@ -30,6 +39,7 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays."""
+    bound_batches(spark)
     found = simhash.simhash_components(docs)
     (own,) = unused(docs.columns, "kept_id")
     kept = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(own)).distinct()
@@ -38,6 +48,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that occur more than once go; a document without such a passage keeps its text as it is."""
+    bound_batches(spark)
     names = unused(docs.columns, "n_words", "n_removed", "kept")
     found = substrings.remove_repeats(docs, names=names)
     text = F.when(F.col(names[1]) > 0, F.col(names[2])).otherwise(F.col("text"))
@@ -46,12 +57,14 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data are replaced by their kind in brackets."""
+    bound_batches(spark)
     names = unused(docs.columns, *pii.NAMES)
     found = pii.annotate(docs, pii.train(docs), names=names)
     return _as_documents(docs, found.withColumn("text", F.coalesce(names[pii.NAMES.index("redacted")], "text")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
     return packing.pack(docs, *paths, cached_words=PACKING_WORDS)
 
