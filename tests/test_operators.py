@@ -107,6 +107,29 @@ def test_batch_search_against_all(spark):
     assert vectors.batch_search(df.limit(0), asked, 4).collect() == [] and vectors.batch_search(df, asked.limit(0), 4).collect() == []
 
 
+def test_histories_in_parts(spark, monkeypatch):
+    """Parts of any length give what windows over whole vessels give."""
+    from pyspark.sql import Window
+
+    from vesselspark.operators import history
+
+    rng = np.random.default_rng(6)
+    rows = [(k, [None, "a", "b"][int(rng.integers(3))], NOW + timedelta(seconds=int(rng.integers(0, 5000))), ["ais", "radar"][int(rng.integers(2))], float(k), 1.0) for k in range(400)]
+    df = spark.createDataFrame(rows, "event_id long, mmsi string, ts timestamp_ntz, sensor string, latitude double, longitude double").cache()
+    order = Window.partitionBy("mmsi").orderBy("ts", "event_id")
+    before = F.lag("ts").over(order)
+    opens = F.coalesce((history.seconds_between(before, F.col("ts")) > 60).cast("int"), F.lit(0))
+    whole = df.withColumn("opens", opens).withColumn("segment", F.sum("opens").over(order))
+    seen = F.last(F.when(F.col("sensor") == "ais", F.col("ts")), ignorenulls=True).over(order)
+    wanted = {r.event_id: (r.segment, r.before, r.seen) for r in whole.withColumns({"before": before, "seen": seen}).collect()}
+    for part in (50, 700, 30 * 86_400):
+        monkeypatch.setattr(history, "PART_S", part)
+        segments = {r.event_id: r.segment for r in history.segment_tracks(df, 60).collect()}
+        previous = {r.event_id: r.previous and r.previous.ts for r in history.with_previous(df, "mmsi", "ts").collect()}
+        asof = {r.event_id: r.ais_last_seen for r in history.ais_gap_asof(df).collect()}
+        assert {k: (segments[k], previous[k], asof[k]) for k in segments} == wanted and len(segments) == 400
+
+
 def test_vectors(spark):
     texts = [("d1", "cargo ship near mumbai", "ship_report"), ("d2", "port activity mumbai", "port_report"), ("d3", None, "ship_report")]
     docs = vectors.embed(spark.createDataFrame(texts, "id string, content string, document_type string"), vectors.hashing_embedder()).cache()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,10 +116,39 @@ def latest_tracks(tracks: DataFrame) -> DataFrame:
     return live.groupBy("mmsi").agg(F.max_by(F.struct(*(c for c in live.columns if c != "mmsi")), order).alias("p")).select("mmsi", "p.*")
 
 
+#: A vessel's history is worked on in periods of so many seconds, so that one of very many rows is spread over tasks.
+PART_S = 30 * 86_400
+
+
+def _parted(df: DataFrame, key: str) -> DataFrame:
+    seconds = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
+    return df.withColumns({"part_key": F.col(key), "part": F.floor(seconds / PART_S)})
+
+
+def _carried(df: DataFrame, name: str, of_part: Column, before: Callable[[str], Column]) -> DataFrame:
+    """``df`` of ``_parted`` with ``name``: what the parts of the key before a row's own give, by ``before`` over theirs."""
+    parts = df.groupBy(F.col("part_key").alias("k"), F.col("part").alias("p")).agg(of_part.alias(name))
+    earlier = Window.partitionBy("k").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("k", "p", before(name).over(earlier).alias(name))
+    return df.join(parts, df.part_key.eqNullSafe(parts.k) & (df.part == parts.p)).drop("k", "p")
+
+
+def _order(running: bool = False):
+    order = Window.partitionBy("part_key", "part").orderBy(*NEWEST)
+    return order.rowsBetween(Window.unboundedPreceding, Window.currentRow) if running else order
+
+
+def with_previous(df: DataFrame, key: str, *columns: str) -> DataFrame:
+    """``df`` with ``previous``: those columns of the row before of the same key, null for the first one."""
+    row = F.struct(*columns)
+    found = _carried(_parted(df, key), "previous", F.max_by(row, F.struct(*NEWEST)), lambda c: F.last(c))
+    return found.withColumn("previous", F.coalesce(F.lag(row).over(_order()), "previous")).drop("part_key", "part")
+
+
 def ais_gaps(df: DataFrame, hours: float = 6.0, key: str = "mmsi") -> DataFrame:
     """Consecutive fixes of a vessel more than ``hours`` apart, with where it fell silent, came back, and the jump."""
-    order = Window.partitionBy(key).orderBy(*NEWEST)
-    before = df.withColumns({"last_ts": F.lag("ts").over(order), "last_latitude": F.lag("latitude").over(order), "last_longitude": F.lag("longitude").over(order)})
+    before = with_previous(df, key, "ts", "latitude", "longitude").select(
+        "*", F.col("previous.ts").alias("last_ts"), F.col("previous.latitude").alias("last_latitude"), F.col("previous.longitude").alias("last_longitude"))
     gap = seconds_between(F.col("last_ts"), F.col("ts")) / 3600.0
     jump = F.round(haversine("last_latitude", "last_longitude", "latitude", "longitude", "nm"), 2)
     found = before.withColumn("gap", gap).where(F.col("gap") > hours)
@@ -127,9 +158,11 @@ def ais_gaps(df: DataFrame, hours: float = 6.0, key: str = "mmsi") -> DataFrame:
 
 def segment_tracks(df: DataFrame, gap_s: float = 120.0, key: str = "mmsi") -> DataFrame:
     """Each row with the number of its track: a vessel silent for more than ``gap_s`` opens a new one."""
-    order = Window.partitionBy(key).orderBy(*NEWEST)
-    opens = F.coalesce((seconds_between(F.lag("ts").over(order), F.col("ts")) > gap_s).cast("int"), F.lit(0))
-    return df.withColumn("__opens", opens).withColumn("segment", F.sum("__opens").over(order)).drop("__opens")
+    opens = F.coalesce((seconds_between(F.col("previous.ts"), F.col("ts")) > gap_s).cast("int"), F.lit(0))
+    marked = _parted(with_previous(df, key, "ts").withColumn("opens", opens).drop("previous"), key)
+    found = _carried(marked, "opened", F.sum("opens"), lambda c: F.sum(c))
+    segment = F.coalesce("opened", F.lit(0)) + F.sum("opens").over(_order(running=True))
+    return found.withColumn("segment", segment).drop("opens", "opened", "part_key", "part")
 
 
 def recent_speed_anomalies(df: DataFrame, n: int = 50_000, shown: int = 20, knots: float = 25.0) -> DataFrame:
@@ -153,9 +186,11 @@ def latest_alerts(alerts: DataFrame, n: int = 100) -> DataFrame:
 
 def ais_gap_asof(df: DataFrame, recent_s: float = 120.0, key: str = "mmsi") -> DataFrame:
     """At each row: the vessel's last AIS fix up to then, the seconds since, and whether another sensor saw it recently."""
-    order = Window.partitionBy(key).orderBy(*NEWEST)
-    last_ais = F.last(F.when(F.col("sensor") == "ais", F.col("ts")), ignorenulls=True).over(order)
-    last_other = F.last(F.when(F.col("sensor") != "ais", F.col("ts")), ignorenulls=True).over(order)
-    return df.withColumns({
-        "ais_last_seen": last_ais, "ais_gap_seconds": seconds_between(last_ais, F.col("ts")),
-        "recent_non_ais": F.coalesce(seconds_between(last_other, F.col("ts")) < recent_s, F.lit(False))})
+    kinds = {"ais": F.when(F.col("sensor") == "ais", F.col("ts")), "other": F.when(F.col("sensor") != "ais", F.col("ts"))}
+    found = _parted(df, key)
+    for name, ts in kinds.items():
+        found = _carried(found, f"{name}_before", F.max(ts), lambda c: F.max(c))
+    last = {name: F.greatest(F.max(ts).over(_order(running=True)), f"{name}_before") for name, ts in kinds.items()}
+    return found.withColumns({
+        "ais_last_seen": last["ais"], "ais_gap_seconds": seconds_between(last["ais"], F.col("ts")),
+        "recent_non_ais": F.coalesce(seconds_between(last["other"], F.col("ts")) < recent_s, F.lit(False))}).drop("part_key", "part", "ais_before", "other_before")
