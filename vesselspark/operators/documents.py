@@ -9,6 +9,8 @@ from vesselspark.operators.proximity import fixed
 
 ORDER = ("ts", "event_id")
 
+# The wording of all report lines below, which must stay as it is for equal texts.
+
 
 def _or(name: str, columns: list[str], default: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(default)) if name in columns else F.lit(default)
