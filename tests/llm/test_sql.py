@@ -13,7 +13,7 @@ D = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", list(ORACLE_SQL))
 def test_agrees(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "embeddings"):
+    for table in ("documents", "pages", "embeddings", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{D}/{table}.parquet')")
     df = QUERIES[name](spark, D)
     names = sorted(df.columns)

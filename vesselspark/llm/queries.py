@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vesselspark.llm import ann, langid, packing, pieces, pii, quality, substrings, urlrules, vector_dedup
+from vesselspark.llm import ann, decontaminate, fim, langid, packing, pieces, pii, quality, substrings, urlrules, vector_dedup
 from vesselspark.llm.common import load
 from vesselspark.llm.simhash import simhash_components
 
@@ -98,6 +98,20 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.vector_components(load(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    digest = [F.sha2(c.cast("binary"), 256).alias(name) for c, name in ((F.col("output"), "output_sha256"), (back, "restored_sha256"))]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digest)
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_items(docs, load(spark, sf_dir, "benchmark"))
+    listed = F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed, (F.col("n_hit") > 0).alias("contaminated"))
+
+
 OP8_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT r, i, array_to_string(w[i : i + 34], ' ') AS s FROM (SELECT r, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d)),
@@ -114,7 +128,30 @@ r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l
 c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a)
 SELECT c.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) k ON c.vec_id = k.a
 """
+OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+g AS (SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS x, ('0x' || h[9:16])::BIGINT % (n + 1) AS y, ('0x' || h[17:24])::BIGINT % 100 AS p, ('0x' || h[25:32])::BIGINT % 100 AS q FROM d),
+f AS (SELECT *, least(x, y) AS a, greatest(x, y) - least(x, y) AS m,
+  CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR p >= 90 THEN 'plain' WHEN q < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+s AS (SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, m) AS middle, substring(t, a + m + 1) AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN m END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM s
+"""
+OP12_SQL = r"""
+WITH b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+d AS (SELECT row_number() OVER () AS r, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS s
+  FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - least(len(w), 10) + 1)) AS i FROM b WHERE len(w) > 0)),
+own AS (SELECT r, i, k, array_to_string(w[i : i + k - 1], ' ') AS s FROM (SELECT r, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM d, (SELECT DISTINCT k FROM win))),
+hit AS (SELECT r, i, k, item_id FROM own JOIN win USING (k, s)),
+n AS (SELECT r, count(DISTINCT i) AS n FROM (SELECT r, unnest(generate_series(i, i + k - 1)) AS i FROM hit) GROUP BY r),
+ids AS (SELECT r, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS t FROM hit GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_hit, coalesce(ids.n, 0)::BIGINT AS n_items, sha256(coalesce(ids.t, '')) AS items_sha256, coalesce(n.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN ids USING (r)
+"""
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_pii, op4_packing, op5_language, op6_neighbours, op7_url_rules, op8_substrings, op9_pieces, op10_vector_dedup)}
-ORACLE_SQL: dict[str, str] = {"op7_url_rules": OP7_SQL, "op8_substrings": OP8_SQL, "op10_vector_dedup": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_pii, op4_packing, op5_language, op6_neighbours, op7_url_rules, op8_substrings, op9_pieces, op10_vector_dedup, op11_fim, op12_decontamination)}
+ORACLE_SQL: dict[str, str] = {"op7_url_rules": OP7_SQL, "op8_substrings": OP8_SQL, "op10_vector_dedup": OP10_SQL, "op11_fim": OP11_SQL, "op12_decontamination": OP12_SQL}
