@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vesselspark.llm import ann, decontaminate, fim, langid, packing, pieces, pii, quality, substrings, urlrules, vector_dedup
+from vesselspark.llm import ann, conversations, decontaminate, fim, langid, packing, pieces, pii, quality, substrings, urlrules, vector_dedup
 from vesselspark.llm.common import load
 from vesselspark.llm.simhash import simhash_components
 
@@ -112,6 +112,10 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed, (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.prefix_trie(load(spark, sf_dir, "conversations"))
+
+
 OP8_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT r, i, array_to_string(w[i : i + 34], ' ') AS s FROM (SELECT r, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d)),
@@ -151,7 +155,24 @@ ids AS (SELECT r, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id::VAR
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_hit, coalesce(ids.n, 0)::BIGINT AS n_items, sha256(coalesce(ids.t, '')) AS items_sha256, coalesce(n.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (r) LEFT JOIN ids USING (r)
 """
+#: crc32 is computed from its table of 256 steps, made from its polynomial.
+OP13_SQL = """
+WITH tab AS (SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), lambda a, k: xor(a >> 1, 3988292384 * (a & 1)))) AS steps),
+t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, sha256(length(role)::VARCHAR || ':' || role || sha256(text))) AS xs FROM t GROUP BY c),
+drawn AS (SELECT c, xs, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda z: ord(z)::BIGINT)),
+  lambda a, b: xor(a >> 8, steps[(xor(a, b) & 255) + 1]))) % 6 AS h FROM own, tab),
+made AS (SELECT d.c, list_concat(coalesce(b.xs[1:h], []), d.xs[h + 1:]) AS xs FROM drawn d LEFT JOIN own b ON b.c = d.c - d.c % 100),
+path AS (SELECT c, d, xs[1:d] AS p, d = len(xs) AS ends FROM (SELECT c, xs, unnest(generate_series(0, len(xs))) AS d FROM made)),
+node AS (SELECT d, p, min(c) AS c, count(*) AS n, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends) AS ids FROM path GROUP BY d, p),
+kids AS (SELECT p[1 : d - 1] AS p, count(*) AS k FROM node WHERE d > 0 GROUP BY p[1 : d - 1]),
+counted AS (SELECT node.*, coalesce(k, 0) AS k FROM node LEFT JOIN kids USING (p)),
+sums AS (SELECT a AS p, count(*) FILTER (k = 0) AS leaves, sum(saved) AS saved
+  FROM (SELECT k, CASE WHEN d > 0 THEN (n - 1) * length(p[d].text) ELSE 0 END AS saved, p[1 : unnest(generate_series(0, d))] AS a FROM counted) GROUP BY a)
+SELECT f.c AS conv_id, f.d::BIGINT AS depth, up.c AS parent_conv_id, f.n AS n_convs, f.k AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(f.ids, '')) AS ends_sha256
+FROM counted f JOIN sums USING (p) LEFT JOIN node up ON up.d = f.d - 1 AND up.p = f.p[1 : f.d - 1]
+"""
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_pii, op4_packing, op5_language, op6_neighbours, op7_url_rules, op8_substrings, op9_pieces, op10_vector_dedup, op11_fim, op12_decontamination)}
-ORACLE_SQL: dict[str, str] = {"op7_url_rules": OP7_SQL, "op8_substrings": OP8_SQL, "op10_vector_dedup": OP10_SQL, "op11_fim": OP11_SQL, "op12_decontamination": OP12_SQL}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_simhash, op3_pii, op4_packing, op5_language, op6_neighbours, op7_url_rules, op8_substrings, op9_pieces, op10_vector_dedup, op11_fim, op12_decontamination, op13_prefix_trie)}
+ORACLE_SQL: dict[str, str] = {"op7_url_rules": OP7_SQL, "op8_substrings": OP8_SQL, "op10_vector_dedup": OP10_SQL, "op11_fim": OP11_SQL, "op12_decontamination": OP12_SQL, "op13_prefix_trie": OP13_SQL}
