@@ -89,6 +89,60 @@ def test_parts_and_other_messages(spark, tmp_path):
     assert short.error == "incomplete" and short.mmsi is None
 
 
+def buffered(rows):
+    """One buffer a lane, part by part."""
+    buffers, found = {}, []
+    for source, at, number, total, seq, payload in sorted(rows, key=lambda r: r[1]):
+        own = buffers.setdefault((source, seq, total), [""] * total)
+        own[number - 1] = payload
+        if all(own):
+            found.append((source, at, "".join(own)))
+            del buffers[source, seq, total]
+    return sorted(found)
+
+
+def lossy(seed, n, totals=(2, 3, 5)):
+    """Messages in parts, of which some get lost, come twice or change places."""
+    rnd = random.Random(seed)
+    sent = []
+    for k in range(n):
+        total, seq, source = rnd.choice(totals), str(rnd.randint(0, 3)), rnd.choice("xy")
+        sent += [(source, number, total, seq, f"{number}m{k}.") for number in range(1, total + 1)]
+    kept = [s for s in sent for _ in range(rnd.choice([0, 1, 1, 1, 1, 1, 1, 1, 2]))]
+    for k in range(0, len(kept) - 1, 7):
+        kept[k], kept[k + 1] = kept[k + 1], kept[k]
+    return [(source, at, number, total, seq, payload) for at, (source, number, total, seq, payload) in enumerate(kept)]
+
+
+def test_block_effects_against_a_buffer():
+    rnd = random.Random(3)
+    for _ in range(2000):
+        total = rnd.randint(2, 5)
+        numbers = [rnd.randint(1, total) for _ in range(rnd.randint(1, 14))]
+        held = rnd.sample(range(1, total + 1), rnd.randint(0, total - 1))
+        now = set(held)
+        for number in numbers:
+            now.add(number)
+            now = set() if len(now) == total else now
+        assert nmea.after_block(held, total, *nmea.block_effect(numbers, total)) == sorted(now)
+
+
+@pytest.mark.parametrize("seed, n, bits", [(1, 3500, 16), (1, 3500, 9), (2, 300, 3), (3, 120, 1), (4, 120, 0)])
+def test_lossy_lanes_equal_a_buffer(spark, seed, n, bits):
+    rows = lossy(seed, n)
+    more = [("x", 10**6, 7, 5, "0", "beyond"), ("x", 10**6 + 1, 0, 2, "0", "below"), ("x", 10**6 + 2, 1, 2, "0", "")]
+    df = spark.createDataFrame([(s, a, f"line {a}", t, k, q, "A", p, a % 6) for s, a, k, t, q, p in rows + more], "source string, at long, line string, total int, number int, seq_id string, channel string, payload string, fill_bits int")
+    got = nmea.assemble_nmea(df.repartition(4), bits).collect()
+    assert sorted((r.source, r.at, r.payload) for r in got) == buffered(rows)
+    assert all(r.raw_sentence == f"line {r.at}" and r.fill_bits == r.at % 6 for r in got)
+
+
+def test_lost_sentences(spark):
+    parts = [(1, "1a"), (1, "1b"), (2, "2b"), (2, "2c"), (1, "1d"), (2, "2d")]
+    df = spark.createDataFrame([("s", k, "l", 2, n, "3", None, p, 0) for k, (n, p) in enumerate(parts)], "source string, at long, line string, total int, number int, seq_id string, channel string, payload string, fill_bits int")
+    assert [r.payload for r in nmea.assemble_nmea(df).orderBy("at").collect()] == ["1b2b", "1d2c"]
+
+
 def update(track=12345, at=1765809000):
     return struct.pack(">HHIIiiHHfHHBB", 0x0100, 34, at, track, 18938800, 72835400, 125, 2450, 25.5, 153, 900, 85, 0)
 

@@ -62,6 +62,35 @@ def _(spark, d):
     return found.select("mmsi", "nav_status", "speed_over_ground", "position_accuracy", "longitude", "latitude", "course_over_ground", "true_heading", "timestamp_seconds")
 
 
+#: Of the parts in two, one in seven is lost and one in thirteen comes twice. A run is the same number again and again; the
+#: first of a run completes a message if the buffer holds the other number, which it does after a run of several, and in
+#: every other one of a row of runs of one.
+LOSSY = f"""WITH {P},
+half AS (SELECT event_id, unnest([1, 2]) AS n FROM p WHERE event_id % 2 = 0),
+sent AS (SELECT event_id, n, unnest(generate_series(1, CASE WHEN (event_id * 2 + n) % 7 = 3 THEN 0 WHEN (event_id * 2 + n) % 13 = 5 THEN 2 ELSE 1 END)) AS again FROM half),
+lane AS (SELECT event_id % 7 AS source, event_id % 10 AS seq, n, event_id, event_id * 4 + n * 2 + again AS pos FROM sent),
+run AS (SELECT *, sum(new) OVER (PARTITION BY source, seq ORDER BY pos) AS run
+  FROM (SELECT *, CASE WHEN n = lag(n) OVER (PARTITION BY source, seq ORDER BY pos) THEN 0 ELSE 1 END AS new FROM lane)),
+each AS (SELECT source, seq, run, any_value(n) AS n, count(*) AS size, min_by(event_id, pos) AS first_event, max_by(event_id, pos) AS last_event, min(pos) AS pos FROM run GROUP BY source, seq, run),
+held AS (SELECT *, lag(size, 1, 1) OVER w AS before_size, lag(last_event) OVER w AS other FROM each WINDOW w AS (PARTITION BY source, seq ORDER BY run)),
+since AS (SELECT *, max(CASE WHEN before_size > 1 OR run = 1 THEN run END) OVER (PARTITION BY source, seq ORDER BY run) AS start FROM held),
+whole AS (SELECT *, CASE WHEN start = 1 THEN (run - start) % 2 = 1 ELSE (run - start) % 2 = 0 END AS done FROM since)
+SELECT 'f' || source AS source, pos, CASE n WHEN 1 THEN first_event ELSE other END AS first_part, CASE n WHEN 2 THEN first_event ELSE other END AS second_part FROM whole WHERE done"""
+
+
+@query("d3_lossy_lanes", LOSSY)
+def _(spark, d):
+    """Parts carry their event's number in place of a payload, so the result tells which parts were joined."""
+    i, n = F.col("event_id"), F.col("n")
+    half = positions(spark, d).where("event_id % 2 = 0").select("event_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("n"))
+    copies = F.when((i * 2 + n) % 7 == 3, 0).when((i * 2 + n) % 13 == 5, 2).otherwise(1)
+    sent = half.select("event_id", "n", F.explode(F.filter(F.sequence(F.lit(0), copies), lambda k: k > 0)).alias("again"))
+    body = F.concat(F.lit("AIVDM,2,"), n.cast("string"), F.lit(","), (i % 10).cast("string"), F.lit(",A,"), F.lpad(i.cast("string"), 12, "0"), F.lit(",0"))
+    lines = sent.select(F.concat(F.lit("f"), (i % 7).cast("string")).alias("source"), (i * 4 + n * 2 + F.col("again")).alias("at"), let(body, sentence).alias("line"))
+    found = nmea.assemble_nmea(nmea.split_nmea(lines), 12)
+    return found.select("source", F.col("at").alias("pos"), F.substring("payload", 1, 12).cast("long").alias("first_part"), F.substring("payload", 13, 12).cast("long").alias("second_part"))
+
+
 @query("d1_nmea_checksums", f"WITH {P} SELECT event_id % 22 <> 11 AS ok, sum(CASE WHEN event_id % 2 = 0 THEN 2 ELSE 1 END)::BIGINT AS n FROM p GROUP BY ALL")
 def _(spark, d):
     return nmea_lines(spark, d).groupBy(nmea.nmea_checksum_ok(F.col("line")).alias("ok")).agg(F.count("*").alias("n"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vesselspark import config
@@ -41,28 +44,107 @@ def split_nmea(lines: DataFrame) -> DataFrame:
     return fields.where("total is not null and number is not null and fill_bits is not null")
 
 
-def assemble_nmea(fields: DataFrame) -> DataFrame:
-    """Whole messages. Parts of one (source, channel, seq_id) are a set from where a number comes that the set already
-    has; sets with all their parts are joined in order, with fill bits and text of the part that completed them. A part
-    belongs to the set whose number is the most often that any number has come up to it; both counts are put together
-    from blocks of lines, so a file of any length is spread over tasks."""
+LANE = ["source", "channel", "seq_id", "total"]
+_LANE_SCHEMA = "source string, channel string, seq_id string, total int, block long"
+
+
+def block_effect(numbers: list[int], total: int) -> tuple[list[int], list[list[int]]]:
+    """What a block of parts does to a buffer, whichever parts it holds on entry: the numbers in the order of their first
+    places, and for each the parts that are held at the block's end if a message is completed at that place. Parts are only
+    added until one is completed, so the first completion is at the last of the first places of the missing numbers."""
+    firsts: dict[int, int] = {}
+    for at, number in enumerate(numbers):
+        firsts.setdefault(number, at)
+    starts = {at: k for k, at in enumerate(firsts.values())}
+    at_end: list[set[int]] = [set() for _ in firsts]
+    # all starts run together; those that come to the same parts stay together
+    running: list[tuple[set[int], list[int]]] = []
+    for at, number in enumerate(numbers):
+        for held, _ in running:
+            held.add(number)
+            if len(held) == total:
+                held.clear()
+        if at in starts:
+            running.append((set(), [starts[at]]))
+        if len(running) > 1:
+            merged: dict[frozenset[int], tuple[set[int], list[int]]] = {}
+            for held, own in running:
+                same = merged.setdefault(frozenset(held), (held, []))
+                same[1].extend(own)
+            running = list(merged.values())
+    for held, own in running:
+        for k in own:
+            at_end[k] = held
+    return list(firsts), [sorted(held) for held in at_end]
+
+
+def after_block(held: list[int], total: int, firsts: list[int], at_end: list[list[int]]) -> list[int]:
+    """The parts held at the end of a block that is entered with ``held``."""
+    missing = {k for k in range(1, total + 1)} - set(held)
+    places = [k for k, number in enumerate(firsts) if number in missing]
+    return at_end[places[-1]] if len(places) == len(missing) else sorted(set(held) | set(firsts))
+
+
+def _entered(blocks: DataFrame) -> DataFrame:
+    """(lane, block, held, payloads): what the buffer holds when a block begins, from the effects of those before it."""
+    def effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            totals, numbers, payloads = (batch.column(k).to_pylist() for k in (3, 5, 6))
+            made = [(*block_effect(n, t), dict(zip(n, p))) for t, n, p in zip(totals, numbers, payloads)]
+            kinds = (pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.string()))
+            columns = [[m[0] for m in made], [m[1] for m in made], [[m[2][k] for k in m[0]] for m in made]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *(pa.array(c, k) for c, k in zip(columns, kinds))], [*LANE, "block", "firsts", "at_end", "last"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lane, held, newest = None, [], {}
+        for batch in batches:
+            out = []
+            for *key, _, firsts, at_end, last in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != lane:
+                    lane, held, newest = key, [], {}
+                out.append((held, [newest[k] for k in held]))
+                held = after_block(held, key[3], firsts, at_end)
+                newest |= dict(zip(firsts, last))
+            kinds = (pa.list_(pa.int32()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *(pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 2, kinds))], [*LANE, "block", "held", "payloads"])
+
+    short = blocks.select(*LANE, "block", F.col("parts.number").alias("numbers"), F.col("parts.payload").alias("payloads"))
+    made = short.mapInArrow(effects, f"{_LANE_SCHEMA}, firsts array<int>, at_end array<array<int>>, last array<string>")
+    return made.repartition(*LANE).sortWithinPartitions(*LANE, "block").mapInArrow(scan, f"{_LANE_SCHEMA}, held array<int>, payloads array<string>")
+
+
+def assemble_nmea(fields: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
+    """Whole messages. Each (source, channel, seq_id, total) has a buffer with a place for each part. A part takes its place
+    there, also from an earlier one that still waits; when all are taken they are joined in order, with fill bits and text of
+    the part that completed them, and the buffer is empty. A lost part so leaves a message out and may spoil the next one,
+    never more. Numbers beyond the total and empty payloads are passed over; a null source or channel is empty.
+
+    A file of any length is spread over tasks: blocks of 2^``block_bits`` lines tell their effect on any buffer, the effects
+    of a lane's blocks are put together in order, and each block is then worked on from the buffer it is entered with."""
     single = fields.where("total = 1").select("source", "at", "payload", "fill_bits", F.col("line").alias("raw_sentence"))
-    lane = ["source", "channel", "seq_id", "total"]
-    parts = write_table(fields.where("total > 1").withColumn("block", F.shiftright("at", BLOCK_BITS)))  # read three times
-    earlier = lambda *keys: Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = parts.groupBy(*lane, "number", "block").agg(F.count("*").alias("n"))
-    counts = counts.select(*lane, "number", "block", F.coalesce(F.sum("n").over(earlier(*lane, "number")), F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy(*lane, "number", "block").orderBy("at"))
-    parts = parts.join(counts, [*lane, "number", "block"]).withColumn("nth", F.col("before") + own)
-    most = parts.groupBy(*lane, "block").agg(F.max("nth").alias("most"))
-    most = most.select(*lane, "block", F.coalesce(F.max("most").over(earlier(*lane)), F.lit(0)).alias("reached"))
-    within = F.max("nth").over(Window.partitionBy(*lane, "block").orderBy("at"))
-    parts = parts.join(most, [*lane, "block"]).withColumn("message", F.greatest(within, "reached"))
-    sets = parts.groupBy("source", "channel", "seq_id", "total", "message").agg(
-        F.array_sort(F.collect_list(F.struct("number", "payload"))).alias("parts"), F.max_by(F.struct("at", "fill_bits", "line"), "at").alias("last"))
-    whole = sets.where(F.size(F.array_distinct(F.transform("parts", lambda p: p["number"]))) == F.col("total"))
-    joined = F.array_join(F.transform("parts", lambda p: p["payload"]), "")
-    return single.unionByName(whole.select("source", F.col("last.at").alias("at"), joined.alias("payload"), F.col("last.fill_bits").alias("fill_bits"), F.col("last.line").alias("raw_sentence")))
+    parts = fields.where("total > 1 and number between 1 and total and payload <> ''").withColumns({
+        "block": F.shiftright("at", block_bits), "source": F.coalesce("source", F.lit("")), "channel": F.coalesce("channel", F.lit(""))})
+    row = F.struct("at", "number", "payload", "fill_bits", "line")
+    blocks = write_table(parts.groupBy(*LANE, "block").agg(F.sort_array(F.collect_list(row)).alias("parts")))  # a block's lines at most
+    several = blocks.groupBy(*LANE).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    none = F.array().cast("array<int>").alias("held"), F.array().cast("array<string>").alias("payloads")
+    entered = blocks.join(_entered(blocks), [*LANE, "block"]) if several else blocks.select("*", *none)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["source", "at", "payload", "fill_bits", "raw_sentence"], (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string())
+        for batch in batches:
+            out = []
+            for source, total, held, payloads, rows in zip(*(c.to_pylist() for c in batch.columns)):
+                buffer = dict(zip(held, payloads))
+                for r in rows:
+                    buffer[r["number"]] = r["payload"]
+                    if len(buffer) == total:
+                        out.append((source, r["at"], "".join(buffer[k] for k in range(1, total + 1)), r["fill_bits"], r["line"]))
+                        buffer = {}
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 5, kinds)], names)
+
+    whole = entered.select("source", "total", "held", "payloads", "parts").mapInArrow(run, "source string, at long, payload string, fill_bits int, raw_sentence string")
+    return single.unionByName(whole)
 
 
 def nmea_bits(payload: Column, fill_bits: Column) -> Column:
