@@ -115,6 +115,7 @@ def test_histories_in_parts(spark, monkeypatch):
 
     rng = np.random.default_rng(6)
     rows = [(k, [None, "a", "b"][int(rng.integers(3))], NOW + timedelta(seconds=int(rng.integers(0, 5000))), ["ais", "radar"][int(rng.integers(2))], float(k), 1.0) for k in range(400)]
+    rows += [(400 + k, [None, "a", "b"][k % 3], None, ["ais", "radar"][k % 2], 0.0, 0.0) for k in range(7)]
     df = spark.createDataFrame(rows, "event_id long, mmsi string, ts timestamp_ntz, sensor string, latitude double, longitude double").cache()
     order = Window.partitionBy("mmsi").orderBy("ts", "event_id")
     before = F.lag("ts").over(order)
@@ -122,12 +123,13 @@ def test_histories_in_parts(spark, monkeypatch):
     whole = df.withColumn("opens", opens).withColumn("segment", F.sum("opens").over(order))
     seen = F.last(F.when(F.col("sensor") == "ais", F.col("ts")), ignorenulls=True).over(order)
     wanted = {r.event_id: (r.segment, r.before, r.seen) for r in whole.withColumns({"before": before, "seen": seen}).collect()}
-    for part in (50, 700, 30 * 86_400):
+    most = df.groupBy("mmsi").count().agg(F.max("count")).first()[0]
+    for part, split in ((50, 0), (700, most - 1), (30 * 86_400, 0), (50, most)):
         monkeypatch.setattr(history, "PART_S", part)
-        segments = {r.event_id: r.segment for r in history.segment_tracks(df, 60).collect()}
-        previous = {r.event_id: r.previous and r.previous.ts for r in history.with_previous(df, "mmsi", "ts").collect()}
-        asof = {r.event_id: r.ais_last_seen for r in history.ais_gap_asof(df).collect()}
-        assert {k: (segments[k], previous[k], asof[k]) for k in segments} == wanted and len(segments) == 400
+        segments = {r.event_id: r.segment for r in history.segment_tracks(df, 60, split=split).collect()}
+        previous = {r.event_id: r.previous and r.previous.ts for r in history.with_previous(df, "mmsi", "ts", split=split).collect()}
+        asof = {r.event_id: r.ais_last_seen for r in history.ais_gap_asof(df, split=split).collect()}
+        assert {k: (segments[k], previous[k], asof[k]) for k in segments} == wanted and len(segments) == 407
 
 
 def test_vectors(spark):
@@ -216,3 +218,88 @@ def test_sinks(spark, tmp_path):
     assert (again.detection_id, again.ts, again.latitude, again.vessel_width_m, again.is_dark_ship) == ("D1", NOW, 1.0, None, True)
     back = satellite.geojson_features(satellite.read_passes(spark, str(tmp_path / "geo/pass_id=P1"), "*.txt")).first()
     assert (back.detection_id, back.ts, back.longitude, back.satellite, back.is_dark_ship) == ("D1", NOW, 2.0, "S", True)
+
+
+def test_vectors_of_several_lengths(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "ASKED", 3)
+    rng = np.random.default_rng(8)
+    data = [rng.integers(-2, 3, size=[3, 7, 0][k % 3] if k % 11 else 7).astype(float) for k in range(120)]
+    rows = [(k, v.tolist()) for k, v in enumerate(data)] + [(500, [1.0, None, 2.0]), (501, [float("nan"), 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in vectors.batch_search(df, df.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "query_id"), 6, block=40).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, round(r.similarity, 9)))
+    unit = [v / max(float(np.linalg.norm(v)), 1e-300) for v in data]
+    for q in range(0, 120, 5):
+        near = sorted((-round(float(unit[q] @ unit[k]), 9), k) for k in range(120) if len(data[k]) == len(data[q]))[:6]
+        assert [s for _, s in got[q]] == [-s for s, _ in near]
+    assert set(got) == set(range(0, 120, 5))
+
+
+def test_long_lists_are_ranked_whole(spark):
+    lists = {"structured": [f"s{(k * 7919) % 12_000}" for k in range(12_000)], "semantic": [f"s{k}" for k in range(300)]}
+    frames = {name: spark.createDataFrame([(k, x) for k, x in enumerate(items)], "position long, id string").repartition(5) for name, items in lists.items()}
+    want = {}
+    for name, items in lists.items():
+        for at, item in enumerate(items):
+            want[item] = want.get(item, 0) + vectors.config.RRF_WEIGHTS[name] / (vectors.config.RRF_K + at)
+    for short in (10, 10_000, 20_000):
+        got = {r.item_id: r.fusion_score for r in vectors.rrf_fuse(frames, short=short).collect()}
+        assert got == pytest.approx(want) and len(got) == 12_000
+
+
+def test_many_rectangles(spark):
+    """50,000 of all sizes against trying all of them; no nested loops."""
+    rng = np.random.default_rng(12)
+    n = 50_000
+    size = np.where(rng.random(n) < 0.0005, 90.0, 10 ** rng.uniform(-4, 0.3, n))
+    lat, lon = rng.uniform(-90, 90, n), rng.uniform(-180, 180, n)
+    boxes = np.c_[lat, lat + size * rng.random(n), lon, lon + size * rng.random(n)]
+    boxes[:50] = np.round(boxes[:50])
+    rows = [(k, *map(float, b)) for k, b in enumerate(boxes)] + [(n, 5.0, 4.0, 1.0, 2.0), (n + 1, None, 4.0, 1.0, 2.0), (n + 2, float("-inf"), float("inf"), -180.0, 180.0)]
+    places = np.r_[np.c_[rng.uniform(-90, 90, 300), rng.uniform(-180, 180, 300)], boxes[:60, [0, 2]], boxes[60:90, [1, 3]]]
+    rect = spark.createDataFrame(rows, "region long, lat_min double, lat_max double, lon_min double, lon_max double")
+    df = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(places)] + [(9000, None, 1.0)], "event_id long, latitude double, longitude double")
+    found = proximity.assign_regions(df, rect)
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+    got = sorted((r.event_id, r.region) for r in found.collect())
+    want = [(k, n + 2) for k in range(len(places))]
+    for k, (a, b) in enumerate(places):
+        inside = (boxes[:, 0] <= a) & (a <= boxes[:, 1]) & (boxes[:, 2] <= b) & (b <= boxes[:, 3])
+        want += [(k, int(r)) for r in np.flatnonzero(inside)]
+    assert len(got) == len(set(got)) and not set(got) ^ set(want) and len(want) > 700
+
+
+@pytest.mark.parametrize("n", [20, 20_000])
+def test_nearest_of_many_stations(spark, n):
+    from vesselspark.operators import extras
+
+    rng = np.random.default_rng(n)
+    dense = np.c_[rng.uniform(10, 12, n // 2), rng.uniform(70, 72, n // 2)]
+    places = np.r_[dense, np.c_[rng.uniform(-60, 60, n - len(dense) - 6), rng.uniform(-180, 180, n - len(dense) - 6)], [(90, 0), (-89.99, 10), (0, 179.99), (0, -179.99), (45, 180), (45, -180)]]
+    stations = spark.createDataFrame([(f"S{k:05d}", float(a), float(b)) for k, (a, b) in enumerate(places)] + [("A", None, 1.0), ("S99999", *map(float, places[0]))], "station_id string, latitude double, longitude double")
+    rows = np.r_[np.c_[rng.uniform(-90, 90, 60), rng.uniform(-180, 180, 60)], np.c_[rng.uniform(9, 13, 40), rng.uniform(69, 73, 40)],
+                 [(89.9, 120), (90, 50), (-90, 0), (0.5, 180), (0.1, -180), (45, 179.999), (45.01, -179.9), places[0], places[-1]]]
+    df = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(rows)] + [(9000, None, 2.0)], "event_id long, latitude double, longitude double")
+    got = {r.event_id: r.station_id for r in extras.nearest_stations(df, stations).collect()}
+    assert len(got) == len(rows) + 1 and got.pop(9000) is None
+    la, lo = np.radians(places[:, 0]), np.radians(places[:, 1])
+    for k, (a, b) in enumerate(np.radians(rows)):
+        h = np.sin((la - a) / 2) ** 2 + np.cos(la) * np.cos(a) * np.sin((lo - b) / 2) ** 2
+        assert h[int(got[k][1:]) if got[k] != "S99999" else 0] <= h.min() + 1e-15
+    assert got[len(rows) - 2] == "S00000"
+    assert extras.nearest_stations(df, stations.limit(0)).where("station_id is not null").count() == 0
+
+
+def test_long_keys_by_parts_of_a_hash(spark):
+    """Salts depend on the row alone, so a rerun deals rows to the same ones."""
+    from vesselspark.operators import extras
+
+    rows = [(f"m{k % 50}", NOW + timedelta(seconds=k), 10.0 + k * 1e-6, 70.0) for k in range(500)]
+    df = spark.createDataFrame(rows, "mmsi string, ts timestamp_ntz, latitude double, longitude double").withColumns({"cell_row": F.lit(1), "cell_column": F.lit(1), "period": F.lit(1)})
+    old, extras.CROWDED = extras.CROWDED, 100
+    try:
+        deals = [{(r.mmsi, r.ts): r.salt for r in extras._salted(df.repartition(parts), df)[0].collect()} for parts in (1, 3)]
+    finally:
+        extras.CROWDED = old
+    assert deals[0] == deals[1] and len(set(deals[0].values())) == 5

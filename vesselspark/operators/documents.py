@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vesselspark.operators.proximity import fixed
+from vesselspark.operators.proximity import in_rectangles
 
 ORDER = ("ts", "event_id")
 
@@ -45,7 +45,8 @@ def port_activity(df: DataFrame, ports: DataFrame) -> DataFrame:
     """Per port with any position within a degree of it: distinct ships, their names in order, and positions."""
     own = ports.select(F.col("name").alias("port_name"), F.col("latitude").alias("port_lat"), F.col("longitude").alias("port_lon"))
     near = (F.abs(F.col("latitude") - F.col("port_lat")) < 1) & (F.abs(F.col("longitude") - F.col("port_lon")) < 1)
-    pairs = df.select("ship_name", "latitude", "longitude").join(fixed(own), near)
+    edges = {f"{name}_{end}": F.col(f"port_{name}") + by for name in ("lat", "lon") for end, by in (("min", -1.0), ("max", 1.0))}
+    pairs = in_rectangles(df.select("ship_name", "latitude", "longitude"), own.withColumns(edges)).where(near)
     ships = pairs.groupBy("port_name", "port_lat", "port_lon", "ship_name").agg(F.count("*").alias("n"))
     return ships.groupBy("port_name", "port_lat", "port_lon").agg(F.count("ship_name").alias("ships"), F.array_join(F.array_sort(F.collect_list("ship_name")), ", ").alias("names"), F.sum("n").alias("n"))
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from vesselspark.functions.geo import haversine
 from vesselspark.operators.history import ais_gaps, seconds_between
-from vesselspark.operators.proximity import around_grid, dimension, near_places, on_grid
+from vesselspark.operators.proximity import KM_A_DEGREE, around_grid, cells, dimension, near_places, on_grid, width_of
 from vesselspark.operators.vectors import cosine
+from vesselspark.tables import write_table
 
 MICROS = 1_000_000
 
@@ -37,7 +38,8 @@ def _salted(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     cell = ["cell_row", "cell_column", "period"]
     crowded = left.groupBy(*cell).count().where(F.col("count") > CROWDED).select(*cell, F.ceil(F.col("count") / CROWDED).alias("salts"))
     salts = F.coalesce("salts", F.lit(1))
-    left = left.join(crowded, cell, "left").withColumn("salt", F.floor(F.rand(7) * salts)).drop("salts")
+    # by what a row is, not where it stands: a task that runs again deals its rows as before
+    left = left.join(crowded, cell, "left").withColumn("salt", F.pmod(F.xxhash64("mmsi", "ts", "latitude", "longitude"), salts)).drop("salts")
     right = right.join(crowded, cell, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts")
     return left, right
 
@@ -97,24 +99,69 @@ def uncorrelated_detections(satellite: DataFrame, ais: DataFrame, km: float = 10
     return cells.join(fixes, condition, "left_anti").drop("cell_row", "cell_column", "period")
 
 
-#: Positions are nearest to one of so few stations; the stations are an expression of each row.
-MAX_STATIONS = 1000
-
-
-def nearest_station(stations: DataFrame) -> Column:
-    """The station nearest to a row's place, ties by id. The stations, a fixed table, become part of the expression."""
-    places = stations.select("station_id", "latitude", "longitude").limit(MAX_STATIONS + 1).collect()
-    if len(places) > MAX_STATIONS:
-        raise ValueError(f"more than {MAX_STATIONS} stations")
-    each = [F.struct(haversine("latitude", "longitude", s.latitude, s.longitude).alias("km"), F.lit(s.station_id).alias("station_id")) for s in places]
-    return F.array_min(F.array(*each))["station_id"]
+#: Up to so many stations are an expression of each row; more meet the rows on grids.
+FEW_STATIONS = 32
+CELL_KM = 20.0
+
+
+def nearest_stations(df: DataFrame, stations: DataFrame) -> DataFrame:
+    """``df`` with ``station_id``, the station nearest to a row's place, ties by id; null for a row without a place, or if
+    there are no stations. Stations without a place take no part.
+
+    Of many stations, those that can be the nearest anywhere in a cell are found for each cell with rows: rings grow around
+    its middle until the nearest station is known, and with it all that are farther from the middle by no more than the
+    cell is wide. A row then looks only at its cell's stations."""
+    own = stations.select(F.col("station_id"), F.col("latitude").alias("s_lat"), F.col("longitude").alias("s_lon")).where("s_lat is not null and s_lon is not null")
+    few = own.limit(FEW_STATIONS + 1).collect()
+    if len(few) <= FEW_STATIONS:
+        each = [F.struct(haversine("latitude", "longitude", s.s_lat, s.s_lon).alias("km"), F.lit(s.station_id).alias("station_id")) for s in few]
+        placed = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+        nearest = F.array_min(F.array(*each))["station_id"] if few else F.lit(None).cast(stations.schema["station_id"].dataType)
+        return df.withColumn("station_id", F.when(placed, nearest))
+    row, column = cells(F.col("latitude"), F.col("longitude"), CELL_KM)
+    marked = df.withColumns({"s_row": row, "s_column": column})
+    candidates = write_table(station_candidates(marked.where("latitude is not null and longitude is not null").select("s_row", "s_column").distinct(), own))
+    # one array a cell: a row meets its cell once, and takes the least of its stations
+    listed = candidates.groupBy("s_row", "s_column").agg(F.collect_list(F.struct("station_id", "s_lat", "s_lon")).alias("near"))
+    joined = marked.join(listed, ["s_row", "s_column"], "left")
+    nearest = F.array_min(F.transform("near", lambda s: F.struct(haversine("latitude", "longitude", s["s_lat"], s["s_lon"]).alias("km"), s["station_id"].alias("station_id"))))
+    return joined.withColumn("station_id", nearest["station_id"]).select(*df.columns, "station_id")
+
+
+def station_candidates(occupied: DataFrame, stations: DataFrame) -> DataFrame:
+    """``(s_row, s_column, station_id, s_lat, s_lon)``: of each cell the stations that may be nearest to a place in it."""
+    height = CELL_KM / KM_A_DEGREE * 1.0001
+    width = width_of(F.col("s_row"), height)
+    low, high = F.col("s_row") * height - 90.0, (F.col("s_row") + 1) * height - 90.0
+    edge = F.when((low <= 0) & (high >= 0), 0.0).otherwise(F.least(F.abs(low), F.abs(high)))
+    # from the middle to any place of the cell: along a meridian, then along a parallel
+    reach = (height / 2 + width / 2 * F.cos(F.radians(F.least(edge, F.lit(90.0))))) * KM_A_DEGREE * 1.0001
+    middle = {"c_lat": F.least(F.lit(90.0), low + height / 2), "c_lon": (F.col("s_column") + 0.5) * width - 180.0, "reach": reach}
+    left, found, km = write_table(occupied.withColumns(middle)), None, 2 * CELL_KM
+    while True:
+        last = km > 20_100
+        around = around_grid(stations, "s_lat", "s_lon", min(km, 20_100.0))
+        met = on_grid(left, "c_lat", "c_lon", min(km, 20_100.0)).join(around, ["cell_row", "cell_column"])
+        met = met.withColumn("km", haversine("c_lat", "c_lon", "s_lat", "s_lon"))
+        bound = met.groupBy("s_row", "s_column").agg((F.min("km") + 2 * F.first("reach")).alias("bound"))
+        # all within km of the middle were met, so a bound below it is a proof
+        bound = bound if last else bound.where(F.col("bound") <= km)
+        some = met.join(bound, ["s_row", "s_column"]).where(F.col("km") <= F.col("bound")).select("s_row", "s_column", "station_id", "s_lat", "s_lon")
+        some = write_table(some)
+        found = some if found is None else found.unionByName(some)
+        if last:
+            return found
+        left = write_table(left.join(some.select("s_row", "s_column").distinct(), ["s_row", "s_column"], "left_anti"))
+        if left.isEmpty():
+            return found
+        km *= 2
 
 
 def weather_at_ships(df: DataFrame, stations: DataFrame, weather: DataFrame, hours: int = 1) -> DataFrame:
     """Each position with the last observation up to its time at the nearest station. Both sides are merged in time order
     within a station and a period of ``hours``; a period begins with the last observation of those before it."""
     period = F.floor(_micros("ts") / (hours * 3600 * MICROS)).alias("period")
-    nearest = df.select("event_id", "ts", nearest_station(stations).alias("station_id"), period)
+    nearest = nearest_stations(df.select("event_id", "ts", "latitude", "longitude"), stations).select("event_id", "ts", "station_id", period)
     seen = weather.select("station_id", "ts", period, F.struct(F.col("ts").alias("observed_at"), "wind_speed_knots", "temperature_c").alias("w"))
     order = Window.partitionBy("station_id").orderBy("period").rowsBetween(Window.unboundedPreceding, -1)
     # one row a station and period
@@ -133,11 +180,9 @@ def weather_at_ships(df: DataFrame, stations: DataFrame, weather: DataFrame, hou
 
 def window_summary(df: DataFrame, hours: int = 24) -> DataFrame:
     """Per vessel and window: mean and largest speed, miles between fixes, sensors, dark fixes, and a line of text."""
-    order = Window.partitionBy("mmsi").orderBy("ts", "event_id")
+    order = Window.partitionBy("mmsi", "bin").orderBy("ts", "event_id")  # legs are within a window, so a vessel's windows may part
     leg = haversine(F.lag("latitude").over(order), F.lag("longitude").over(order), "latitude", "longitude", "nm")
-    start = F.floor(_micros("ts") / (hours * 3600 * MICROS))
-    same = F.lag(start).over(order) == start
-    legs = df.withColumns({"leg": F.when(same, leg), "bin": start})
+    legs = df.withColumn("bin", F.floor(_micros("ts") / (hours * 3600 * MICROS))).withColumn("leg", F.when(F.lag("bin").over(order).isNotNull(), leg))
     each = legs.groupBy("mmsi", "bin").agg(
         F.avg("speed_knots").alias("avg_speed"), F.max("speed_knots").alias("max_speed"), F.coalesce(F.sum("leg"), F.lit(0.0)).alias("distance_nm"),
         F.array_sort(F.collect_set("sensor")).alias("sensors"), F.count_if("is_dark_ship").alias("dark_events"), F.count("*").alias("n"))

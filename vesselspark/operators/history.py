@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vesselspark.functions.geo import haversine
 from vesselspark.operators.filters import speed_anomalies
 from vesselspark.operators.proximity import assign_regions, dimension
+from vesselspark.tables import write_table
 
 NEWEST = ("ts", "event_id")
 
@@ -116,11 +117,23 @@ def latest_tracks(tracks: DataFrame) -> DataFrame:
     return live.groupBy("mmsi").agg(F.max_by(F.struct(*(c for c in live.columns if c != "mmsi")), order).alias("p")).select("mmsi", "p.*")
 
 
-#: A vessel's history is worked on in periods of so many seconds, so that one of very many rows is spread over tasks.
+#: Keys of more rows than this are worked on in periods of so many seconds, so that one of very many rows is spread over
+#: tasks; all others by windows over the whole key. The rows are the same either way.
+SPLIT_ROWS = 1_000_000
 PART_S = 30 * 86_400
 
 
+def _by_size(df: DataFrame, key: str, whole: Callable[[DataFrame], DataFrame], in_parts: Callable[[DataFrame], DataFrame], split: int) -> DataFrame:
+    counts = df.groupBy(F.col(key).alias("hot_key")).agg(F.count("*").alias("n")).where(F.col("n") > split).select("hot_key")
+    if counts.isEmpty():
+        return whole(df)
+    hot = dimension(write_table(counts))
+    same = df[key].eqNullSafe(hot.hot_key)
+    return whole(df.join(hot, same, "left_anti")).unionByName(in_parts(df.join(hot, same, "left_semi")))
+
+
 def _parted(df: DataFrame, key: str) -> DataFrame:
+    """Rows without a time are the first part of their key."""
     seconds = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
     return df.withColumns({"part_key": F.col(key), "part": F.floor(seconds / PART_S)})
 
@@ -130,19 +143,24 @@ def _carried(df: DataFrame, name: str, of_part: Column, before: Callable[[str],
     parts = df.groupBy(F.col("part_key").alias("k"), F.col("part").alias("p")).agg(of_part.alias(name))
     earlier = Window.partitionBy("k").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("k", "p", before(name).over(earlier).alias(name))
-    return df.join(parts, df.part_key.eqNullSafe(parts.k) & (df.part == parts.p)).drop("k", "p")
+    return df.join(parts, df.part_key.eqNullSafe(parts.k) & df.part.eqNullSafe(parts.p)).drop("k", "p")
 
 
-def _order(running: bool = False):
-    order = Window.partitionBy("part_key", "part").orderBy(*NEWEST)
+def _order(*keys: str, running: bool = False):
+    order = Window.partitionBy(*(keys or ("part_key", "part"))).orderBy(*NEWEST)
     return order.rowsBetween(Window.unboundedPreceding, Window.currentRow) if running else order
 
 
-def with_previous(df: DataFrame, key: str, *columns: str) -> DataFrame:
-    """``df`` with ``previous``: those columns of the row before of the same key, null for the first one."""
+def with_previous(df: DataFrame, key: str, *columns: str, split: int = SPLIT_ROWS) -> DataFrame:
+    """``df`` with ``previous``: those columns of the row before of the same key, null for the first one. Rows without a time
+    come first."""
     row = F.struct(*columns)
-    found = _carried(_parted(df, key), "previous", F.max_by(row, F.struct(*NEWEST)), lambda c: F.last(c))
-    return found.withColumn("previous", F.coalesce(F.lag(row).over(_order()), "previous")).drop("part_key", "part")
+
+    def in_parts(some: DataFrame) -> DataFrame:
+        found = _carried(_parted(some, key), "previous", F.max_by(row, F.struct(*NEWEST)), lambda c: F.last(c))
+        return found.withColumn("previous", F.coalesce(F.lag(row).over(_order()), "previous")).drop("part_key", "part")
+
+    return _by_size(df, key, lambda some: some.withColumn("previous", F.lag(row).over(_order(key))), in_parts, split)
 
 
 def ais_gaps(df: DataFrame, hours: float = 6.0, key: str = "mmsi") -> DataFrame:
@@ -156,13 +174,22 @@ def ais_gaps(df: DataFrame, hours: float = 6.0, key: str = "mmsi") -> DataFrame:
                         F.col("latitude").alias("next_latitude"), F.col("longitude").alias("next_longitude"), jump.alias("jump_nm"))
 
 
-def segment_tracks(df: DataFrame, gap_s: float = 120.0, key: str = "mmsi") -> DataFrame:
-    """Each row with the number of its track: a vessel silent for more than ``gap_s`` opens a new one."""
+def segment_tracks(df: DataFrame, gap_s: float = 120.0, key: str = "mmsi", split: int = SPLIT_ROWS) -> DataFrame:
+    """Each row with the number of its track: a vessel silent for more than ``gap_s`` opens a new one. Rows without a time
+    are of the first track."""
     opens = F.coalesce((seconds_between(F.col("previous.ts"), F.col("ts")) > gap_s).cast("int"), F.lit(0))
-    marked = _parted(with_previous(df, key, "ts").withColumn("opens", opens).drop("previous"), key)
-    found = _carried(marked, "opened", F.sum("opens"), lambda c: F.sum(c))
-    segment = F.coalesce("opened", F.lit(0)) + F.sum("opens").over(_order(running=True))
-    return found.withColumn("segment", segment).drop("opens", "opened", "part_key", "part")
+
+    def whole(some: DataFrame) -> DataFrame:
+        marked = some.withColumn("previous", F.lag(F.struct("ts")).over(_order(key))).withColumn("opens", opens)
+        return marked.withColumn("segment", F.sum("opens").over(_order(key, running=True))).drop("opens", "previous")
+
+    def in_parts(some: DataFrame) -> DataFrame:
+        marked = _parted(with_previous(some, key, "ts", split=0).withColumn("opens", opens).drop("previous"), key)
+        found = _carried(marked, "opened", F.sum("opens"), lambda c: F.sum(c))
+        segment = F.coalesce("opened", F.lit(0)) + F.sum("opens").over(_order(running=True))
+        return found.withColumn("segment", segment).drop("opens", "opened", "part_key", "part")
+
+    return _by_size(df, key, whole, in_parts, split)
 
 
 def recent_speed_anomalies(df: DataFrame, n: int = 50_000, shown: int = 20, knots: float = 25.0) -> DataFrame:
@@ -170,27 +197,35 @@ def recent_speed_anomalies(df: DataFrame, n: int = 50_000, shown: int = 20, knot
 
 
 def track_ends(df: DataFrame, mmsi: str, k: int = 5) -> DataFrame:
-    """The newest ``k`` rows of a vessel, and the earliest ``k`` too if it has more than twice as many rows."""
+    """The newest ``k`` rows of a vessel, and the earliest ``k`` too if it has more than twice as many rows. Each end is a
+    top-k of all tasks' own, so no task sorts the vessel's rows."""
     own = df.where(F.col("mmsi") == mmsi)
-    everything = Window.partitionBy("mmsi")
-    order = everything.orderBy(*NEWEST)
-    back = everything.orderBy(*(F.desc(c) for c in NEWEST))
-    ranked = own.withColumns({"n": F.count("*").over(everything), "at": F.row_number().over(order), "back": F.row_number().over(back)})
-    end = F.when(F.col("back") <= k, "last").when((F.col("at") <= k) & (F.col("n") > 2 * k), "first")
-    return ranked.withColumn("end", end).where("end is not null").drop("n", "at", "back")
+    last = own.orderBy(*(F.desc(c) for c in NEWEST)).limit(k).withColumn("end", F.lit("last"))
+    if own.limit(2 * k + 1).count() <= 2 * k:
+        return last
+    return last.unionByName(own.orderBy(*NEWEST).limit(k).withColumn("end", F.lit("first")))
 
 
 def latest_alerts(alerts: DataFrame, n: int = 100) -> DataFrame:
     return alerts.orderBy(F.desc("event_timestamp"), "track_id").limit(n)
 
 
-def ais_gap_asof(df: DataFrame, recent_s: float = 120.0, key: str = "mmsi") -> DataFrame:
-    """At each row: the vessel's last AIS fix up to then, the seconds since, and whether another sensor saw it recently."""
+def ais_gap_asof(df: DataFrame, recent_s: float = 120.0, key: str = "mmsi", split: int = SPLIT_ROWS) -> DataFrame:
+    """At each row: the vessel's last AIS fix up to then, the seconds since, and whether another sensor saw it recently. Rows
+    without a time come first and see nothing."""
     kinds = {"ais": F.when(F.col("sensor") == "ais", F.col("ts")), "other": F.when(F.col("sensor") != "ais", F.col("ts"))}
-    found = _parted(df, key)
-    for name, ts in kinds.items():
-        found = _carried(found, f"{name}_before", F.max(ts), lambda c: F.max(c))
-    last = {name: F.greatest(F.max(ts).over(_order(running=True)), f"{name}_before") for name, ts in kinds.items()}
-    return found.withColumns({
-        "ais_last_seen": last["ais"], "ais_gap_seconds": seconds_between(last["ais"], F.col("ts")),
-        "recent_non_ais": F.coalesce(seconds_between(last["other"], F.col("ts")) < recent_s, F.lit(False))}).drop("part_key", "part", "ais_before", "other_before")
+
+    def seen(found: DataFrame, last: dict[str, Column]) -> DataFrame:
+        return found.withColumns({
+            "ais_last_seen": last["ais"], "ais_gap_seconds": seconds_between(last["ais"], F.col("ts")),
+            "recent_non_ais": F.coalesce(seconds_between(last["other"], F.col("ts")) < recent_s, F.lit(False))})
+
+    def in_parts(some: DataFrame) -> DataFrame:
+        found = _parted(some, key)
+        for name, ts in kinds.items():
+            found = _carried(found, f"{name}_before", F.max(ts), lambda c: F.max(c))
+        last = {name: F.greatest(F.max(ts).over(_order(running=True)), f"{name}_before") for name, ts in kinds.items()}
+        return seen(found, last).drop("part_key", "part", "ais_before", "other_before")
+
+    whole = {name: F.max(ts).over(_order(key, running=True)) for name, ts in kinds.items()}
+    return _by_size(df, key, lambda some: seen(some, whole), in_parts, split)

@@ -12,6 +12,10 @@ from vesselspark.operators.filters import active_tracks
 
 #: A broadcast side has at most this many rows; more places are met on grid cells.
 DIMENSION_ROWS = 10_000
+#: Up to so many places or rectangles are tried at each row.
+NESTED_ROWS = 500
+#: Rectangles lie on cells of levels 0 to FINEST; a level's cells are half as wide as those of the one before.
+WORLD, FINEST = 1024.0, 24
 #: Places whose radius is below so many kilometres share a grid, from small to large.
 GRIDS_KM = (5.0, 20.0, 80.0, 320.0, 1280.0, 20_100.0)
 KM_A_DEGREE = 6371.0 * math.pi / 180
@@ -26,11 +30,43 @@ def dimension(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if is_small(df) else df
 
 
-def fixed(df: DataFrame) -> DataFrame:
-    """``df`` for a broadcast that a join by ranges needs; an error if it is no dimension."""
-    if not is_small(df):
-        raise ValueError(f"more than {DIMENSION_ROWS} rectangles")
-    return F.broadcast(df)
+def is_few(df: DataFrame) -> bool:
+    """Few enough to try all of them at each row."""
+    return df.limit(NESTED_ROWS + 1).count() <= NESTED_ROWS
+
+
+def _between(row: str) -> Column:
+    inside = F.col("latitude").between(F.col(f"{row}lat_min"), F.col(f"{row}lat_max"))
+    return inside & F.col("longitude").between(F.col(f"{row}lon_min"), F.col(f"{row}lon_max"))
+
+
+def _level(extent: Column) -> Column:
+    """The finest level whose cells are not smaller than a fourth of the extent; cells of level 0 are 1024 degrees wide."""
+    return F.greatest(F.lit(0), F.least(F.lit(FINEST), F.floor(F.log2(F.lit(4.0 * WORLD) / F.greatest(extent, F.lit(1e-9)))))).cast("int")
+
+
+def _clipped(degrees: Column) -> Column:
+    return F.greatest(F.lit(-WORLD / 2), F.least(F.lit(WORLD / 2), degrees))
+
+
+def in_rectangles(df: DataFrame, rectangles: DataFrame) -> DataFrame:
+    """Rows paired with each rectangle ``(lat_min, lat_max, lon_min, lon_max, ...)`` they lie in, edges included. A few are
+    tried at each row. Of many, each is covered by cells of the level that suits its larger side, 25 at most, and rows
+    look up their own cell of each level in use; an equal-key join, so neither side has to be small. A rectangle with a
+    null or crossed edge holds nothing."""
+    if is_few(rectangles):
+        return df.join(F.broadcast(rectangles), _between(""))
+    edges = [_clipped(F.col(c)) for c in ("lat_min", "lat_max", "lon_min", "lon_max")]
+    level = _level(F.greatest(edges[1] - edges[0], edges[3] - edges[2]))
+    leveled = rectangles.where("lat_min <= lat_max and lon_min <= lon_max").withColumn("q_level", level)
+    used = [r.q_level for r in leveled.select("q_level").distinct().collect()]  # FINEST + 1 at most
+    cell = lambda degrees, level: F.floor(degrees / F.pow(F.lit(2.0), -level) / WORLD).cast("long")
+    span = lambda low, high: F.sequence(cell(low, F.col("q_level")), cell(high, F.col("q_level")))
+    covered = leveled.withColumn("q_row", F.explode(span(*edges[:2]))).withColumn("q_column", F.explode(span(*edges[2:])))
+    levels = F.array(*[F.lit(k) for k in sorted(used)]).cast("array<int>")
+    rows = df.where("latitude is not null and longitude is not null").withColumn("q_level", F.explode(levels))
+    rows = rows.withColumns({"q_row": cell(_clipped(F.col("latitude")), F.col("q_level")), "q_column": cell(_clipped(F.col("longitude")), F.col("q_level"))})
+    return rows.join(covered, ["q_level", "q_row", "q_column"]).where(_between("")).drop("q_level", "q_row", "q_column")
 
 
 def _box(km: Column | float, lat: Column, lon: Column, other_lat: Column, other_lon: Column) -> Column:
@@ -81,7 +117,7 @@ def near_places(df: DataFrame, places: DataFrame, radius_nm: str, strict: bool =
     lat, lon, radius = F.col("place_latitude"), F.col("place_longitude"), F.col(f"place_{radius_nm}")
     distance = haversine("latitude", "longitude", lat, lon, "nm")
     near = distance < radius if strict else distance <= radius
-    if is_small(own):
+    if is_few(own):
         box = _box(radius * 1.852 * 1.001, F.col("latitude"), F.col("longitude"), lat, lon)
         return df.join(F.broadcast(own), box & near).withColumn("distance_nm", distance)
     km, found, low = radius * 1.852 * 1.001, None, -1.0
@@ -114,8 +150,7 @@ def radar_coverage(df: DataFrame, stations: DataFrame, weather: float = 1.0) ->
 
 def swath_coverage(df: DataFrame, passes: DataFrame) -> DataFrame:
     """Rows inside the rectangle of each pass ``(pass_id, sensor_type, cloud_cover, lat_min, lat_max, lon_min, lon_max)``."""
-    inside = F.col("latitude").between(F.col("lat_min"), F.col("lat_max")) & F.col("longitude").between(F.col("lon_min"), F.col("lon_max"))
-    return df.join(fixed(passes), inside).withColumn("probability", satellite_probability("sensor_type", "cloud_cover"))
+    return in_rectangles(df, passes).withColumn("probability", satellite_probability("sensor_type", "cloud_cover"))
 
 
 def patrol_coverage(df: DataFrame, zones: DataFrame) -> DataFrame:
@@ -124,8 +159,7 @@ def patrol_coverage(df: DataFrame, zones: DataFrame) -> DataFrame:
 
 def assign_regions(df: DataFrame, regions: DataFrame) -> DataFrame:
     """Each row with each region it lies in; regions may overlap."""
-    inside = F.col("latitude").between(F.col("lat_min"), F.col("lat_max")) & F.col("longitude").between(F.col("lon_min"), F.col("lon_max"))
-    return df.join(fixed(regions), inside)
+    return in_rectangles(df, regions)
 
 
 def cells(lat: Column, lon: Column, km: float) -> tuple[Column, Column]:

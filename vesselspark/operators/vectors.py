@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from vesselspark import config
 from vesselspark.meetings import BLOCK, PART, block_of, blocks_of, everywhere, meet
 from vesselspark.operators.filters import match_filters
+from vesselspark.tables import write_table
 
 BATCH = 50
 
@@ -107,17 +108,34 @@ def item_id(columns: list[str]) -> Column:
     return F.coalesce(*ids, F.sha2(F.to_json(F.struct(*sorted(columns))), 256))
 
 
-def rrf_fuse(lists: dict[str, DataFrame], weights: dict[str, float] | None = None, k: int = config.RRF_K, longest: int = 10_000) -> DataFrame:
-    """Ranked lists with an order column ``position`` -> ``item_id, fusion_score, payload``, best first. Of each list the
-    first ``longest`` items are ranked, more being no top-k list. A list adds its
-    weight over k plus the rank from zero, once for each time it holds the item. The payload, as JSON, is of the first
-    list that has the item, but the last one of the structured list. Ties keep the order of lists, then ranks."""
+#: A list of up to so many items is ranked by one window.
+SHORT_LIST = 10_000
+
+
+def ranked(df: DataFrame, position: str = "position", short: int = SHORT_LIST) -> DataFrame:
+    """``df`` with ``rank``, from zero, by ``position``; those that tie by all of their columns. A long list is cut into
+    ranges of positions, and a row's rank is what the ranges before its own hold and its place within it."""
+    names = [c for c in df.columns if c != position]
+    order = [F.col(position), F.to_json(F.struct(*names))]
+    if df.limit(short + 1).count() <= short:
+        return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
+    ranges = write_table(df.repartitionByRange(*order).withColumn("rank_range", F.spark_partition_id()))
+    sizes = ranges.groupBy("rank_range").agg(F.count("*").alias("rank_size"))  # a row a partition
+    before = F.sum("rank_size").over(Window.orderBy("rank_range").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("rank_range", F.coalesce(before, F.lit(0)).alias("rank_before"))
+    within = F.row_number().over(Window.partitionBy("rank_range").orderBy(*order))
+    return ranges.join(F.broadcast(sizes), "rank_range").withColumn("rank", F.col("rank_before") + within - 1).drop("rank_range", "rank_before")
+
+
+def rrf_fuse(lists: dict[str, DataFrame], weights: dict[str, float] | None = None, k: int = config.RRF_K, short: int = SHORT_LIST) -> DataFrame:
+    """Ranked lists of any length with an order column ``position`` -> ``item_id, fusion_score, payload``, best first. A list
+    adds its weight over k plus the rank from zero, once for each time it holds the item. The payload, as JSON, is of the
+    first list that has the item, but the last one of the structured list. Ties keep the order of lists, then ranks."""
     weights = weights or config.RRF_WEIGHTS
     every = None
     for place, (name, df) in enumerate(lists.items()):
         fields = [c for c in df.columns if c != "position"]
-        rank = F.row_number().over(Window.orderBy("position")) - 1  # over a list of bounded length
-        part = df.orderBy("position").limit(longest).select(item_id(fields).alias("item_id"), rank.alias("rank"), F.to_json(F.struct(*fields)).alias("payload"))
+        part = ranked(df, "position", short).select(item_id(fields).alias("item_id"), "rank", F.to_json(F.struct(*fields)).alias("payload"))
         part = part.select("item_id", "rank", "payload", F.lit(place).alias("place"), (F.lit(float(weights[name])) / (k + F.col("rank"))).alias("score"),
                            F.struct(F.lit(place).alias("list"), (-F.col("rank") if name == "structured" else F.col("rank")).alias("at")).alias("order"))
         every = part if every is None else every.unionByName(part)
@@ -131,34 +149,58 @@ def hybrid_search(structured: DataFrame, semantic: DataFrame, live: DataFrame, f
     return rrf_fuse({"structured": structured, "semantic": semantic, "realtime": live})
 
 
+#: Queries that are multiplied with a block at once.
+ASKED = 512
+
+
 class VectorBlock:
-    """Unit vectors of a block; each query's ``k`` nearest among them."""
+    """Unit vectors of a block by their length; each query's ``k`` nearest among those as long as it."""
 
     def __init__(self, rows: pa.Table, k: int):
-        self.keys, self.vectors, self.k = rows.column(0).to_numpy(), unit_rows(rows), k
+        self.k = k
+        self.groups = {size: (keys[order], vectors[order]) for size, (keys, vectors) in unit_rows(rows).items() for order in [np.argsort(keys, kind="stable")]}
 
     def ask(self, rows: pa.Table) -> pa.RecordBatch:
-        ids, scores = rows.column(0).to_numpy(), unit_rows(rows) @ self.vectors.T
-        order = np.lexsort((np.broadcast_to(self.keys, scores.shape), -scores), axis=1)[:, : self.k]
-        found = [np.repeat(ids, order.shape[1]), self.keys[order].ravel(), np.take_along_axis(scores, order, axis=1).ravel()]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "key", "similarity"])
+        out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
+        for size, (ids, asked) in unit_rows(rows).items():
+            if size not in self.groups:
+                continue
+            keys, vectors = self.groups[size]
+            k = min(self.k, len(keys))
+            for at in range(0, len(ids) if k else 0, ASKED):
+                scores = asked[at : at + ASKED] @ vectors.T
+                least = np.partition(scores, len(keys) - k, axis=1)[:, len(keys) - k]
+                for query, row, low in zip(ids[at : at + ASKED], scores, least):
+                    near = np.flatnonzero(row >= low)  # in the order of keys
+                    near = near[np.argsort(-row[near], kind="stable")][:k]
+                    for column, values in zip(out, (np.full(k, query), keys[near], row[near])):
+                        column.append(values)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "key", "similarity"])
 
     def end(self) -> None:
         return None
 
 
-def unit_rows(rows: pa.Table) -> np.ndarray:
+def unit_rows(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Keys and unit vectors, by the length of the vectors."""
     column = rows.column("embedding").combine_chunks()
-    matrix = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-    return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+    keys, lengths = rows.column(0).to_numpy(), np.diff(column.offsets.to_numpy())
+    values, starts = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.cumsum(lengths) - lengths
+    found = {}
+    for size in np.unique(lengths).tolist():
+        own = np.flatnonzero(lengths == size)
+        matrix = values[starts[own][:, None] + np.arange(size)]
+        found[size] = keys[own], matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+    return found
 
 
 def batch_search(docs: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", block: int = BLOCK) -> DataFrame:
     """``(query_id, rank, key, similarity)``: the ``k`` nearest of each query ``(query_id, embedding)``. Documents lie in
-    blocks that queries stream through; a block returns its best ``k`` a query. Vectors are of one length; rows without a
-    key or a vector take no part."""
-    rows = docs.select(F.col(key).cast("long").alias("key"), "embedding").where("key is not null and embedding is not null")
-    asked = queries.select(F.col("query_id").cast("long").alias("key"), "embedding").where("key is not null and embedding is not null")
+    blocks that queries stream through; a block returns its best ``k`` a query. A query meets vectors of its own length; rows
+    without a key or a vector, or with components null or not finite, take no part."""
+    fine = F.col("key").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+    rows = docs.select(F.col(key).cast("long").alias("key"), "embedding").where(fine)
+    asked = queries.select(F.col("query_id").cast("long").alias("key"), "embedding").where(fine)
     n_blocks, n_parts = blocks_of(rows.count(), block), blocks_of(asked.count(), PART)
     found = meet(rows, asked, block_of(F.col("key"), n_blocks), everywhere(n_blocks), n_blocks, n_parts, lambda own: VectorBlock(own, k), "query_id long, key long, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "key")
