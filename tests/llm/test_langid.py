@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
+from vesselspark.llm import langid
 from vesselspark.llm.langid import START, UNKNOWN, LanguageModel, Scorer, Vocabulary, identify, log_sums, public_pieces, train
 from vesselspark.llm.queries import op5_language
 
@@ -82,6 +83,62 @@ def test_public_vocabulary_and_long_words():
     assert time.time() - began < 60
 
 
+def segmentations(word):
+    """All of them, as lists of pieces; None stands for a character that is none."""
+    if not word:
+        return [[]]
+    found = []
+    for n in range(1, len(word) + 1):
+        if word[:n] in PIECES or n == 1:
+            found += [[word[:n] if word[:n] in PIECES else None, *rest] for rest in segmentations(word[n:])]
+    return found
+
+
+def counted(words, counts, known):
+    """Expected counts by listing every segmentation."""
+    expected = np.zeros(len(PIECES) + 1)
+    for word, count in zip(words, counts):
+        every = segmentations(word)
+        weights = np.array([math.prod(UNKNOWN if p is None else known[PIECES.index(p)] for p in own) for own in every])
+        for own, share in zip(every, weights / weights.sum()):
+            for p in own:
+                if p is not None:
+                    expected[PIECES.index(p)] += count * share
+    return expected
+
+
+@pytest.mark.parametrize("long", [48, 0])
+def test_learning_against_all_segmentations(long, monkeypatch):
+    """Words as a whole, together or one at a time in small slabs, over two rounds."""
+    monkeypatch.setattr(langid, "LONG", long)
+    monkeypatch.setattr(langid, "SLAB", 3)
+    words = [START + w for w in ("a", "ab", "abab", "zzab", "abaab.", "ü!", "!.!.", "aa.", "ababababa", "z")]
+    counts = np.arange(1.0, len(words) + 1)
+    known = np.full(len(PIECES) + 1, 1 / len(PIECES))
+    for _ in range(2):
+        expected = counted(words, counts, known) + 0.1
+        expected[-1] = 0
+        known = expected / expected.sum()
+    assert np.allclose(langid._learn(Vocabulary(PIECES), words, counts, 2), known, rtol=1e-9)
+
+
+def test_learning_from_words_of_any_length():
+    """A word of 60,000 characters, cut nowhere: its expectations grow with it, and cover it wholly."""
+    vocabulary, known = Vocabulary(PIECES), model().weights[:, 0]
+    one, two, three = (langid._expected_of_long(vocabulary, known, "ab" * n) for n in (100, 200, 30_000))
+    lengths = np.array([len(p) for p in PIECES] + [0])
+    assert (one @ lengths, two @ lengths, three @ lengths) == pytest.approx((200, 400, 60_000))
+    assert np.allclose(three, two + (two - one) * 298, rtol=1e-6)
+    began = time.time()
+    langid._expected_of_long(Vocabulary(public_pieces(P.path("piece_bpe_32k.model"))), np.full(40_000, 1e-5), "abcü日本" * 20_000)
+    assert time.time() - began < 20
+
+
+def test_ties_go_to_the_first_name():
+    equal = LanguageModel(["aa", "bb", "cc"], PIECES, np.tile(model().weights[:, :1], 3))
+    assert Scorer(equal).predict(["ab", "zz"])[0] == ["aa", "aa"]
+
+
 def test_texts_add_up():
     scorer = Scorer(model())
     logs = scorer.logs(["ab a", "ab", "a", "b" * 100, ""])

@@ -39,7 +39,8 @@ CELLS = 1 << 17  # code points of words that are summed at once, and so many wor
 WORDS = 1 << 12
 LOOKED_UP = 1 << 13
 FEW = 64
-PART = 48  # the expectations of a longer word of the sample are taken in parts of so many characters
+LONG = 48  # expectations of longer words are taken a word at a time, in slabs of SLAB characters and scaled every BLOCK
+SLAB = 1 << 13
 
 
 class Vocabulary:
@@ -216,9 +217,7 @@ def _word_counts(split: Callable[[str], tuple[str, str]]) -> Callable[[Iterator[
         for batch in batches:
             langs, words = [], []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                marked = [START + w for w in (text or "").split()]
-                parts = [w[at : at + PART] for w in marked for at in range(0, len(w), PART)]
-                own = [y for x in parts for y in split(x) if y]
+                own = [part for w in (text or "").split() for part in split(START + w) if part]
                 langs += [lang] * len(own)
                 words += own
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string())], ["lang", "word"])
@@ -267,7 +266,7 @@ def train(docs: DataFrame, pieces_path: str, id_col: str = "doc_id", text_col: s
 
 
 def _forward(lattice: list[np.ndarray], known: np.ndarray, width: int) -> np.ndarray:
-    """Sums over all segmentations of each word's first t characters, times SCALE**t, for words of at most PART ones."""
+    """Sums over all segmentations of each word's first t characters, times SCALE**t, for words of at most LONG ones."""
     sums = np.zeros((width + 1, lattice[0].shape[0], 1))
     scaled = [known[:, None] * SCALE**n for n in range(len(lattice) + 1)]
     scaled[1][-1] = UNKNOWN * SCALE
@@ -277,31 +276,98 @@ def _forward(lattice: list[np.ndarray], known: np.ndarray, width: int) -> np.nda
     return padded[len(lattice) :, :, 0]
 
 
+def _expected(vocabulary: Vocabulary, known: np.ndarray, words: list[str], counts: np.ndarray) -> np.ndarray:
+    """How often each piece is expected in all segmentations of words of at most LONG characters, by their probabilities."""
+    expected = np.zeros(vocabulary.size + 1)
+    by_length = np.argsort([len(w) for w in words], kind="stable")
+    for at in range(0, len(words), WORDS):
+        part = by_length[at : at + WORDS]
+        points, lengths = _matrix([words[k] for k in part])
+        lattice, width = _lattice(vocabulary, points), points.shape[1]
+        ahead = _forward(lattice, known, width)
+        behind = np.zeros((width + 1, len(part)))  # the same sums over the characters from t on
+        behind[lengths, np.arange(len(part))] = 1
+        single = np.where(lattice[0] < vocabulary.size, known[lattice[0]], UNKNOWN) * SCALE
+        for t in range(width - 1, -1, -1):
+            behind[t] += behind[t + 1] * np.where(points[:, t] != 0, single[:, t], 0)
+            for n in range(2, min(width - t, len(lattice)) + 1):
+                behind[t] += behind[t + n] * known[lattice[n - 1][:, t]] * SCALE**n
+        weight = counts[part] / behind[0]
+        for n, found in enumerate(lattice, 1):
+            for t in range(width - n + 1):
+                piece = found[:, t]
+                share = ahead[t] * known[piece] * SCALE**n * behind[t + n] * weight
+                expected += np.bincount(piece, share, len(expected))
+    return expected
+
+
+def _slab(vocabulary: Vocabulary, known: np.ndarray, points: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and weights (starts x lengths) of the pieces of one word that start from ``low`` to ``high``."""
+    reach = vocabulary.longest
+    pieces = np.full((high - low, reach), vocabulary.size, dtype=np.int32)
+    for n, found in enumerate(_lattice(vocabulary, points[None, low : high + reach - 1]), 1):
+        own = found[0, : high - low]
+        pieces[: len(own), n - 1] = own
+    weights = known[pieces]
+    weights[pieces[:, 0] == vocabulary.size, 0] = UNKNOWN
+    return pieces, weights
+
+
+def _log_chain(slabs: Iterator[np.ndarray], size: int, reach: int) -> np.ndarray:
+    """Logarithms of sums along a word: each is the weights of a row, nearest last, times the ``reach`` sums before it."""
+    logs, at, shift = np.zeros(size + 1), 0, 0.0
+    window = np.zeros(reach)
+    window[-1] = 1
+    for rows in slabs:
+        for begin in range(0, len(rows), BLOCK):
+            part = rows[begin : begin + BLOCK]
+            sums = np.concatenate([window, np.empty(len(part))])
+            for t, row in enumerate(part):
+                sums[reach + t] = row @ sums[t : reach + t]
+            logs[at + 1 : at + 1 + len(part)] = np.log(sums[reach:]) + shift
+            at += len(part)
+            shift += float(np.log(sums[-1]))
+            window = sums[-reach:] / sums[-1]
+    return logs
+
+
+def _expected_of_long(vocabulary: Vocabulary, known: np.ndarray, word: str) -> np.ndarray:
+    """The same of one word of any length: its whole segmentations, with two logarithms a character held."""
+    points, size, reach = _matrix([word])[0][0], len(word), vocabulary.longest
+
+    def by_end(low: int, high: int) -> np.ndarray:
+        """Weights of pieces that end after ``low`` up to ``high``, those of length n in column reach - n."""
+        first = max(0, low - reach + 1)
+        weights = np.concatenate([np.zeros((first - (low - reach + 1), reach)), _slab(vocabulary, known, points, first, high)[1]])
+        columns = [weights[reach - n : reach - n + high - low, n - 1] for n in range(reach, 0, -1)]
+        return np.stack(columns, axis=1)
+
+    starts = range(0, size, SLAB)
+    ahead = _log_chain((by_end(low, min(size, low + SLAB)) for low in starts), size, reach)
+    back = (_slab(vocabulary, known, points, low, min(size, low + SLAB))[1][::-1, ::-1] for low in reversed(starts))
+    behind = _log_chain(back, size, reach)[::-1]
+    expected, beyond = np.zeros(vocabulary.size + 1), np.r_[behind, np.zeros(reach)]
+    for low in starts:
+        high = min(size, low + SLAB)
+        pieces, weights = _slab(vocabulary, known, points, low, high)
+        for n in range(1, reach + 1):
+            hit = np.flatnonzero(pieces[:, n - 1] < vocabulary.size)
+            share = np.exp(ahead[low + hit] + beyond[low + hit + n] - ahead[size]) * weights[hit, n - 1]
+            expected += np.bincount(pieces[hit, n - 1], share, len(expected))
+    return expected
+
+
 def _learn(vocabulary: Vocabulary, words: list[str], counts: np.ndarray, rounds: int) -> np.ndarray:
-    """One language's piece probabilities by expectation maximisation, smoothed by a tenth of a count each."""
+    """One language's piece probabilities by expectation maximisation over whole words, smoothed by a tenth of a count
+    each."""
     known = np.full(vocabulary.size + 1, 1 / vocabulary.size)
     known[-1] = 0
+    is_long = np.array([len(w) > LONG for w in words], dtype=bool)
+    short, long = [[w for w, own in zip(words, is_long) if own == kind] for kind in (False, True)]
     for _ in range(rounds):
-        expected = np.full(vocabulary.size + 1, 0.1)
-        by_length = np.argsort([len(w) for w in words], kind="stable")
-        for at in range(0, len(words), WORDS):
-            part = by_length[at : at + WORDS]
-            points, lengths = _matrix([words[k] for k in part])
-            lattice, width = _lattice(vocabulary, points), points.shape[1]
-            ahead = _forward(lattice, known, width)
-            behind = np.zeros((width + 1, len(part)))  # the same sums over the characters from t on
-            behind[lengths, np.arange(len(part))] = 1
-            single = np.where(lattice[0] < vocabulary.size, known[lattice[0]], UNKNOWN) * SCALE
-            for t in range(width - 1, -1, -1):
-                behind[t] += behind[t + 1] * np.where(points[:, t] != 0, single[:, t], 0)
-                for n in range(2, min(width - t, len(lattice)) + 1):
-                    behind[t] += behind[t + n] * known[lattice[n - 1][:, t]] * SCALE**n
-            weight = counts[part] / behind[0]
-            for n, found in enumerate(lattice, 1):
-                for t in range(width - n + 1):
-                    piece = found[:, t]
-                    share = ahead[t] * known[piece] * SCALE**n * behind[t + n] * weight
-                    expected += np.bincount(piece, share, len(expected))
+        expected = _expected(vocabulary, known, short, counts[~is_long]) + 0.1
+        for word, count in zip(long, counts[is_long]):
+            expected += count * _expected_of_long(vocabulary, known, word)
         expected[-1] = 0
         known = expected / expected.sum()
     return known
