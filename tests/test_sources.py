@@ -165,6 +165,61 @@ def test_radar(spark, tmp_path):
     assert radar.decode_heartbeat(frames).count() == 1
 
 
+def stream_of_frames(rnd, n):
+    """Frames of all types with junk, broken headers and long frames between, and text that a reader may trip over."""
+    out = [rnd.choice([b"", b"\xef\xbb\xbf"])]
+    for k in range(n):
+        long = rnd.choice([34, 34, 34, 60, 400, 3000, 65_535 if k % 97 == 0 else 90])
+        out.append(rnd.choice([
+            struct.pack(">HHIIiiHHfHHBB", 0x0100, long, k, k, 10 * k, 256 * 10, 125, 2450, 25.5, 153, 900, 85, 0) + bytes(rnd.choices([10, 13, 1, 0, 255], k=long - 34)),
+            struct.pack(">HHIIiiB3x", 0x0101, 24, k, 9, -5, 10, 3), struct.pack(">HHI", 0x0300, 8, 0x0A0A0A0A), struct.pack(">HHI", 0x0100, 20, k), struct.pack(">HHI", 0x0100, 3, k),
+            b"\n\n", b"\r\n", bytes(rnd.randrange(256) for _ in range(rnd.randint(0, 30))), b"\x01\x00", b"\x00" * 9]))
+    return b"".join(out)
+
+
+def test_block_exits_against_a_scan():
+    rnd = random.Random(5)
+    for _ in range(60):
+        data = stream_of_frames(rnd, 12)[:700]
+        size = rnd.randint(1, len(data))
+        found = radar.block_exits(data, size, True)
+        for entry in range(len(found)):
+            at, ended = entry, False
+            while at < size and not ended:
+                kind, length = struct.unpack_from(">HH", data, at) if at + 8 <= len(data) else (None, 0)
+                least = radar.LEAST.get(kind)
+                if kind is None or (least and length >= 8 and at + length > len(data)):
+                    ended = True
+                else:
+                    at += length if least and length >= max(8, least) else 1
+            assert found[entry] == (radar.ENDED if ended else at - size)
+
+
+@pytest.mark.parametrize("block", [70_000, 1 << 20])
+def test_radar_files_in_splits(spark, tmp_path, block):
+    rnd = random.Random(block)
+    contents = {name: stream_of_frames(rnd, n) for name, n in (("a.bin", 1500), ("b c.bin", 700), ("tail.bin", 300))}
+    contents["tail.bin"] += struct.pack(">HHI", 0x0100, 400, 1) + b"\n\n"
+    contents["feeds.bin"] = b"\n" * 90_000 + update() + b"\n"
+    contents["small.bin"] = update() + update(7)
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        got = radar.read_radar(spark, str(tmp_path), 1000, block).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    from urllib.parse import unquote
+
+    found = {}
+    for r in got:
+        found.setdefault(unquote(r.source).rsplit("/", 1)[-1], []).append((r.at, r.message_type, r.epoch, bytes(r.frame), repr(r.float_value)))
+    for name, data in contents.items():
+        want = [(at, kind, epoch, frame, repr(None if x != x else x)) for at, kind, epoch, frame, x in radar.find_frames(data)]  # no number is null
+        assert sorted(found.get(name, [])) == want, name
+
+
 def test_satellite(spark, tmp_path):
     properties = {"detection_id": "D1", "timestamp": "2025-01-01T10:00:00Z", "confidence": 0.9, "vessel_length_m": 120.0, "is_dark_ship": True}
     features = [{"type": "Feature", "id": "F1", "geometry": {"type": "Point", "coordinates": [72.5, 18.5]}, "properties": properties},

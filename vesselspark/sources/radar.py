@@ -1,20 +1,30 @@
-"""Coastal radar frames. A file's frames follow one another, so finding them is a scan per file; fields are then read."""
+"""Coastal radar frames; fields are read once the frames are found.
+
+A file's frames follow one another, so where one starts depends on all before it. Files up to WHOLE_BYTES are scanned
+whole. Larger ones are cut into blocks: a block tells, for each place at which a scan may enter it, where it leaves; the
+blocks of a file are chained by that, and each is then scanned from the place where it is really entered.
+"""
 
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vesselspark import config
 from vesselspark.functions.casts import lookup
+from vesselspark.tables import write_table
 
 # Type codes, and the whole frame's least length by type.
 TRACK_UPDATE, TRACK_LOST, SYSTEM_STATUS, HEARTBEAT = 0x0100, 0x0101, 0x0200, 0x0300
 LEAST = {TRACK_UPDATE: 34, TRACK_LOST: 24, SYSTEM_STATUS: 28, HEARTBEAT: 8}
+LONGEST = 0xFFFF
 FRAMES = "source string, at long, message_type int, epoch long, frame binary, float_value double"
 
 
@@ -50,8 +60,160 @@ def split_radar_frames(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(scan, FRAMES)
 
 
-def read_radar(spark: SparkSession, path: str) -> DataFrame:
-    return split_radar_frames(spark.read.format("binaryFile").load(path))
+WHOLE_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
+AHEAD = LONGEST + 8  # bytes beyond a block that its scan may look at
+ENDED = -1
+
+
+def block_exits(data: bytes, size: int, last: bool) -> np.ndarray:
+    """Where a scan that enters a block of ``size`` bytes at each of its first LONGEST places leaves it, counted from the
+    block's end; ENDED where it ends within. ``data`` has what follows the block too; ``last``: it ends with the file."""
+    raw = np.frombuffer(data + bytes(8), dtype=np.uint8).astype(np.int32)
+    kind, length = raw[:size] << 8 | raw[1 : size + 1], raw[2 : size + 2] << 8 | raw[3 : size + 3]
+    least = np.zeros(size, dtype=np.int32)
+    for known, n in LEAST.items():
+        least[kind == known] = n
+    at = np.arange(size, dtype=np.int32)
+    framed = (least > 0) & (length >= 8)
+    following = np.where(framed & (length >= least), at + length, at + 1)
+    # place size is the block's end, and further ones what lies beyond; the very last stands for a scan that has ended
+    jump = np.arange(size + LONGEST + 2, dtype=np.int32)
+    jump[:size] = following
+    if last:
+        jump[:size][(framed & (at + length > len(data))) | (at + 8 > len(data))] = len(jump) - 1
+    while True:
+        further = jump[jump]
+        if np.array_equal(further, jump):
+            break
+        jump = further
+    ends = jump[: min(LONGEST + 1, size)] - size
+    ends[ends == LONGEST + 1] = ENDED
+    return ends
+
+
+def _pieces(lines: DataFrame) -> DataFrame:
+    """(source, split, piece, data): the bytes of text lines, with the line feeds that they were cut at, in pieces of a
+    block's size at least, but the last of a split."""
+    names = ["source", "split", "piece", "data"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, number, held, size = None, 0, [], 0
+
+        def result(data: bytes) -> pa.RecordBatch:
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((*key, number, data), kinds)], names)
+
+        for batch in batches:
+            for source, split, line in zip(*(c.to_pylist() for c in batch.columns)):
+                if (source, split) != key or size >= BLOCK_BYTES:
+                    if held:
+                        yield result(b"".join(held))
+                        number += 1
+                    held, size = [], 0
+                    if (source, split) != key:
+                        key, number = (source, split), 0
+                held += [line, b"\n"]
+                size += len(line) + 1
+        if held:
+            yield result(b"".join(held))
+
+    return lines.mapInArrow(run, "source string, split long, piece long, data binary")
+
+
+def _blocks(pieces: DataFrame, sizes: DataFrame, block_bytes: int) -> DataFrame:
+    """(source, block, data, size, last) of files from their pieces; ``data`` looks AHEAD into the next block. ``sizes``
+    has the bytes of each file: text readers take off a mark of byte order and add a last line feed."""
+    order = Window.partitionBy("source").orderBy("split", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    places = pieces.select("source", "split", "piece", F.length("data").cast("long").alias("n"))
+    total = places.groupBy("source").agg(F.sum("n").alias("total")).join(sizes, "source")
+    lacking = total.select("source", "file_size", (F.col("total") - F.col("file_size")).isin(-3, -2).alias("marked"))
+    offsets = places.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).drop("n").join(lacking, "source")
+    names = ["source", "block", "at", "data", "file_size"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+        for batch in batches:
+            for source, at, data, size, marked in zip(*(c.to_pylist() for c in batch.columns)):
+                if marked:
+                    at, data = (at, b"\xef\xbb\xbf" + data) if at == 0 else (at + 3, data)
+                data = data[: size - at]
+                rows, low = [], at
+                while low < at + len(data):
+                    block = low // block_bytes
+                    high = min(at + len(data), (block + 1) * block_bytes)
+                    rows.append((source, block, low, data[low - at : high - at], size))
+                    first = block * block_bytes  # what the blocks before look ahead to
+                    for back in range(1, -(-AHEAD // block_bytes) + 1):
+                        if block >= back and low < (end := first - (back - 1) * block_bytes + AHEAD):
+                            rows.append((source, block - back, low, data[low - at : min(high, end) - at], size))
+                    low = high
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+    cut = pieces.join(offsets, ["source", "split", "piece"]).select("source", "before", "data", "file_size", "marked")
+    cut = cut.mapInArrow(run, "source string, block long, at long, data binary, file_size long")
+    whole = cut.groupBy("source", "block", "file_size").agg(F.sort_array(F.collect_list(F.struct("at", "data"))).alias("parts"))  # a block and AHEAD
+    left = F.col("file_size") - F.col("block") * block_bytes
+    return whole.select("source", "block", F.expr("aggregate(parts, cast('' as binary), (a, p) -> concat(a, p.data))").alias("data"),
+                        F.least(F.lit(block_bytes), left).cast("int").alias("size"), (left <= block_bytes + AHEAD).alias("last"))
+
+
+def _chained(blocks: DataFrame) -> DataFrame:
+    """(source, block, entry): where the scan of a file enters each of its blocks; blocks it doesn't reach are left out."""
+    def exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, sizes, last = (batch.column(k).to_pylist() for k in (2, 3, 4))
+            made = [zlib.compress(block_exits(*own).tobytes(), 1) for own in zip(data, sizes, last)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(made, pa.binary())], ["source", "block", "size", "exits"])
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, entry = None, 0
+        for batch in batches:
+            out = []
+            for own, block, size, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                if own != source:
+                    source, entry = own, 0
+                if entry == ENDED:
+                    continue
+                if entry >= size:  # a frame longer than the block
+                    entry -= size
+                    continue
+                out.append((source, block, entry))
+                entry = int(np.frombuffer(zlib.decompress(packed), dtype=np.int32)[entry])
+            kinds = (pa.string(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 3, kinds)], ["source", "block", "entry"])
+
+    made = blocks.mapInArrow(exits, "source string, block long, size int, exits binary")
+    return made.repartition("source").sortWithinPartitions("source", "block").mapInArrow(chain, "source string, block long, entry int")
+
+
+def frames_of_large_files(files: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Frames of files read as text lines ``(source, split, data, file_size)``, in order within a split, that line feeds cut.
+    Any text reader's splits will do, so a file of any size is read by many tasks; each block is scanned in one."""
+    pieces = write_table(_pieces(files.select("source", "split", "data")))
+    blocks = write_table(_blocks(pieces, files.groupBy("source").agg(F.max("file_size").alias("file_size")), block_bytes))
+    entered = blocks.join(_chained(blocks), ["source", "block"])
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for source, block, data, size, entry in batch.itertuples(index=False):
+                rows = [(source, block * block_bytes + entry + at, *rest) for at, *rest in find_frames(bytes(data)[entry:]) if entry + at < size]
+                yield pd.DataFrame(rows, columns=["source", "at", "message_type", "epoch", "frame", "float_value"])
+
+    return entered.select("source", "block", "data", "size", "entry").mapInPandas(scan, FRAMES)
+
+
+def read_radar(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Frames of a file or of a folder's files. Those of over ``whole_bytes`` are read in splits, others whole."""
+    files = spark.read.format("binaryFile").load(path)
+    frames = split_radar_frames(files.where(F.col("length") <= whole_bytes).select(F.col("_metadata.file_path").alias("path"), "content"))
+    if files.where(F.col("length") > whole_bytes).select("length").isEmpty():
+        return frames
+    where = F.col("_metadata")
+    lines = spark.read.option("lineSep", "\n").text(path).where(where["file_size"] > whole_bytes)
+    large = lines.select(where["file_path"].alias("source"), where["file_block_start"].alias("split"), F.col("value").cast("binary").alias("data"), where["file_size"].alias("file_size"))
+    return frames.unionByName(frames_of_large_files(large, block_bytes))
 
 
 def unsigned(frame: str, at: int, n: int) -> Column:

@@ -1,76 +1,49 @@
 """Continuous fusion: detections to tracks kept in state, with tables of tracks and alerts.
 
-State is a list of typed track rows, keyed by what names a vessel: its MMSI, else the sensor's own track number, else a cell of a degree, where
-detections go to the nearest track in its gate. Tracks that cross the border of a cell start anew, and nameless detections
-do not join named tracks; the batch job repairs both. Time is event time: a track silent for 120 s is dropped when the
-watermark passes, and late rows are left out.
+Two streaming queries in a row. The first waits until a second can get no more detections, and then finds the vessels of
+that second's detections by the batch job's own matching: one to one, with the context that the matching looks back to. So
+what a stream finds is what the batch job finds, across the borders of cells and of micro-batches. The second folds each
+vessel's detections in order into its track, one state and one timer a vessel, in a store that keeps changed rows only.
+Time is event time: a track silent for 120 s is dropped when the watermark passes, and late rows are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import ArrayType, StructField, StructType
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from vesselspark import config
+from vesselspark.operators.correlate import merge_duplicates
 from vesselspark.operators.sinks import latest_by_key
-from vesselspark.operators.tracks import CONTRIBUTION, NAMES, SCHEMA, TRACK, dark_alerts, dark_by_gap, dark_by_sensors, opened, updated
+from vesselspark.operators.tracks import CONTRIBUTION, NAMES, SCHEMA, TRACK, age_tracks, clean, dark_alerts, dark_by_gap, dark_by_sensors, opened, updated
+from vesselspark.plans.fusion import CONTEXT_S, with_vessels
+from vesselspark.tables import scratch
 
-WATERMARK = "2 minutes"
+DELAY_S = 120
+WATERMARK = f"{DELAY_S} seconds"
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def vessel_key() -> Column:
-    cell = F.concat_ws("|", F.lit("c"), F.floor("latitude").cast("string"), F.floor("longitude").cast("string"))
-    chain = F.concat_ws("|", F.lit("l"), "sensor", "sensor_id", "local_track_id")
-    return F.when(F.col("mmsi").isNotNull(), F.concat(F.lit("m:"), "mmsi")).when(F.col("local_track_id").isNotNull(), chain).otherwise(cell)
-
-
-def metres(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
-    a, b = math.radians(lat1), math.radians(lat2)
-    h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
-    return 2 * 6371000.0 * math.asin(math.sqrt(min(1.0, h)))
-
-
-def nearest(live: list[dict], d: dict) -> dict | None:
-    """The track nearest to a detection among those whose gate it is in, all sailed on to its time."""
-    best, found = None, None
-    for track in live:
-        dt = min(config.MAX_PREDICT_S, (d["ts"] - track["updated_at"]).total_seconds())
-        lat = track["latitude"] + track["velocity_north_ms"] * dt / 111000
-        lon = track["longitude"] + track["velocity_east_ms"] * dt / (111000 * max(0.1, math.cos(math.radians(track["latitude"]))))
-        sigma = math.hypot(track["position_uncertainty_m"], config.SENSOR_SIGMA[d["sensor"]])
-        away = metres(lat, lon, d["latitude"], d["longitude"])
-        if away < min(config.GATE_MAX, max(config.GATE_MIN, config.GATE_SIGMAS * sigma)) and (best is None or (away / sigma, track["track_id"]) < best):
-            best, found = (away / sigma, track["track_id"]), track
-    return found
-
-
-def step(key: str, live: list[dict], rows: list[dict]) -> tuple[list[dict], list[dict]]:
-    """(tracks still open, tracks changed) after more detections of a key, in time order."""
-    changed: dict[str, dict] = {}
+def step(vessel: str, track: dict | None, rows: list[dict]) -> tuple[dict | None, list[dict]]:
+    """(the open track, the tracks changed) of a vessel after more of its detections, in time order."""
+    closed: list[dict] = []
     for d in sorted(rows, key=lambda r: (r["ts"], r["detection_id"] or "")):
-        for track in live:
-            if (d["ts"] - track["updated_at"]).total_seconds() > config.DROP_S:
-                changed[track["track_id"]] = track | {"track_status": "dropped"}
-        live = [t for t in live if changed.get(t["track_id"], t)["track_status"] != "dropped"]
-        track = nearest(live, d) if key.startswith("c|") else live[0] if live else None
+        if track and (d["ts"] - track["updated_at"]).total_seconds() > config.DROP_S:
+            closed.append(track | {"track_status": "dropped"})
+            track = None
         if track is None:
-            name = hashlib.sha256(f"{key}|{d['ts']}|{d['detection_id']}".encode()).hexdigest()[:8].upper()
+            name = hashlib.sha256(f"{vessel}|{d['ts']}".encode()).hexdigest()[:8].upper()
             track = opened(f"TRK-{name}", d)
-            live = [*live, track]
         else:
-            updated(track, d, 1.0)
-        changed[track["track_id"]] = track
-    return live, list(changed.values())
-
-
-STATE = StructType([StructField("tracks", ArrayType(TRACK))])
+            track = updated(track, d, float(clean(d.get("match_confidence")) or 1.0))
+    return track, [*closed, track] if track else closed
 
 
 def to_state(track: dict) -> tuple:
@@ -78,38 +51,56 @@ def to_state(track: dict) -> tuple:
     return tuple((track | {"sensor_contributions": held})[name] for name in NAMES)
 
 
-def _keep(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    live = [row.asDict(recursive=True) for row in state.get[0]] if state.exists else []
-    if state.hasTimedOut:
-        state.remove()
-        yield pd.DataFrame([t | {"track_status": "dropped"} for t in live], columns=NAMES)
-        return
-    rows = [r for part in parts for r in part.to_dict("records")]
-    live, changed = step(key[0], live, rows)
-    state.update(([to_state(t) for t in live],))
-    last = max(t["updated_at"] for t in live)
-    state.setTimeoutTimestamp(max(int(last.timestamp() * 1000 + config.DROP_S * 1000), state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(changed, columns=NAMES)
+def from_state(row: tuple) -> dict:
+    track = dict(zip(NAMES, row))
+    held = {k: dict(zip(CONTRIBUTION.names, c)) for k, c in track["sensor_contributions"].items()}
+    return track | {"sensor_contributions": held, "contributing_sensors": list(track["contributing_sensors"])}
 
 
-def track_updates(detections: DataFrame) -> DataFrame:
-    """A stream of the tracks that change, from one of detections; each detection counts once."""
-    once = detections.withWatermark("ts", WATERMARK).dropDuplicatesWithinWatermark(["sensor", "sensor_id", "detection_id", "local_track_id", "mmsi", "ts"])
-    return once.withColumn("vessel", vessel_key()).groupBy("vessel").applyInPandasWithState(_keep, SCHEMA, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+class VesselTrack(StatefulProcessor):
+    """The open track of a vessel, and a timer for its silence. A micro-batch reads and writes the state of the vessels that it
+    holds and of those whose time is up, and of no other."""
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("track", StructType(TRACK.fields))
 
-class TrackTable:
-    """Tracks and alerts as Parquet folders. Of each micro-batch only what changed is written: the tracks that the stream
-    gives (``step=0``) and those whose flags the time has changed (``step=1``). The state of the table is the last row of
-    each track. Every ``compact_every`` batches the live tracks become a new base, the dropped ones are appended to the
-    closed tracks, which are not read again, and batches and bases before the last base are removed. So neither what a batch
-    reads nor what it writes grows with the history. A batch that is run again writes the same folders over."""
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        given = [r for part in rows for r in part.to_dict("records")]
+        for d in given:
+            d["ts"] = d["ts"].to_pydatetime()
+        track, changed = step(key[0], from_state(self.state.get()) if self.state.exists() else None, given)
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        self.state.update(to_state(track))
+        self.handle.registerTimer(int(track["updated_at"].timestamp() * 1000 + config.DROP_S * 1000) + 1)
+        yield pd.DataFrame(changed, columns=NAMES)
 
-    STORED = SCHEMA + ", ais_gap_seconds double, alerted boolean"
-    ALERTS = "track_id string, event_timestamp timestamp, latitude double, longitude double, dark_ship_confidence double, alert_reason string, detecting_sensors array<string>"
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            track = from_state(self.state.get())
+            self.state.clear()
+            yield pd.DataFrame([track | {"track_status": "dropped"}], columns=NAMES)
 
-    def __init__(self, spark: SparkSession, path: str, compact_every: int = 20):
-        self.spark, self.path, self.compact_every = spark, path.rstrip("/"), compact_every
+    def close(self) -> None:
+        pass
+
+
+def once(detections: DataFrame) -> DataFrame:
+    keys = ["sensor", "sensor_id", "detection_id", "local_track_id", "mmsi", "ts"]
+    return detections.withWatermark("ts", WATERMARK).dropDuplicatesWithinWatermark(keys)
+
+
+def track_updates(matched: DataFrame) -> DataFrame:
+    """A stream of the tracks that change, from one of detections with their ``vessel``; each detection counts once."""
+    return once(matched).groupBy("vessel").transformWithStateInPandas(VesselTrack(), SCHEMA, "Append", "EventTime")
+
+
+class Folders:
+    """Numbered Parquet folders below a path; one that is written again is written over."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
 
     def _folder(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -122,11 +113,87 @@ class TrackTable:
         return sorted(int(n) for n in names if n.isdigit() and fs.exists(self._folder(f"{name}/{n}/_SUCCESS")[1]))
 
     def _read(self, name: str, numbers: list[int], schema: str) -> DataFrame | None:
-        found = None
+        """All rows of the folders, with their number as ``at``; one scan, however many there are."""
+        if not numbers:
+            return None
+        found = self.spark.read.schema(schema).parquet(*[f"{self.path}/{name}/{n}" for n in numbers])
+        return found.withColumn("at", F.regexp_extract(F.col("_metadata.file_path"), r"/(\d+)/[^/]*$", 1).cast("int"))
+
+    def _write(self, df: DataFrame, name: str, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}/{number}")
+
+    def _remove(self, name: str, numbers: list[int]) -> None:
         for n in numbers:
-            part = self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{n}").withColumn("at", F.lit(n))
-            found = part if found is None else found.unionByName(part)
-        return found
+            fs, path = self._folder(f"{name}/{n}")
+            fs.delete(path, True)
+
+
+class VesselMatcher(Folders):
+    """Detections matched when their second is settled: DELAY_S before the newest one. What is not settled, and the context
+    that matching looks back to, waits in ``pending``; ``clock`` tells up to when all is done. Both are those of the batch
+    before, so a batch that runs again finds what it found. ``matched`` is what the second query reads."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType):
+        super().__init__(spark, path)
+        self.schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        self.matched_schema = f"{self.schema}, vessel string, match_confidence double"
+        if not self._written("matched"):
+            self._write(spark.createDataFrame([], self.matched_schema), "matched", 0)
+
+    def apply(self, batch: DataFrame, number: int, last: bool = False) -> None:
+        """Micro-batch ``number``, from 0; folders bear the numbers from 1 on."""
+        number += 1
+        before = [n for n in self._written("clock") if n < number][-1:]
+        clock = self._read("clock", before, "settled timestamp").first() if before else None
+        pending = batch.select(*self._names())
+        if clock is not None:
+            pending = pending.where(F.col("ts") > F.lit(clock.settled)).unionByName(self._read("pending", before, self.schema).drop("at"))
+            pending = pending.where(F.col("ts") > F.timestamp_add("SECOND", F.lit(-CONTEXT_S - 1), F.lit(clock.settled)))
+        self._write(pending, "pending", number)
+        held = self._read("pending", [number], self.schema).drop("at")
+        newest = held.agg(F.max("ts").alias("ts")).first().ts
+        if newest is None:
+            return
+        end = F.lit(newest) if last else F.timestamp_add("SECOND", F.lit(-DELAY_S), F.date_trunc("SECOND", F.lit(newest)))
+        with scratch():
+            ready = held.where(F.col("ts") <= end if last else F.col("ts") < end)
+            found = with_vessels(ready).select(*self._names(), "vessel", "match_confidence")
+            self._write(found if clock is None else found.where(F.col("ts") > F.lit(clock.settled)), "matched", number)
+        # the last instant that is settled; the second of ``end`` is still open
+        settled = end if last else F.timestamp_add("MICROSECOND", F.lit(-1), end)
+        settled = settled if clock is None else F.greatest(settled, F.lit(clock.settled))
+        self._write(self.spark.range(1, numPartitions=1).select(settled.alias("settled")), "clock", number)
+        for name in ("pending", "clock"):
+            self._remove(name, [n for n in self._written(name) if n < (before or [number])[0]])
+
+    def finish(self) -> None:
+        """Match what still waits; for the end of a replay."""
+        done = self._written("clock") or self._written("pending")
+        if done:
+            self.apply(self.spark.createDataFrame([], self.schema), done[-1], last=True)
+
+    def _names(self) -> list[str]:
+        return self.spark.createDataFrame([], self.schema).columns
+
+    def stream(self) -> DataFrame:
+        return self.spark.readStream.schema(self.matched_schema).parquet(f"{self.path}/matched/*")
+
+
+class TrackTable(Folders):
+    """Tracks and alerts as Parquet folders. Of each micro-batch only what changed is written: the tracks that the stream
+    gives (``step=0``) and those whose flags the time has changed (``step=1``). The state of the table is the last row of
+    each track. Every ``compact_every`` batches the live tracks become a new base, the dropped ones are appended to the
+    closed tracks, which are not read again, and batches and bases before the last base are removed. So neither what a batch
+    reads nor what it writes grows with the history. A batch that is run again writes the same folders over."""
+
+    #: ``own`` are the flags of the fold itself, without those of the rules at some time.
+    FLAGS = ("is_dark_ship", "dark_ship_confidence", "flagged_for_review", "alert_reason")
+    STORED = SCHEMA + ", ais_gap_seconds double, alerted boolean, own struct<is_dark_ship:boolean,dark_ship_confidence:double,flagged_for_review:boolean,alert_reason:string>"
+    ALERTS = "track_id string, event_timestamp timestamp, latitude double, longitude double, dark_ship_confidence double, alert_reason string, detecting_sensors array<string>"
+
+    def __init__(self, spark: SparkSession, path: str, compact_every: int = 20):
+        super().__init__(spark, path)
+        self.compact_every = compact_every
 
     def _latest(self, before: int, unflagged: bool = False) -> DataFrame | None:
         """The last row of each track of the base and the batches since it, up to the one before ``before``, of that one
@@ -148,6 +215,10 @@ class TrackTable:
 
     def tracks(self) -> DataFrame | None:
         """All tracks, dropped ones too."""
+        stored = self._stored()
+        return None if stored is None else stored.drop("own")
+
+    def _stored(self) -> DataFrame | None:
         newest = self._latest(1 << 62)
         closed = self._read("closed", self._written("closed"), self.STORED)
         if newest is None:
@@ -156,17 +227,21 @@ class TrackTable:
             return newest.drop("alerted")
         return newest.unionByName(closed.drop("at").join(newest.select("track_id"), "track_id", "left_anti")).drop("alerted")
 
+    def fused(self, now) -> DataFrame:
+        """The picture at ``now`` as the batch job gives it: all tracks aged, merged with their duplicates, and with dark
+        flags."""
+        stored = self._stored()
+        folded = stored.withColumns({c: F.col(f"own.{c}") for c in self.FLAGS}).select(*NAMES)
+        return dark_by_sensors(dark_by_gap(merge_duplicates(age_tracks(folded, now)), now))
+
     def alerts(self) -> DataFrame:
         found = self._read("alerts", self._written("alerts"), self.ALERTS)
         return self.spark.createDataFrame([], self.ALERTS + ", at int") if found is None else found
 
-    def _write(self, df: DataFrame, name: str, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}/{batch}")
-
     def apply(self, updates: DataFrame, batch: int) -> None:
         """Write a micro-batch, which is evaluated once, then flag dark ships at the newest time in it and alert of new ones."""
         updates = latest_by_key(updates.withColumn("over", F.col("track_status") == "dropped"), "track_id", "updated_at", "update_count", "over").drop("over")
-        self._write(updates.withColumns({"ais_gap_seconds": F.lit(None).cast("double"), "alerted": F.lit(False)}), "changed", batch)
+        self._write(updates.withColumns({"ais_gap_seconds": F.lit(None).cast("double"), "alerted": F.lit(False), "own": F.struct(*self.FLAGS)}), "changed", batch)
         now = self.spark.read.schema(self.STORED).parquet(f"{self.path}/changed/{batch}").agg(F.max("updated_at").alias("now")).first().now
         if now is None:
             return
@@ -190,20 +265,44 @@ class TrackTable:
         self._write(newest.where("track_status = 'dropped'"), "closed", batch)
         self._write(newest.where("track_status <> 'dropped'"), "base", batch)
         for name, numbers in (("base", older[:-1]), ("changed", self._written("changed")), ("flagged", self._written("flagged"))):
-            for n in numbers:
-                if name == "base" or (older and n <= older[-1]):
-                    fs, path = self._folder(f"{name}/{n}")
-                    fs.delete(path, True)
+            self._remove(name, [n for n in numbers if name == "base" or (older and n <= older[-1])])
+
+
+class FusionJob:
+    """The two queries of ``run_fusion_stream``."""
+
+    def __init__(self, matching, fusing):
+        self.matching, self.fusing = matching, fusing
+
+    def awaitTermination(self, timeout: int | None = None) -> None:
+        for query in (self.matching, self.fusing):
+            query.awaitTermination(*([] if timeout is None else [timeout]))
+
+    def stop(self) -> None:
+        self.matching.stop()
+        self.fusing.stop()
 
 
-def run_fusion_stream(detections: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, done: Callable[[DataFrame, int], None] | None = None):
-    """Start the job; ``trigger`` as of ``writeStream.trigger``, every half second by default. Returns the query."""
-    store = TrackTable(detections.sparkSession, path)
+def run_fusion_stream(detections: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, done: Callable[[DataFrame, int], None] | None = None) -> FusionJob:
+    """Start the job; ``trigger`` as of ``writeStream.trigger``, every half second by default. With ``availableNow`` the first
+    query ends, and what still waits is matched, before the second begins. ``detection_id`` must be set and unique."""
+    spark, trigger = detections.sparkSession, trigger or {"processingTime": "500 milliseconds"}
+    store, matcher = TrackTable(spark, path), VesselMatcher(spark, f"{path.rstrip('/')}-matching", detections.schema)
 
     def write(batch: DataFrame, number: int) -> None:
-        store.apply(batch, number)
+        with scratch():
+            store.apply(batch, number)
         if done:
             done(batch, number)
 
-    stream = track_updates(detections).writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint)
-    return stream.trigger(**(trigger or {"processingTime": "500 milliseconds"})).start()
+    matching = once(detections).writeStream.foreachBatch(matcher.apply).option("checkpointLocation", f"{checkpoint}-matching").trigger(**trigger).start()
+    if trigger.get("availableNow"):
+        matching.awaitTermination()
+        matcher.finish()
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        stream = track_updates(matcher.stream()).writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint)
+        return FusionJob(matching, stream.trigger(**trigger).start())
+    finally:
+        spark.conf.set(STORE, before)
