@@ -303,3 +303,17 @@ def test_long_keys_by_parts_of_a_hash(spark):
     finally:
         extras.CROWDED = old
     assert deals[0] == deals[1] and len(set(deals[0].values())) == 5
+
+
+def test_embedding_tells_what_failed(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BATCH", 2)
+
+    def model(texts):
+        if "bad" in texts:
+            raise RuntimeError("no")
+        return np.ones((len(texts), 3))
+
+    df = spark.createDataFrame([(k, "bad" if k == 3 else "fine") for k in range(6)], "id long, content string").coalesce(1)
+    got = {r.id: (r.embedding, r.failed) for r in vectors.embed(df, model, dim=3, failed_col="failed").collect()}
+    assert {k for k, (_, failed) in got.items() if failed} == {2, 3} and got[2][0] == [0.0] * 3 and got[4][0] == [1.0] * 3
+    assert vectors.embed(df, model, dim=3).columns == ["id", "content", "embedding"]

@@ -35,23 +35,28 @@ def hashing_embedder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
     return embed_texts
 
 
-def embed(df: DataFrame, embedder: Callable[[list[str]], np.ndarray], text_col: str = "content", dim: int = 64) -> DataFrame:
-    """``df`` with ``embedding``, in batches of BATCH texts; a batch that fails gets vectors of zeros, a null text too."""
+def embed(df: DataFrame, embedder: Callable[[list[str]], np.ndarray], text_col: str = "content", dim: int = 64, failed_col: str | None = None) -> DataFrame:
+    """``df`` with ``embedding``, in batches of BATCH texts; a batch that fails gets vectors of zeros, a null text too. With
+    ``failed_col`` a column of that name tells the rows of batches that failed."""
 
-    @F.pandas_udf("array<float>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("embedding array<float>, failed boolean")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
             found: list[list[float]] = []
+            failed: list[bool] = []
             for at in range(0, len(part), BATCH):
                 texts = part.iloc[at : at + BATCH]
+                wrong = False
                 try:
                     vectors = np.asarray(embedder([x or "" for x in texts]), dtype=np.float32)
                 except Exception:  # whatever a model raises, the batch has no vectors
-                    vectors = np.zeros((len(texts), dim), dtype=np.float32)
+                    vectors, wrong = np.zeros((len(texts), dim), dtype=np.float32), True
                 found += [v.tolist() for v in vectors]
-            yield pd.Series(found, index=part.index)
+                failed += [wrong] * len(texts)
+            yield pd.DataFrame({"embedding": found, "failed": failed})
 
-    return df.withColumn("embedding", run(F.col(text_col)))
+    made = df.withColumn("__made", run(F.col(text_col))).withColumn("embedding", F.col("__made.embedding"))
+    return (made.withColumn(failed_col, F.col("__made.failed")) if failed_col else made).drop("__made")
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vesselspark import config
 from vesselspark.functions import geo
 from vesselspark.operators import sinks
 from vesselspark.plans.adapter import positions
@@ -39,7 +40,7 @@ def nmea_lines(spark: SparkSession, d: str) -> DataFrame:
     p = positions(spark, d)
     i = F.col("event_id")
     bits = F.concat(
-        field(F.lit(1), 6), F.lit("00"), field(F.col("mmsi"), 30), field(i % 16, 4), field(F.lit(128), 8), field(F.round(F.col("speed_knots") * 10), 10), field(i % 2, 1), field(F.round(F.col("longitude") * 600000), 28),
+        field(F.lit(1), 6), F.lit("00"), field(F.col("mmsi"), 30), field(i % 16, 4), field(i % 256, 8), field(F.round(F.col("speed_knots") * 10), 10), field(i % 2, 1), field(F.round(F.col("longitude") * 600000), 28),
         field(F.round(F.col("latitude") * 600000), 27), field(F.col("course") * 10, 12), field(i % 512, 9), field(i % 60, 6), F.repeat(F.lit("0"), F.lit(25)))
     whole = p.withColumn("payload", let(bits, lambda b: armoured(b, 28)))
     # half of the messages come in two parts; of the others one in eleven has a wrong check digit and is to be left out
@@ -54,12 +55,20 @@ def nmea_lines(spark: SparkSession, d: str) -> DataFrame:
     return parts.select(F.concat(F.lit("f"), (i % 7).cast("string")).alias("source"), (i * 2 + F.col("n")).alias("at"), line.alias("line"))
 
 
-@query("d5_nmea_positions", f"""WITH {P} SELECT mmsi, cast(event_id % 16 AS INT) AS nav_status, round(speed_knots * 10) / 10 AS speed_over_ground, event_id % 2 = 1 AS position_accuracy,
+#: Rate of turn: the number sent is 4.733 times the root of degrees a minute, signed; 128 stands for none.
+TURN_SQL = "CASE WHEN event_id % 256 < 128 THEN power((event_id % 256) / 4.733, 2) WHEN event_id % 256 > 128 THEN -power((event_id % 256 - 256) / 4.733, 2) END"
+STATUS_SQL = "CASE event_id % 16 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in config.NAV_STATUS.items()) + " ELSE 'Unknown' END"
+
+
+@query("d5_nmea_positions", f"""WITH {P} SELECT mmsi, cast(event_id % 16 AS INT) AS nav_status, {STATUS_SQL} AS nav_status_text, round({TURN_SQL}, 9) AS rate_of_turn, round(speed_knots * 10) / 10 AS speed_over_ground, event_id % 2 = 1 AS position_accuracy,
   round(longitude * 600000) / 600000 AS longitude, round(latitude * 600000) / 600000 AS latitude, course AS course_over_ground, cast(CASE WHEN event_id % 512 < 511 THEN event_id % 512 END AS INT) AS true_heading,
   cast(event_id % 60 AS INT) AS timestamp_seconds FROM p WHERE event_id % 22 <> 11""")
 def _(spark, d):
-    found = nmea.decode_nmea(nmea.assemble_nmea(nmea.split_nmea(nmea_lines(spark, d))))
-    return found.select("mmsi", "nav_status", "speed_over_ground", "position_accuracy", "longitude", "latitude", "course_over_ground", "true_heading", "timestamp_seconds")
+    return position_columns(nmea.decode_nmea(nmea.assemble_nmea(nmea.split_nmea(nmea_lines(spark, d)))))
+
+
+def position_columns(found: DataFrame) -> DataFrame:
+    return found.select("mmsi", "nav_status", "nav_status_text", F.round("rate_of_turn", 9).alias("rate_of_turn"), "speed_over_ground", "position_accuracy", "longitude", "latitude", "course_over_ground", "true_heading", "timestamp_seconds")
 
 
 #: Of the parts in two, one in seven is lost and one in thirteen comes twice. A run is the same number again and again; the

@@ -147,17 +147,37 @@ def assemble_nmea(fields: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
     return single.unionByName(whole)
 
 
+#: The same values in the order of base 64, whose decoder packs six bits a character.
+BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+#: Bits of a word: a whole number of bytes and of characters, and a field of any message lies in two at most.
+WORD = 48
+
+
 def nmea_bits(payload: Column, fill_bits: Column) -> Column:
-    """The payload as text of zeros and ones; unknown characters are skipped and fill bits cut off."""
-    known = F.filter(F.split(payload, ""), lambda c: c.rlike("^[0-W`-w]$"))
-    value = lambda c: F.ascii(c) - F.when(F.ascii(c) > 88, 56).otherwise(48)
-    text = F.array_join(F.transform(known, lambda c: F.lpad(F.bin(value(c)), 6, "0")), "")
-    return F.substring(text, F.lit(1), F.greatest(F.lit(0), F.length(text) - fill_bits))
+    """The payload as ``struct<words, len>``: its bits in numbers of WORD bits, the last one filled up with zeros, and how
+    many there are without the fill bits. Unknown characters are skipped."""
+    known = F.regexp_replace(payload, "[^0-W`-w]", "")
+    size = F.length(known)
+    coded = F.translate(known, ARMOUR, BASE64)
+    packed = F.unbase64(F.rpad(coded, (F.ceil(size / (WORD // 6)) * (WORD // 6)).cast("int"), "A"))
+    number = lambda k: F.conv(F.hex(F.substring(packed, (k * (WORD // 8) + 1).cast("int"), F.lit(WORD // 8))), 16, 10).cast("long")
+    count = F.ceil(size / (WORD // 6)).cast("int")
+    words = F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), number)).otherwise(F.array().cast("array<bigint>"))
+    return F.struct(words.alias("words"), F.greatest(F.lit(0), size * 6 - fill_bits).alias("len"))
 
 
 def bits_uint(bits: Column, start: int, length: int) -> Column:
     """Bits past the end count for nothing, so a short payload gives a shortened number."""
-    return F.coalesce(F.conv(F.substring(bits, start + 1, length), 2, 10).cast("long"), F.lit(0).cast("long"))
+    word = lambda k: F.coalesce(F.get(bits["words"], F.lit(k)), F.lit(0).cast("long"))
+    at, offset = divmod(start, WORD)
+    left = WORD - offset - length
+    if left >= 0:
+        value = F.shiftright(word(at), left).bitwiseAND(F.lit((1 << length) - 1).cast("long"))
+    else:
+        high = word(at).bitwiseAND(F.lit((1 << (WORD - offset)) - 1).cast("long"))
+        value = F.shiftleft(high, -left).bitwiseOR(F.shiftright(word(at + 1), WORD + left))
+    beyond = F.greatest(F.lit(0), F.least(F.lit(length), F.lit(start + length) - bits["len"]))
+    return F.call_function("shiftright", value, beyond.cast("int"))
 
 
 def bits_int(bits: Column, start: int, length: int) -> Column:
@@ -173,7 +193,7 @@ def bits_text(bits: Column, start: int, length: int) -> Column:
 
 def _frame(messages: DataFrame) -> DataFrame:
     bits = nmea_bits(F.col("payload"), F.col("fill_bits"))
-    return messages.withColumn("bits", bits).withColumns({"message_type": bits_uint(F.col("bits"), 0, 6).cast("int"), "bits_len": F.length("bits")})
+    return messages.withColumn("bits", bits).withColumns({"message_type": bits_uint(F.col("bits"), 0, 6).cast("int"), "bits_len": F.col("bits.len")})
 
 
 def _unless(value: Column, missing: Column) -> Column:

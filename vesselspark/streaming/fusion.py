@@ -158,7 +158,7 @@ class VesselMatcher(Folders):
         with scratch():
             ready = held.where(F.col("ts") <= end if last else F.col("ts") < end)
             found = with_vessels(ready).select(*self._names(), "vessel", "match_confidence")
-            self._write(found if clock is None else found.where(F.col("ts") > F.lit(clock.settled)), "matched", number)
+            self._publish(found if clock is None else found.where(F.col("ts") > F.lit(clock.settled)), number)
         # the last instant that is settled; the second of ``end`` is still open
         settled = end if last else F.timestamp_add("MICROSECOND", F.lit(-1), end)
         settled = settled if clock is None else F.greatest(settled, F.lit(clock.settled))
@@ -166,8 +166,18 @@ class VesselMatcher(Folders):
         for name in ("pending", "clock"):
             self._remove(name, [n for n in self._written(name) if n < (before or [number])[0]])
 
+    def _publish(self, df: DataFrame, number: int) -> None:
+        """The rows as folder ``number`` of ``matched``, all at once by a rename, so that the second query never takes a part of
+        it; what is there was written by an earlier run of the batch and is the same."""
+        if number in self._written("matched"):
+            return
+        self._write(df, "staged", number)
+        fs, target = self._folder(f"matched/{number}")
+        fs.delete(target, True)
+        fs.rename(self._folder(f"staged/{number}")[1], target)
+
     def finish(self) -> None:
-        """Match what still waits; for the end of a replay."""
+        """Match what still waits; for the end of a replay, after which the job does not go on."""
         done = self._written("clock") or self._written("pending")
         if done:
             self.apply(self.spark.createDataFrame([], self.schema), done[-1], last=True)
