@@ -143,7 +143,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     its ``k`` largest inner products found among all other rows, largest first and ties to the smaller id. A query that
     finds fewer than ``k`` within the radius searches again in twice the radius, until all codes are within it, so it
     gets ``k`` rows or all there are. Vectors that are null, zero or hold null or non-finite components take no part;
-    vectors of different lengths never meet. Rows that repeat an id are one vector, the least of theirs."""
+    vectors of different lengths never meet. Rows that repeat an id are one vector, the least of theirs. An empty table, or
+    one without a query, gives none."""
     fine = write_table(usable(vectors, id_col, vector_col))
     given = vectors.schema[vector_col].dataType
     kind = "<f4" if given.elementType.typeName() == "float" else "<f8"  # bytes that hold the original numbers

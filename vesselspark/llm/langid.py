@@ -455,6 +455,7 @@ def annotate(docs: DataFrame, model: LanguageModel, text_col: str = "text", name
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, lang_pred, score)`` of every row's whole text: the likeliest learned language and its share of the
     probability. Texts that are null or have no letter are ``und`` with score 0, as is all if nothing was learned.
-    Ties go to the first language by name; null and repeated ids keep their rows; other columns are not read."""
+    Ties go to the first language by name; null and repeated ids keep their rows; other columns are not read. Texts and
+    words of any length are summed whole; an empty table gives none."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return annotate(base, model).drop("text")

@@ -184,7 +184,8 @@ def plan(counts: dict[int, int], capacity: int) -> dict[int, list[tuple[int, int
 def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
          id_col: str = "doc_id", text_col: str = "text", cached_words: int = CACHED_WORDS) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``. A null text counts as
-    empty and gives a piece of the end id alone; null and repeated ids keep their rows; an empty table gives none."""
+    empty and gives a piece of the end id alone; null and repeated ids keep their rows; an empty table gives none. A text
+    of any length is encoded whole and cut into pieces of ``capacity`` ids."""
     pieces = write_table(tokenized_pieces(docs, tokenizer_path, ranks_path, capacity, end_id, id_col, text_col, cached_words))
     parts = pieces.groupBy("part", "length").count()
     before = F.sum("count").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))

@@ -122,7 +122,8 @@ def codec(path: str) -> PieceCodec:
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, ids, score)`` of every row's whole text, ``ids`` an array of ints. A null text counts as empty, which is one
-    mark; null and repeated ids keep their rows; other columns are not read."""
+    mark; null and repeated ids keep their rows; other columns are not read. A text of any length is encoded whole, part by
+    part; an empty table gives none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path)
@@ -158,7 +159,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_ids, ids_crc32, score, exact)``: every text encoded, decoded again and compared."""
+    """``(id, n_ids, ids_crc32, score, exact)``: every text encoded, decoded again and compared; rows as of ``encode``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path)

@@ -118,7 +118,8 @@ def scores(model: QualityModel, texts: list[str | None]) -> np.ndarray:
 
 def score_documents(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, score)`` of every row's whole text: the probability of label 1. Null and empty texts get the score of
-    the bias alone; ids are passed through, null or repeated. Other columns are not read."""
+    the bias alone; ids are passed through, null or repeated. A text of any length is read whole, in groups of bounded
+    size; an empty table gives none. Other columns are not read."""
     fixed = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS numbers, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -198,7 +198,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     """Each row with three columns more: how many words it has, how many of them a repeated window covers, and the others,
     joined by blanks. Words are runs of anything but ASCII white space; windows are judged on the input. A null text has
     no words; null ids keep their rows; a row that repeats another is another place, so their windows are repeated.
-    The columns of ``docs`` are passed through; a name of theirs among ``names`` is an error."""
+    A text of any length is
+    taken whole; an empty table gives none. The columns of ``docs`` are passed through; a name of theirs among ``names`` is
+    an error."""
     if {c.lower() for c in docs.columns} & {n.lower() for n in names}:
         raise ValueError(f"columns named {names} exist already")
     text_hash, doc, other, own, words = unused(docs.columns, "text_hash", "doc", "other", "stretches", "words")

@@ -123,7 +123,8 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     """``(id, host, path, rule, verdict)`` of every row's url. ``rules(host, path, action)``: a rule covers its host and
     all hosts below it where the url's path starts with the rule's; the longest host wins, then the longest path, and of
     equal rules the first action by name. Without a rule the verdict is allow. Rules with a null field or an empty host
-    are not used; null and repeated ids keep their rows; other columns are not read."""
+    are not used; null and repeated ids keep their rows; other columns are not read. A url of any length is taken whole; an
+    empty table gives none, and without rules all are allowed."""
     urls = pages.select(F.col(id_col).cast("long").alias("id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
     usable = rules.where("host <> '' and path is not null and action is not null").select(ascii_lower(F.col("host")).alias("host"), "path", "action")
     keyed = usable.select(_key_column("host").alias("key"), "path", F.concat("host", "path").alias("name"), "action")

@@ -181,7 +181,7 @@ def vector_components(vectors: DataFrame, threshold: float = 0.95, id_col: str =
     """``(id, n_links, component_id, kept)`` for each distinct id: the number of other vectors with a cosine of at least
     ``threshold``, the least id that links reach, and whether it is that one. Vectors that are null, zero or hold null
     or non-finite components, and such as have another length, link with nothing. Rows that repeat an id are one vector,
-    the least of theirs; rows without an id give none."""
+    the least of theirs; rows without an id give none, as does an empty table."""
     given = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).distinct()
     fine = write_table(usable(vectors, id_col, vector_col))
     found = settled = None
