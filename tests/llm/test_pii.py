@@ -5,10 +5,14 @@ import math
 import random
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from vesselspark.llm import pii
 from vesselspark.llm.pii import KINDS, PiiModel, Trees, base_spans, calibrate, candidates, find, joined, luhn, redacted, spans, train, training_rows
 
 #: The patterns as stated, without regard to speed.
@@ -247,3 +251,61 @@ def test_find(spark):
         (0, 0, 0, 0, 0, ""), (1, 1, 0, 0, 0, "email:3:9"), (2, 0, 0, 0, 0, ""), (4, 0, 0, 0, 0, ""), (4, 0, 1, 0, 0, "ip:400000:400007")]
     assert {r.base_sha256 for r in got if not r.spans} == {hashlib.sha256(b"").hexdigest()}
     assert find(docs.limit(0), train(docs.limit(0))).collect() == [] and KINDS[3] == "phone"
+
+
+def test_documents_beyond_any_sample_teach(spark):
+    """All personal data are in the documents that come last by the hash of their ids, after 4200 with digits alone."""
+    ids = [r.id for r in spark.range(4600).orderBy(F.xxhash64("id")).collect()]
+    rows = [(k, f"page {k}") for k in ids[:4200]] + [(k, text) for k, (_, text) in zip(ids[4200:], corpus())]
+    text = "card 4539.1488.0343.6467 or jane.doe (at) mail (dot) example (dot) com"
+    assert joined(spans(text, train(spark.createDataFrame(rows, "doc_id long, text string")))[1]) == "card:5:24,email:28:70"
+
+
+def test_every_training_row_is_counted(spark, monkeypatch):
+    monkeypatch.setattr(pii, "COUNTED_ROWS", 50)  # counts are passed on in parts
+    texts = [t for _, t in corpus()] * 3 + [None, "", "no data", "x " * 50_000 + " 1.2.3.4 or 300.1.2.3 " * 300]
+    docs = spark.createDataFrame([(None if k % 5 else 1, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    wanted = Counter(tuple(row) for t in texts for row in training_rows(t or ""))
+    got = pii.counted_rows(docs).collect()
+    assert sum(r.n for r in got) == sum(wanted.values()) > 20_000
+    both = Counter()
+    for r in got:
+        both[(*r.x, 1.0)] += r.good
+        both[(*r.x, 0.0)] += r.n - r.good
+    assert +both == wanted and {r.held for r in got} == {False, True}
+
+
+def counted(spark, n=3000):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, [4, 60, 3, 2, 9], (n, 5)).astype(float)
+    rows = rng.integers(1, 40, n)
+    good = rng.binomial(rows, np.where((x[:, 0] > 1) ^ (x[:, 1] < 17), 0.97, 0.02))
+    table = spark.createDataFrame([(a.tolist(), int(b), int(c)) for a, b, c in zip(x, rows, good)], "x array<double>, n long, good long")
+    return table, x, rows, good
+
+
+def test_counts_in_spark_give_the_trees_of_single_rows(spark):
+    table, x, n, good = counted(spark)
+    every = np.repeat(x, n, axis=0)
+    label = np.concatenate([[1.0] * g + [0.0] * (k - g) for k, g in zip(n, good)])
+    cuts = pii.quantile_cuts(table, x.shape[1])
+    assert all(np.allclose(c, np.unique(np.quantile(every[:, k], np.linspace(0, 1, 32)))[:-1]) for k, c in enumerate(cuts))
+    with pii.scratch():
+        spread = Trees().grow(pii.TableRows(table.repartition(7)), cuts, rounds=3)
+    here = Trees().grow(pii.LocalRows(x, n.astype(float), good.astype(float)), cuts, rounds=3)
+    assert spread.prior == here.prior and all(np.array_equal(a, b) for a, b in zip(spread.trees, here.trees, strict=True))
+    assert np.allclose(here.predict(x), Trees().fit(every, label, rounds=3).predict(x), atol=1e-5)
+
+
+def test_thresholds_are_of_all_held_out_rows(spark):
+    table, x, n, good = counted(spark)
+    trees = Trees().grow(pii.LocalRows(x, n.astype(float), good.astype(float)), pii.quantile_cuts(table, x.shape[1]))
+    score = trees.predict(x)
+    for kind, got in enumerate(pii.thresholds(table, trees)):
+        own = (x[:, 0] == kind) & (score >= got)
+        steps = np.floor(trees.margin(x) * pii.STEPS)
+        if got <= 1:
+            assert good[own].sum() / n[own].sum() >= 0.995
+        for step in set(steps[(x[:, 0] == kind) & ~own & (score >= 0.95 + 1e-3)]):
+            more = (x[:, 0] == kind) & (steps >= step)
+            assert good[more].sum() / n[more].sum() < 0.995

@@ -2,10 +2,10 @@
 
 Base spans follow fixed patterns and always stay. High-recall generators propose further spans, which may overlap:
 rewritten addresses, numbers with other separators, runs of groups inside longer numbers. Boosted trees score each
-candidate by its format and context, and per-kind thresholds, calibrated on a held-out part of the sample, select
-what is added; no rule stands before them. The trees learn from base spans of a bounded sample of documents, these spans in
-rewritten forms and contexts, and candidates that a format rule refutes; other candidates pass such a rule and may be real,
-so they have no label.
+candidate by its format and context, and per-kind thresholds, calibrated on held-out documents, select what is added; no
+rule stands before them. The trees learn from the base spans of all documents, these spans in rewritten forms and contexts,
+and candidates that a format rule refutes; other candidates pass such a rule and may be real, so they have no label.
+Spark counts equal training rows, and every cut, gradient and precision is of these counts.
 """
 
 from __future__ import annotations
@@ -13,9 +13,11 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import accumulate
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vesselspark.llm.common import map_texts
+from vesselspark.tables import drop_table, scratch, write_table
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, kind, end
@@ -32,8 +35,10 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9]++(?:(?:\.[0-9]++){3})?")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-MAX_DOCS = 4000
-MAX_ROWS = 20_000
+#: Trees grow in the driver on the counts of up to so many different training rows, on Spark's executors beyond.
+LOCAL_ROWS = 50_000
+#: Different training rows that a task counts before it passes them on.
+COUNTED_ROWS = 5000
 
 
 def luhn(digits: str) -> bool:
@@ -192,6 +197,112 @@ def describe(text: str, span: Span) -> list[float]:
     ]
 
 
+QUANTILES = np.linspace(0, 1, 32)
+BINS = len(QUANTILES)
+Cuts = list[np.ndarray]  # by feature
+
+
+def leaves(tree: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The node of the tree in which each row ends."""
+    at = np.zeros(len(x), dtype=int)
+    while True:
+        inner = np.flatnonzero(tree[at, 0] >= 0)
+        if not len(inner):
+            return at
+        node = tree[at[inner]]
+        low = x[inner, node[:, 0].astype(int)] <= node[:, 1]
+        at[inner] = np.where(low, node[:, 2], node[:, 3]).astype(int)
+
+
+def node_sums(x: np.ndarray, n: np.ndarray, good: np.ndarray, score: np.ndarray, tree: np.ndarray, cuts: Cuts) -> np.ndarray:
+    """Per leaf, feature and bin between cuts, flat: slope and curve of the loss, and the rows, of which ``x`` stands for
+    ``n`` each, ``good`` of them labelled 1. Slopes are rounded to a binary fraction, so that their sums are exact in any
+    order, up to 2**29 rows."""
+    p = 1 / (1 + np.exp(-score))
+    bins = np.column_stack([np.searchsorted(at, x[:, k], side="left") for k, at in enumerate(cuts)])
+    slot = ((leaves(tree, x)[:, None] * len(cuts) + np.arange(len(cuts))) * BINS + bins).ravel()
+    fixed = [np.round(v * 2.0**24) / 2.0**24 for v in (n * p - good, n * p * (1 - p), n)]
+    return np.stack([np.bincount(slot, np.repeat(v, len(cuts)), len(tree) * len(cuts) * BINS) for v in fixed])
+
+
+class Rows(Protocol):
+    """Training rows and the score that the trees so far give them."""
+
+    def totals(self) -> tuple[float, float]:
+        """How many rows, and how many of label 1."""
+
+    def begin(self, prior: float) -> None: ...
+
+    def sums(self, tree: np.ndarray, cuts: Cuts) -> np.ndarray: ...
+
+    def add(self, tree: np.ndarray) -> None: ...
+
+
+class LocalRows:
+    def __init__(self, x: np.ndarray, n: np.ndarray, good: np.ndarray):
+        self.x, self.n, self.good, self.score = x, n, good, np.zeros(len(n))
+
+    def totals(self) -> tuple[float, float]:
+        return float(self.n.sum()), float(self.good.sum())
+
+    def begin(self, prior: float) -> None:
+        self.score = np.full(len(self.n), prior)
+
+    def sums(self, tree: np.ndarray, cuts: Cuts) -> np.ndarray:
+        return node_sums(self.x, self.n, self.good, self.score, tree, cuts)
+
+    def add(self, tree: np.ndarray) -> None:
+        self.score = self.score + tree[leaves(tree, self.x), 1]
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """A column of lists of one length."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+class TableRows:
+    """The same of a table (x, n, good) in Spark: a job a level of a tree, whose sums per leaf and bin are all that the
+    driver gets, and a rewritten table of scores a tree."""
+
+    def __init__(self, table: DataFrame):
+        self.table, self.written = table.select("x", "n", "good"), None
+
+    def totals(self) -> tuple[float, float]:
+        return tuple(self.table.agg(F.sum("n").cast("double"), F.sum("good").cast("double")).first())
+
+    def _write(self, df: DataFrame) -> None:
+        following = write_table(df)
+        if self.written is not None:
+            drop_table(self.written)
+        self.written = following
+
+    def begin(self, prior: float) -> None:
+        self._write(self.table.withColumn("score", F.lit(prior)))
+
+    def sums(self, tree: np.ndarray, cuts: Cuts) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in filter(len, batches):
+                n, good, score = (batch.column(k).to_numpy().astype(float) for k in (1, 2, 3))
+                got = node_sums(matrix(batch.column(0)), n, good, score, tree, cuts)
+                (slot,) = np.nonzero(got[2])
+                yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), *(pa.array(v[slot]) for v in got)], ["slot", "slope", "curve", "n"])
+
+        parts = self.written.mapInArrow(run, "slot int, slope double, curve double, n double").groupBy("slot")
+        found = parts.agg(*(F.sum(c).alias(c) for c in ("slope", "curve", "n"))).collect()  # leaves x features x bins
+        total = np.zeros((3, len(tree) * len(cuts) * BINS))
+        for r in found:
+            total[:, r.slot] = r.slope, r.curve, r.n
+        return total
+
+    def add(self, tree: np.ndarray) -> None:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in filter(len, batches):
+                score = batch.column(3).to_numpy() + tree[leaves(tree, matrix(batch.column(0))), 1]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(score)], batch.schema.names)
+
+        self._write(self.written.mapInArrow(run, self.written.schema))
+
+
 @dataclass
 class Trees:
     """Boosted regression trees on the log-odds. A tree: per node (feature, cut, left, right), leaves (-1, value, 0, 0)."""
@@ -200,58 +311,54 @@ class Trees:
     trees: list[np.ndarray] = field(default_factory=list)
 
     def fit(self, x: np.ndarray, y: np.ndarray, rounds: int = 60, rate: float = 0.2, depth: int = 4) -> Trees:
-        rate_1 = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+        cuts = [np.unique(np.quantile(x[:, k], QUANTILES))[:-1] for k in range(x.shape[1])]
+        return self.grow(LocalRows(x, np.ones(len(y)), y), cuts, rounds, rate, depth)
+
+    def grow(self, rows: Rows, cuts: Cuts, rounds: int = 60, rate: float = 0.2, depth: int = 4) -> Trees:
+        n, good = rows.totals()
+        rate_1 = np.clip(good / n, 1e-3, 1 - 1e-3)
         self.prior = float(np.log(rate_1 / (1 - rate_1)))
-        cuts = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, 32)))[:-1] for k in range(x.shape[1])]
-        score = np.full(len(y), self.prior)
+        rows.begin(self.prior)
         for _ in range(rounds):
-            p = 1 / (1 + np.exp(-score))
-            nodes: list[list[float]] = []
-            self._grow(x, p - y, p * (1 - p), np.arange(len(y)), cuts, depth, rate, nodes)
-            tree = np.array(nodes)
+            tree = self._tree(rows, cuts, rate, depth)
             self.trees.append(tree)
-            score += self._walk(tree, x)
+            rows.add(tree)
         return self
 
-    def _grow(self, x, slope, curve, rows, cuts, depth, rate, nodes) -> int:
-        g, h = slope[rows].sum(), curve[rows].sum()
-        best, split = 1e-6, None
-        if depth and len(rows) >= 8:
-            for k, at in enumerate(cuts):
-                if not len(at):
-                    continue
-                side = np.searchsorted(at, x[rows, k], side="left")
-                left_g = np.cumsum(np.bincount(side, slope[rows], len(at) + 1))[:-1]
-                left_h = np.cumsum(np.bincount(side, curve[rows], len(at) + 1))[:-1]
-                gain = left_g**2 / (left_h + 1) + (g - left_g) ** 2 / (h - left_h + 1) - g**2 / (h + 1)
-                top = int(np.argmax(gain))
-                if gain[top] > best:
-                    best, split = gain[top], (k, at[top])
-        own = len(nodes)
-        nodes.append([-1, -rate * g / (h + 1), 0, 0])
-        if split:
-            low = x[rows, split[0]] <= split[1]
-            left = self._grow(x, slope, curve, rows[low], cuts, depth - 1, rate, nodes)
-            right = self._grow(x, slope, curve, rows[~low], cuts, depth - 1, rate, nodes)
-            nodes[own] = [split[0], split[1], left, right]
-        return own
-
     @staticmethod
-    def _walk(tree: np.ndarray, x: np.ndarray) -> np.ndarray:
-        at = np.zeros(len(x), dtype=int)
-        while True:
-            inner = np.flatnonzero(tree[at, 0] >= 0)
-            if not len(inner):
-                return tree[at, 1]
-            node = tree[at[inner]]
-            low = x[inner, node[:, 0].astype(int)] <= node[:, 1]
-            at[inner] = np.where(low, node[:, 2], node[:, 3]).astype(int)
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
+    def _tree(rows: Rows, cuts: Cuts, rate: float, depth: int) -> np.ndarray:
+        """A tree grown level by level: each leaf of 8 rows or more is split where the gain is largest, if any is."""
+        nodes, open_nodes = [[-1, 0.0, 0, 0]], [0]
+        is_cut = np.arange(BINS - 1) < np.array([len(at) for at in cuts])[:, None]
+        for level in range(depth):
+            sums = rows.sums(np.array(nodes), cuts).reshape(3, len(nodes), len(cuts), BINS)
+            following: list[int] = []
+            for own in open_nodes:
+                g, h, n = sums[:, own, 0].sum(axis=1)
+                if level == 0:
+                    nodes[own][1] = -rate * g / (h + 1)
+                left_g, left_h = np.cumsum(sums[:2, own], axis=2)[:, :, :-1]
+                gain = left_g**2 / (left_h + 1) + (g - left_g) ** 2 / (h - left_h + 1) - g**2 / (h + 1)
+                k, top = np.unravel_index(np.argmax(np.where(is_cut, gain, -np.inf)), gain.shape)
+                if n < 8 or not is_cut[k, top] or gain[k, top] <= 1e-6:
+                    continue
+                a, b = left_g[k, top], left_h[k, top]
+                following += [len(nodes), len(nodes) + 1]
+                nodes[own] = [k, cuts[k][top], len(nodes), len(nodes) + 1]
+                nodes += [[-1, -rate * a / (b + 1), 0, 0], [-1, -rate * (g - a) / (h - b + 1), 0, 0]]
+            open_nodes = following
+            if not open_nodes:
+                break
+        return np.array(nodes)
+
+    def margin(self, x: np.ndarray) -> np.ndarray:
         score = np.full(len(x), self.prior)
         for tree in self.trees:
-            score += self._walk(tree, x)
-        return 1 / (1 + np.exp(-score))
+            score += tree[leaves(tree, x), 1]
+        return score
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-self.margin(x)))
 
 
 @dataclass
@@ -308,14 +415,14 @@ def refuted(kind: int, body: str) -> list[str]:
     return []
 
 
-def training_rows(text: str) -> list[list[float]]:
+def training_rows(text: str) -> Iterator[list[float]]:
     """Labelled candidates of one text: features, then 1 or 0. Base spans are data, as are their rewritten forms; these
     stand once where the span stood and once after a word that announces them. A number in the form of a phone's is one
     after such a word or with its opening sign, but never after a word for other numbers. Of the text's own candidates
     those that fail their format rule are none; others pass it and may be real, so they have no label."""
-    rows, base = [], base_spans(text)
+    base = base_spans(text)
     for start, kind, end in base:
-        rows.append([*describe(text, (start, kind, end)), 1.0])
+        yield [*describe(text, (start, kind, end)), 1.0]
         choice = hashlib.sha256(text[start:end].encode()).digest()
         left, right = text[max(0, start - 60) : start], text[end : end + 60]
         cue, other = TAUGHT[kind][choice[0] % len(TAUGHT[kind])], TAUGHT_OTHER[choice[1] % len(TAUGHT_OTHER)]
@@ -323,51 +430,105 @@ def training_rows(text: str) -> list[list[float]]:
         for form in rewritten(kind, text[start:end]):
             for before, label in places:
                 changed, own = before + form + right, (len(before), kind, len(before) + len(form))
-                fine = label if label is not None else float(kind != 3 or plausible(changed, own))
-                rows.append([*describe(changed, own), fine])
-                rows += [[*describe(changed, c), 0.0] for c in candidates(changed) if own[0] <= c[0] and c[2] <= own[2] and c[1:] != own[1:]]
+                yield [*describe(changed, own), label if label is not None else float(kind != 3 or plausible(changed, own))]
+                yield from ([*describe(changed, c), 0.0] for c in candidates(changed) if own[0] <= c[0] and c[2] <= own[2] and c[1:] != own[1:])
         for form in refuted(kind, text[start:end]):
             for before, _ in places[:2]:
-                rows.append([*describe(before + form + right, (len(before), kind, len(before) + len(form))), 0.0])
-    return rows + [[*describe(text, c), 0.0] for c in apart(candidates(text), base) if not plausible(text, c)]
+                yield [*describe(before + form + right, (len(before), kind, len(before) + len(form))), 0.0]
+    yield from ([*describe(text, c), 0.0] for c in apart(candidates(text), base) if not plausible(text, c))
+
 
+def counted_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The training rows of all documents, equal ones counted: ``(held, x, n, good)``, where ``good`` of ``n`` rows with the
+    features ``x`` have label 1. A quarter of the different texts, by hash, is held out of growing trees."""
+    text = F.col(text_col)
+    texts = docs.where(text.rlike("[0-9@]")).select((F.pmod(F.xxhash64(text), F.lit(4)) == 3).alias("held"), text.alias("text"))
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS, max_rows: int = MAX_ROWS) -> PiiModel:
-    """Fit on at most ``max_rows`` candidates of the first ``max_docs`` documents by a hash of the id that have a
-    digit or an at sign; three quarters of them grow the trees, the rest sets the thresholds."""
-    from_text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    ids = from_text.where(F.col("id").isNotNull() & F.col("text").rlike("[0-9@]")).select("id")
-    ids = ids.orderBy(F.xxhash64("id"), "id").limit(max_docs).distinct()
-    sample = from_text.join(F.broadcast(ids), "id").select("id", "text")  # at most max_docs ids
+    def counted(held: bool, seen: Counter) -> pa.RecordBatch:
+        rows = np.array(list(seen))
+        x = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * (rows.shape[1] - 1), rows[:, :-1].ravel())
+        n = np.fromiter(seen.values(), np.int64, len(seen))
+        return pa.RecordBatch.from_arrays([pa.array([held] * len(n)), x, pa.array(n), pa.array(n * (rows[:, -1] > 0))], ["held", "x", "n", "good"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bool, Counter] = {False: Counter(), True: Counter()}
         for batch in batches:
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                rows = training_rows(text or "")
-                if rows:
-                    own = pa.array([batch.column(0)[k].as_py()] * len(rows), batch.schema.field(0).type)
-                    yield pa.RecordBatch.from_arrays([own, pa.array(rows, pa.list_(pa.float64()))], ["id", "row"])
-
-    kind = sample.schema["id"].dataType.simpleString()
-    found = sample.mapInArrow(run, f"id {kind}, row array<double>").orderBy(F.xxhash64("id", "row"), "row").limit(max_rows).collect()
-    if not found:
-        return PiiModel(Trees(), [2.0] * len(KINDS))
-    data = np.array([r.row for r in found])
-    x, y = data[:, :-1], data[:, -1]
-    hold = np.arange(len(y)) % 4 == 3
-    trees = Trees().fit(x[~hold], y[~hold])
-    return PiiModel(trees, [calibrate(trees.predict(x[own]), y[own]) for own in (hold & (x[:, 0] == k) for k in range(len(KINDS)))])
-
-
-def calibrate(score: np.ndarray, label: np.ndarray, precision: float = 0.995, least: float = 0.95) -> float:
+            for held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = seen[held]
+                for row in training_rows(text):
+                    own[tuple(row)] += 1
+                    if len(own) >= COUNTED_ROWS:
+                        yield counted(held, own)
+                        own.clear()
+        yield from (counted(held, own) for held, own in seen.items() if own)
+
+    parts = texts.mapInArrow(run, "held boolean, x array<double>, n long, good long")
+    return parts.groupBy("held", "x").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+
+
+def quantile_cuts(rows: DataFrame, width: int) -> Cuts:
+    """Per feature the different 32nds of all rows. A feature is a length, a count or a flag, so its different values,
+    which the exact percentile keeps, grow with the root of the characters at most."""
+    at = F.array(*(F.lit(float(q)) for q in QUANTILES))
+    found = rows.agg(*(F.percentile(F.col("x")[k], at, F.col("n")).alias(f"x{k}") for k in range(width))).first()
+    return [np.unique(v)[:-1] for v in found]
+
+
+def train(docs: DataFrame, text_col: str = "text", local_rows: int = LOCAL_ROWS) -> PiiModel:
+    """Fit on every candidate with a label of all documents. Three quarters of the texts grow the trees, the rest sets the
+    thresholds. Up to ``local_rows`` different training rows, with their counts, are added up in the driver, more where
+    they lie; the trees are the same."""
+    with scratch():
+        rows = write_table(counted_rows(docs, text_col))
+        growing = rows.where("not held")
+        first = growing.select("x").first()
+        if first is None:
+            return PiiModel(Trees(), [2.0] * len(KINDS))
+        cuts = quantile_cuts(growing, len(first.x))
+        if growing.count() <= local_rows:
+            got = growing.select("x", "n", "good").toArrow().combine_chunks()
+            x, n, good = matrix(got.column(0).combine_chunks()), *(got.column(k).to_numpy().astype(float) for k in (1, 2))
+            trees = Trees().grow(LocalRows(x, n, good), cuts)
+        else:
+            trees = Trees().grow(TableRows(growing), cuts)
+        return PiiModel(trees, thresholds(rows.where("held"), trees))
+
+
+STEPS = 64  # of thresholds in one unit of log-odds
+MOST = 40  # log-odds; beyond them a probability is 1
+
+
+def thresholds(rows: DataFrame, trees: Trees) -> list[float]:
+    """By kind, calibrated on all rows of ``(x, n, good)``, which are counted by their log-odds in steps."""
+    fixed = rows.sparkSession.sparkContext.broadcast(trees)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in filter(len, batches):
+            x = matrix(batch.column(0))
+            step = np.floor(np.clip(fixed.value.margin(x), -MOST, MOST) * STEPS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].astype(np.int32)), pa.array(step), *batch.columns[1:]], ["kind", "step", "n", "good"])
+
+    steps = rows.select("x", "n", "good").mapInArrow(run, "kind int, step int, n long, good long").groupBy("kind", "step")
+    found = steps.agg(F.sum("n"), F.sum("good")).collect()  # at most 2 * MOST * STEPS + 1 a kind
+    made = []
+    for kind in range(len(KINDS)):
+        step, n, good = (np.array([r[k] for r in found if r.kind == kind], dtype=float) for k in (1, 2, 3))
+        low, high = (1 / (1 + np.exp(-(step + up) / STEPS)) for up in (0, 1))
+        made.append(calibrate(low, good, count=n, upper=high))
+    return made
+
+
+def calibrate(score: np.ndarray, label: np.ndarray, precision: float = 0.995, least: float = 0.95, count: np.ndarray | None = None, upper: np.ndarray | None = None) -> float:
     """A threshold of ``least`` or more at which the selected held-out rows have the precision: halfway between the
-    last row selected and the first one left out. 2, which nothing reaches, if there is none."""
+    last row selected and the first one left out. 2, which nothing reaches, if there is none. An entry may stand for
+    ``count`` rows, ``label`` of them right, with scores from ``score`` to below ``upper``."""
     order = np.argsort(-score, kind="stable")
-    score, right = score[order], np.cumsum(label[order]) / np.arange(1, len(order) + 1)
+    upper = (score if upper is None else upper)[order]
+    score, right = score[order], np.cumsum(label[order]) / np.cumsum(np.ones(len(order)) if count is None else count[order])
     fine = np.flatnonzero((right >= precision) & (score >= least))
     if not len(fine):
         return 2.0
-    below = score[fine[-1] + 1] if fine[-1] + 1 < len(score) else 0.0
+    below = upper[fine[-1] + 1] if fine[-1] + 1 < len(score) else 0.0
     return max(least, float(score[fine[-1]] + below) / 2)
 
 
