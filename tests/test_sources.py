@@ -261,3 +261,36 @@ def test_feeds_and_union(spark, tmp_path):
     assert rows["radar", None].sensor_id == "RADAR" and rows["radar", None].local_track_id == "T1" and rows["radar", None].course is None
     assert rows["drone", "X"].sensor_id == "DRN-001" and rows["drone", "X"].vessel_length_m is None and rows["drone", "Y"].confidence is None
     assert len(rows) == 4
+
+
+def test_each_line_is_made_at_most_twice(spark):
+    """Once for the parts and once for whole sentences, however many types and checks look at it."""
+    made = spark.sparkContext.accumulator(0)
+    texts = [sentence(armour(static(n, "NAME", 70))[0], 2) if n % 3 == 0 else sentence(armour(position(n, 0, 10, 0, 0, 0, 0, 18 if n % 3 == 1 else 1))[0]) for n in range(90)]
+
+    @F.udf("string")
+    def line(n):
+        made.add(1)
+        return texts[n]
+
+    lines = spark.range(90, numPartitions=2).select(F.lit("f").alias("source"), F.col("id").alias("at"), line("id").alias("line"))
+    found = nmea.decode_nmea(nmea.assemble_nmea(nmea.split_nmea(lines))).groupBy("message_type").count().collect()
+    assert {r.message_type: r["count"] for r in found} == {1: 30, 5: 30, 18: 30}
+    assert made.value <= 180
+
+
+def test_split_reads_odd_lines(spark):
+    good = "!AIVDM,1,1,,A,16?Ug>hP1uU=JOh:mSl9TWVt2000,0"
+
+    def checked(body, tail=""):
+        check = 0
+        for c in body[1:]:
+            check ^= ord(c)
+        return f"{body}*{check & 255:02x}{tail}"
+
+    lines = [checked(good, " \t"), checked(good.replace(",1,1,", ", +1 ,01,")), checked(good.replace(",1,1,", ",9999999999,1,")), checked(good.replace(",1,1,", ",1.0,1,")), checked(good[:-2]), checked(good.replace("A", "Å", 1)),
+             None, "", "!*00", "!", good, checked(good.replace(",,", ",7,")), checked(good + ",more")]
+    df = spark.createDataFrame([("f", k, x) for k, x in enumerate(lines)], "source string, at long, line string")
+    got = {r["at"]: (r.total, r.number, r.seq_id, r.channel, r.fill_bits) for r in nmea.split_nmea(df).collect()}
+    assert got == {0: (1, 1, "default", "A", 0), 1: (1, 1, "default", "A", 0), 5: (1, 1, "default", "A", 0), 11: (1, 1, "7", "A", 0), 12: (1, 1, "default", "A", 0)}
+    assert {r["at"] for r in df.where(nmea.nmea_checksum_ok(F.col("line"))).collect()} >= set(got)

@@ -26,9 +26,10 @@ def field(value: Column, width: int) -> Column:
 
 
 def armoured(bits: Column, chars: int) -> Column:
-    value = lambda k: F.conv(F.substring(bits, k * 6 + 1, F.lit(6)), 2, 10).cast("int")
-    letter = lambda k: F.char(value(k) + F.when(value(k) < 40, 48).otherwise(56))
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(chars - 1)), letter), "")
+    """Binary digits as six-bit characters, which are those of base 64 in another alphabet; by words of eight characters."""
+    word = lambda k: F.lpad(F.conv(F.rpad(F.substring(bits, k * 48 + 1, 48), 48, "0"), 2, 16), 12, "0")
+    coded = F.base64(F.unhex(F.concat(*(word(k) for k in range(-(-chars // 8))))))
+    return F.translate(F.substring(coded, 1, chars), nmea.BASE64, nmea.ARMOUR)
 
 
 def sentence(body: Column) -> Column:
@@ -42,7 +43,7 @@ def nmea_lines(spark: SparkSession, d: str) -> DataFrame:
     bits = F.concat(
         field(F.lit(1), 6), F.lit("00"), field(F.col("mmsi"), 30), field(i % 16, 4), field(i % 256, 8), field(F.round(F.col("speed_knots") * 10), 10), field(i % 2, 1), field(F.round(F.col("longitude") * 600000), 28),
         field(F.round(F.col("latitude") * 600000), 27), field(F.col("course") * 10, 12), field(i % 512, 9), field(i % 60, 6), F.repeat(F.lit("0"), F.lit(25)))
-    whole = p.withColumn("payload", let(bits, lambda b: armoured(b, 28)))
+    whole = p.withColumn("bits", bits).withColumn("payload", armoured(F.col("bits"), 28))
     # half of the messages come in two parts; of the others one in eleven has a wrong check digit and is to be left out
     two = i % 2 == 0
     bodies = F.when(two, F.array(
@@ -107,12 +108,14 @@ def _(spark, d):
 
 def text_field(value: Column, chars: int) -> Column:
     """Capitals, digits and blanks as six-bit characters, filled up."""
-    return F.array_join(F.transform(F.split(F.rpad(value, chars, "@"), ""), lambda c: F.lpad(F.bin(F.ascii(c) % 64), 6, "0")), "")
+    coded = F.translate(F.rpad(value, -(-chars // 8) * 8, "@"), nmea.TEXT, nmea.BASE64)
+    word = lambda k: field(F.conv(F.hex(F.unbase64(F.substring(coded, k * 8 + 1, 8))), 16, 10), 48)
+    return F.substring(F.concat(*(word(k) for k in range(-(-chars // 8)))), 1, chars * 6)
 
 
 def whole_sentences(spark: SparkSession, d: str, bits: Column, chars: int, fill: int) -> DataFrame:
-    body = F.concat(F.lit("AIVDM,1,1,,A,"), let(bits, lambda b: armoured(b, chars)), F.lit(f",{fill}"))
-    return positions(spark, d).select(F.lit("f").alias("source"), F.col("event_id").alias("at"), let(body, sentence).alias("line"))
+    body = F.concat(F.lit("AIVDM,1,1,,A,"), armoured(F.col("bits"), chars), F.lit(f",{fill}"))
+    return positions(spark, d).withColumn("bits", bits).select(F.lit("f").alias("source"), F.col("event_id").alias("at"), let(body, sentence).alias("line"))
 
 
 @query("d6_static_messages", f"""WITH {P} SELECT mmsi, cast(9000000 + event_id % 1000000 AS INT) AS imo, 'C' || event_id % 1000 AS callsign, ship_name, cast(event_id % 100 AS INT) AS ship_type, cast(event_id % 400 + event_id % 100 AS INT) AS length, cast(event_id % 30 + 7 AS INT) AS width,

@@ -1,10 +1,14 @@
-"""AIS sentences: reading, checksums, reassembly and decoding of messages 1, 2, 3, 5 and 18, as built-in expressions."""
+"""AIS sentences: reading, checksums, reassembly and decoding of messages 1, 2, 3, 5 and 18. Checksums and fields are taken
+batch by batch from Arrow columns, and messages are decoded by built-in expressions, each row once."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,15 +37,54 @@ def nmea_checksum_ok(line: Column) -> Column:
     return F.coalesce((body != "") & (found == stated), F.lit(False))
 
 
+#: A line with a checksum, as ``nmea_checksum_ok`` reads it.
+_CHECKED = r"^[!$](?P<body>[^\n\r\x{85}\x{2028}\x{2029}]*)\*(?P<stated>[0-9A-Fa-f]{2})[ \t\n\x0b\f\r]*$"
+_FIELDS = "source string, at long, line string, total int, number int, seq_id string, channel string, payload string, fill_bits int"
+
+
+def checksums(bodies: pa.Array) -> np.ndarray:
+    """The exclusive or of the characters of each body, none of which is empty."""
+    bodies = pc.cast(bodies, pa.large_binary())
+    bounds = np.frombuffer(bodies.buffers()[1], np.int64)[bodies.offset : bodies.offset + len(bodies) + 1]
+    data = np.frombuffer(bodies.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+    found = np.bitwise_xor.reduceat(data, bounds[:-1] - bounds[0]).astype(np.int64)
+    wide = np.logical_or.reduceat(data >= 128, bounds[:-1] - bounds[0])
+    for k in wide.nonzero()[0]:  # of characters, not of bytes
+        found[k] = np.bitwise_xor.reduce([ord(c) for c in bodies[int(k)].as_py().decode("utf-8", "replace")])
+    return found
+
+
+def _whole_numbers(texts: pa.Array) -> pa.Array:
+    """Text as a number, null where it is none that fits."""
+    digits = pc.struct_field(pc.extract_regex(texts, r"^[\x00-\x20]*(?P<sign>[+-]?)0*(?P<digits>[0-9]{1,10})[\x00-\x20]*$"), [1])
+    value = pc.cast(digits, pa.int64())
+    value = pc.if_else(pc.match_substring(texts, "-"), pc.negate(value), value)
+    fits = pc.and_(pc.greater_equal(value, -(1 << 31)), pc.less(value, 1 << 31))
+    return pc.cast(pc.if_else(fits, value, pa.scalar(None, pa.int64())), pa.int32())
+
+
 def split_nmea(lines: DataFrame) -> DataFrame:
-    """Sentence fields of checked lines; a line with fewer than seven parts or an unreadable number goes."""
-    parts = F.split(F.regexp_replace("line", r"\*[0-9A-Fa-f]{2}\s*$", ""), ",")
-    fields = lines.where(nmea_checksum_ok(F.col("line"))).withColumn("parts", parts).where(F.size("parts") >= 7)
-    number = lambda k: F.get("parts", F.lit(k)).try_cast("int")
-    fields = fields.select("source", "at", "line", number(1).alias("total"), number(2).alias("number"),
-                           F.coalesce(F.nullif(F.get("parts", F.lit(3)), F.lit("")), F.lit("default")).alias("seq_id"),
-                           F.get("parts", F.lit(4)).alias("channel"), F.get("parts", F.lit(5)).alias("payload"), number(6).alias("fill_bits"))
-    return fields.where("total is not null and number is not null and fill_bits is not null")
+    """Sentence fields of checked lines; a line with fewer than seven parts or an unreadable number goes. Filters of later
+    steps stay behind this one, so however a line is made, it is made once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pc.extract_regex(batch.column(2), _CHECKED)
+            body = pc.struct_field(found, [0])
+            some = pc.fill_null(pc.greater(pc.binary_length(body), 0), False)
+            rows, body, stated = batch.filter(some), body.filter(some), pc.struct_field(found, [1]).filter(some)
+            if rows.num_rows:
+                ok = pa.array(checksums(body) == np.array([int(h, 16) for h in stated.to_pylist()]))
+                rows, body = rows.filter(ok), body.filter(ok)
+            parts = pc.split_pattern(body, ",")
+            enough = pc.greater_equal(pc.list_value_length(parts), 7)
+            rows, parts = rows.filter(enough), parts.filter(enough)
+            part = lambda k: pc.list_element(parts, k)
+            total, number, fill = (_whole_numbers(part(k)) for k in (1, 2, 6))
+            seq = pc.if_else(pc.equal(part(3), ""), "default", part(3))
+            made = pa.RecordBatch.from_arrays([*rows.columns, total, number, seq, part(4), part(5), fill], ["source", "at", "line", "total", "number", "seq_id", "channel", "payload", "fill_bits"])
+            yield made.filter(pc.and_(pc.and_(pc.is_valid(total), pc.is_valid(number)), pc.is_valid(fill)))
+
+    return lines.select("source", F.col("at").cast("long").alias("at"), "line").mapInArrow(run, _FIELDS)
 
 
 LANE = ["source", "channel", "seq_id", "total"]
@@ -134,12 +177,14 @@ def assemble_nmea(fields: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
         names, kinds = ["source", "at", "payload", "fill_bits", "raw_sentence"], (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string())
         for batch in batches:
             out = []
-            for source, total, held, payloads, rows in zip(*(c.to_pylist() for c in batch.columns)):
+            sizes = pc.list_value_length(batch.column(4)).to_pylist()
+            rows = zip(*(c.to_pylist() for c in batch.column(4).flatten().flatten()))
+            for source, total, held, payloads, size in zip(*(batch.column(k).to_pylist() for k in range(4)), sizes):
                 buffer = dict(zip(held, payloads))
-                for r in rows:
-                    buffer[r["number"]] = r["payload"]
+                for at, number, payload, fill_bits, line in islice(rows, size):
+                    buffer[number] = payload
                     if len(buffer) == total:
-                        out.append((source, r["at"], "".join(buffer[k] for k in range(1, total + 1)), r["fill_bits"], r["line"]))
+                        out.append((source, at, "".join(buffer[k] for k in range(1, total + 1)), fill_bits, line))
                         buffer = {}
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 5, kinds)], names)
 
@@ -157,13 +202,17 @@ def nmea_bits(payload: Column, fill_bits: Column) -> Column:
     """The payload as ``struct<words, len>``: its bits in numbers of WORD bits, the last one filled up with zeros, and how
     many there are without the fill bits. Unknown characters are skipped."""
     known = F.regexp_replace(payload, "[^0-W`-w]", "")
-    size = F.length(known)
-    coded = F.translate(known, ARMOUR, BASE64)
-    packed = F.unbase64(F.rpad(coded, (F.ceil(size / (WORD // 6)) * (WORD // 6)).cast("int"), "A"))
-    number = lambda k: F.conv(F.hex(F.substring(packed, (k * (WORD // 8) + 1).cast("int"), F.lit(WORD // 8))), 16, 10).cast("long")
-    count = F.ceil(size / (WORD // 6)).cast("int")
-    words = F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), number)).otherwise(F.array().cast("array<bigint>"))
-    return F.struct(words.alias("words"), F.greatest(F.lit(0), size * 6 - fill_bits).alias("len"))
+    digits, step = WORD // 4, WORD // 6
+
+    def numbers(text: Column) -> Column:
+        count = F.ceil(F.length(text) / step).cast("int")
+        packed = F.hex(F.unbase64(F.rpad(F.translate(text, ARMOUR, BASE64), count * step, "A")))
+        word = lambda h, k: F.conv(F.substring(h, k * digits + 1, F.lit(digits)), 16, 10).cast("long")
+        # the packed text is made once, not once a word
+        words = F.transform(F.array(packed), lambda h: F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda k: word(h, k)))[0]
+        return F.struct(F.when(count > 0, words).otherwise(F.array().cast("array<bigint>")).alias("words"), F.greatest(F.lit(0), F.length(text) * 6 - fill_bits).alias("len"))
+
+    return F.transform(F.array(known), numbers)[0]
 
 
 def bits_uint(bits: Column, start: int, length: int) -> Column:
@@ -185,10 +234,19 @@ def bits_int(bits: Column, start: int, length: int) -> Column:
     return F.when(value >= 1 << (length - 1), value - (1 << length)).otherwise(value)
 
 
+#: The alphabet of texts, by value.
+TEXT = "".join(chr(v + 64 if v < 32 else v) for v in range(64))
+
+
 def bits_text(bits: Column, start: int, length: int) -> Column:
-    """Six-bit characters, without the filling at the ends."""
-    chars = [bits_uint(bits, start + 6 * k, 6) for k in range(length // 6)]
-    return F.trim(F.trim(F.concat(*[F.char(c + F.when(c < 32, 64).otherwise(0)) for c in chars]), F.lit("@")))
+    """Six-bit characters, without the filling at the ends, of a payload that reaches to the text's end. They go through
+    base 64 by words of eight."""
+    words = []
+    for at in range(start, start + length, WORD):
+        taken = min(WORD, start + length - at)
+        words.append(F.lpad(F.hex(F.shiftleft(bits_uint(bits, at, taken), WORD - taken)), WORD // 4, "0"))
+    coded = F.substring(F.base64(F.unhex(F.concat(*words))), 1, length // 6)
+    return F.trim(F.trim(F.translate(coded, BASE64, TEXT), F.lit("@")))
 
 
 def _frame(messages: DataFrame) -> DataFrame:
@@ -200,53 +258,73 @@ def _unless(value: Column, missing: Column) -> Column:
     return F.when(~missing, value)
 
 
-def decode_position(framed: DataFrame) -> DataFrame:
-    """Messages 1 to 3."""
+def _position() -> dict[str, Column]:
     b = F.col("bits")
     rot, sog, cog, heading = bits_int(b, 42, 8), bits_uint(b, 50, 10) / 10.0, bits_uint(b, 116, 12) / 10.0, bits_uint(b, 128, 9)
     status = bits_uint(b, 38, 4).cast("int")
     squared = F.pow(rot / 4.733, F.lit(2.0))
-    return framed.where("message_type between 1 and 3").select(
-        "message_type", bits_uint(b, 8, 30).cast("string").alias("mmsi"), status.alias("nav_status"), lookup(config.NAV_STATUS, status, "Unknown").alias("nav_status_text"),
-        _unless(F.when(rot < 0, -squared).otherwise(squared), rot == -128).alias("rate_of_turn"), _unless(sog, sog >= 102.2).alias("speed_over_ground"),
-        (bits_uint(b, 60, 1) == 1).alias("position_accuracy"), (bits_int(b, 61, 28) / 600000.0).alias("longitude"), (bits_int(b, 89, 27) / 600000.0).alias("latitude"),
-        _unless(cog, cog >= 360).alias("course_over_ground"), _unless(heading, heading >= 511).cast("int").alias("true_heading"), bits_uint(b, 137, 6).cast("int").alias("timestamp_seconds"),
-        "bits_len", (F.col("bits_len") < 168).alias("truncated"), "raw_sentence")
+    return {
+        "message_type": F.col("message_type"), "mmsi": bits_uint(b, 8, 30).cast("string"), "nav_status": status, "nav_status_text": lookup(config.NAV_STATUS, status, "Unknown"),
+        "rate_of_turn": _unless(F.when(rot < 0, -squared).otherwise(squared), rot == -128), "speed_over_ground": _unless(sog, sog >= 102.2),
+        "position_accuracy": bits_uint(b, 60, 1) == 1, "longitude": bits_int(b, 61, 28) / 600000.0, "latitude": bits_int(b, 89, 27) / 600000.0,
+        "course_over_ground": _unless(cog, cog >= 360), "true_heading": _unless(heading, heading >= 511).cast("int"), "timestamp_seconds": bits_uint(b, 137, 6).cast("int"),
+        "bits_len": F.col("bits_len"), "truncated": F.col("bits_len") < 168, "raw_sentence": F.col("raw_sentence")}
 
 
-def decode_static(framed: DataFrame) -> DataFrame:
-    """Message 5; fewer than 424 bits give a row with the error alone."""
+def _static() -> dict[str, Column]:
     b, code = F.col("bits"), bits_uint(F.col("bits"), 232, 8).cast("int")
     whole = F.col("bits_len") >= 424
     number = lambda at, n: F.when(whole, bits_uint(b, at, n).cast("int"))
     text = lambda at, n: F.when(whole, bits_text(b, at, n))
-    names = {"dimension_bow": (240, 9), "dimension_stern": (249, 9), "dimension_port": (258, 6), "dimension_starboard": (264, 6),
+    sizes = {"dimension_bow": (240, 9), "dimension_stern": (249, 9), "dimension_port": (258, 6), "dimension_starboard": (264, 6),
              "eta_month": (274, 4), "eta_day": (278, 5), "eta_hour": (283, 5), "eta_minute": (288, 6)}
-    return framed.where("message_type = 5").select(
-        "message_type", F.when(whole, bits_uint(b, 8, 30).cast("string")).alias("mmsi"), number(40, 30).alias("imo"), text(70, 42).alias("callsign"), text(112, 120).alias("ship_name"),
-        F.when(whole, code).alias("ship_type"), F.when(whole, lookup(config.SHIP_TYPE, (F.floor(code / 10) * 10).cast("int"), "Unknown")).alias("ship_type_text"),
-        *(number(*at).alias(name) for name, at in names.items()), (number(240, 9) + number(249, 9)).alias("length"), (number(258, 6) + number(264, 6)).alias("width"),
-        F.when(whole, bits_uint(b, 294, 8) / 10.0).alias("draught"), text(302, 120).alias("destination"), F.when(~whole, "incomplete").alias("error"), "bits_len", "raw_sentence")
+    return {
+        "message_type": F.col("message_type"), "mmsi": F.when(whole, bits_uint(b, 8, 30).cast("string")), "imo": number(40, 30), "callsign": text(70, 42), "ship_name": text(112, 120),
+        "ship_type": F.when(whole, code), "ship_type_text": F.when(whole, lookup(config.SHIP_TYPE, (F.floor(code / 10) * 10).cast("int"), "Unknown")),
+        **{name: number(*at) for name, at in sizes.items()}, "length": number(240, 9) + number(249, 9), "width": number(258, 6) + number(264, 6),
+        "draught": F.when(whole, bits_uint(b, 294, 8) / 10.0), "destination": text(302, 120), "error": F.when(~whole, "incomplete"), "bits_len": F.col("bits_len"), "raw_sentence": F.col("raw_sentence")}
+
+
+def _class_b() -> dict[str, Column]:
+    b, heading = F.col("bits"), bits_uint(F.col("bits"), 124, 9)
+    return {
+        "message_type": F.col("message_type"), "mmsi": bits_uint(b, 8, 30).cast("string"), "speed_over_ground": bits_uint(b, 46, 10) / 10.0,
+        "longitude": bits_int(b, 57, 28) / 600000.0, "latitude": bits_int(b, 85, 27) / 600000.0, "course_over_ground": bits_uint(b, 112, 12) / 10.0,
+        "true_heading": _unless(heading, heading >= 511).cast("int"), "bits_len": F.col("bits_len"), "truncated": F.col("bits_len") < 168, "raw_sentence": F.col("raw_sentence")}
+
+
+#: The messages that are decoded, and the columns of each.
+DECODED = {"message_type between 1 and 3": _position, "message_type = 5": _static, "message_type = 18": _class_b}
+
+
+def _of_kind(framed: DataFrame, kind: str) -> DataFrame:
+    return framed.where(kind).select(*(value.alias(name) for name, value in DECODED[kind]().items()))
+
+
+def decode_position(framed: DataFrame) -> DataFrame:
+    """Messages 1 to 3."""
+    return _of_kind(framed, "message_type between 1 and 3")
+
+
+def decode_static(framed: DataFrame) -> DataFrame:
+    """Message 5; fewer than 424 bits give a row with the error alone."""
+    return _of_kind(framed, "message_type = 5")
 
 
 def decode_class_b(framed: DataFrame) -> DataFrame:
     """Message 18; speed and course are as sent."""
-    b, heading = F.col("bits"), bits_uint(F.col("bits"), 124, 9)
-    return framed.where("message_type = 18").select(
-        "message_type", bits_uint(b, 8, 30).cast("string").alias("mmsi"), (bits_uint(b, 46, 10) / 10.0).alias("speed_over_ground"),
-        (bits_int(b, 57, 28) / 600000.0).alias("longitude"), (bits_int(b, 85, 27) / 600000.0).alias("latitude"), (bits_uint(b, 112, 12) / 10.0).alias("course_over_ground"),
-        _unless(heading, heading >= 511).cast("int").alias("true_heading"), "bits_len", (F.col("bits_len") < 168).alias("truncated"), "raw_sentence")
+    return _of_kind(framed, "message_type = 18")
 
 
 def decode_nmea(messages: DataFrame) -> DataFrame:
-    """All messages in one frame: what a type lacks is null, and other types keep type and sentence."""
-    framed = _frame(messages)
-    other = framed.where("not (message_type between 1 and 3 or message_type in (5, 18))").select("message_type", "bits_len", "raw_sentence")
-    parts = [decode_position(framed), decode_static(framed), decode_class_b(framed), other]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part, allowMissingColumns=True)
-    return result
+    """All messages in one frame: what a type lacks is null, and other types keep type and sentence. One pass, not one a
+    type, so what makes the messages runs once."""
+    every: dict[str, Column] = {}
+    common = ("message_type", "bits_len", "raw_sentence")
+    for kind, columns in DECODED.items():
+        for name, value in columns().items():
+            every[name] = value if name in common else every[name].when(F.expr(kind), value) if name in every else F.when(F.expr(kind), value)
+    return _frame(messages).select(*(value.alias(name) for name, value in every.items()))
 
 
 def nmea_messages(spark: SparkSession, path: str) -> DataFrame:
