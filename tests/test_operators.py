@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vesselspark import config
 from vesselspark.functions import casts, geo
 from vesselspark.functions.text_filters import extract_filters, extract_time_range
-from vesselspark.operators import documents, filters, history, proximity, sinks, vectors
+from vesselspark.operators import documents, extras, filters, history, proximity, sinks, vectors
 
 NOW = datetime(2025, 1, 2, 12)
 
@@ -315,3 +315,20 @@ def test_embedding_tells_what_failed(spark, monkeypatch):
     got = {r.id: (r.embedding, r.failed) for r in vectors.embed(df, model, dim=3, failed_col="failed").collect()}
     assert {k for k, (_, failed) in got.items() if failed} == {2, 3} and got[2][0] == [0.0] * 3 and got[4][0] == [1.0] * 3
     assert vectors.embed(df, model, dim=3).columns == ["id", "content", "embedding"]
+
+
+def test_encounters_send_no_copies_of_fixes_through_the_driver(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    rows = [(f"{200 + k % 40}", start + timedelta(minutes=k), 10.0 + k % 7 * 0.1, 70.0 + k % 5 * 0.1) for k in range(400)]
+    spark.createDataFrame(rows, "mmsi string, ts timestamp_ntz, latitude double, longitude double").write.parquet(str(tmp_path / "fixes"))
+    found = extras.encounters(spark.read.parquet(str(tmp_path / "fixes")), 50)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "salt#" in line.split("], [")[0]]
+    pairs = [(a, b) for k, a in enumerate(rows) for b in rows[k + 1 :] if a[0] != b[0] and b[1] - a[1] <= timedelta(hours=1)]
+    near = {}
+    places = sorted({(a[2:], b[2:]) for a, b in pairs})
+    away = dict(zip(places, (r.km for r in spark.createDataFrame([(*a, *b) for a, b in places], "a double, b double, c double, e double").select(geo.haversine("a", "b", "c", "e").alias("km")).collect())))
+    for a, b in pairs:
+        if away[a[2:], b[2:]] <= 50:
+            near.setdefault((min(a[0], b[0]), max(a[0], b[0])), []).append(min(a[1], b[1]))
+    assert {(r.mmsi, r.other): (r.meetings, r.first_ts) for r in found.collect()} == {k: (len(v), min(v)) for k, v in near.items()}

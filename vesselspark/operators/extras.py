@@ -71,7 +71,8 @@ def encounters(df: DataFrame, km: float = 10.0, hours: float = 1.0) -> DataFrame
     right = other.withColumn("period", F.explode(F.array(F.col("at"), F.col("at") - 1))).withColumnRenamed("at", "b_at")
     left, right = _salted(left, right)
     once = (F.col("mmsi") != F.col("other")) & ((F.col("b_at") != F.col("at")) | (F.col("mmsi") < F.col("other")))
-    pairs = left.join(right, ["cell_row", "cell_column", "period", "salt"]).where(once & _is_close(km, seconds))
+    # Spark takes the copies of a fix for as few rows as there are fixes, and would send them all through the driver
+    pairs = left.join(right.hint("merge"), ["cell_row", "cell_column", "period", "salt"]).where(once & _is_close(km, seconds))
     distance = haversine("latitude", "longitude", "b_lat", "b_lon")
     return pairs.groupBy(F.least("mmsi", "other").alias("mmsi"), F.greatest("mmsi", "other").alias("other")).agg(
         F.count("*").alias("meetings"), F.min(F.least("ts", "b_ts")).alias("first_ts"), F.min(distance).alias("least_km"))
